@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from almanak.llm import spans
+from almanak.llm import encode, mix, spans
 from almanak.session import table
 
 QUERIES = {
+    "p7_ids": lambda s, d: encode.encode_corpus(table(s, d, "documents")),
+    "p8_schedule": lambda s, d: mix.Mix(table(s, d, "documents"), table(s, d, "mix_targets")).schedule(),
+    "p8_shares": lambda s, d: mix.Mix(table(s, d, "documents"), table(s, d, "mix_targets")).shares(),
     "p9_found": lambda s, d: spans.shared_pairs(table(s, d, "documents")),
     "p9_shares": lambda s, d: spans.shared_amounts(table(s, d, "documents")),
 }
