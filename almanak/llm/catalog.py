@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from almanak.llm import encode, mix, spans
+from almanak.llm import encode, mix, pieces, spans
 from almanak.session import table
 
 QUERIES = {
+    "p6_found": lambda s, d: pieces.oversized_pages(table(s, d, "documents"), table(s, d, "read_requests")),
+    "p6_pieces": lambda s, d: pieces.request_pieces(table(s, d, "documents"), table(s, d, "read_requests")),
     "p7_ids": lambda s, d: encode.encode_corpus(table(s, d, "documents")),
     "p8_schedule": lambda s, d: mix.Mix(table(s, d, "documents"), table(s, d, "mix_targets")).schedule(),
     "p8_shares": lambda s, d: mix.Mix(table(s, d, "documents"), table(s, d, "mix_targets")).shares(),
