@@ -19,10 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from almanak.llm.screen import Screen
 from almanak.session import checkpoint
 
 #: Least length of a shared span, code points of a k-mer, and k-mers of which one is an anchor: K + WINDOW - 1 = SPAN.
-SPAN, K, WINDOW = 180, 90, 91
+SPAN, K, WINDOW = 180, 120, 61
 #: Code points hashed at a time, to stay within the processor's caches and the worker's memory.
 CHUNK = 400_000
 
@@ -90,29 +91,52 @@ def anchors(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return owner[at], at - starts[owner[at]], hashes[at]
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``h``, ``t``, ``pos`` of every anchor; texts are cut into overlapping chunks, so that no window is lost."""
+def _scan(screen: Screen | None = None):
+    """mapInArrow function: ``h``, ``t``, ``doc_id``, ``pos`` of every anchor that the screen lets pass; without one ``h`` and half of ``t``.
 
-    def out(held: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
-        number, pos, h = anchors([p for _, _, p in held])
-        t = np.array([t for t, _, _ in held], np.int64)[number]
-        pos = pos + np.array([o for _, o, _ in held], np.int64)[number]
-        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(t), pa.array(pos.astype(np.int32))], ["h", "t", "pos"])
+    Texts are cut into overlapping chunks, so that no window is lost.
+    """
 
-    for batch in batches:
-        held, size = [], 0
-        for t, text in zip(batch.column("t").to_pylist(), batch.column("text")):
-            points = code_points(text.as_py())
-            for o in range(0, max(1, len(points) - SPAN + 1), CHUNK - SPAN + 1):
-                piece = points[o : o + CHUNK]
-                if len(piece) >= SPAN:
-                    held.append((t, o, piece))
-                    size += len(piece)
-                    if size >= CHUNK:
-                        yield out(held)
-                        held, size = [], 0
-        if held:
-            yield out(held)
+    def out(held: list[tuple[int, int, int, np.ndarray]]) -> pa.RecordBatch:
+        number, pos, h = anchors([p for *_, p in held])
+        t = np.array([x[0] for x in held], np.int64)[number]
+        h = h.view(np.int64)
+        if screen is None:
+            return pa.RecordBatch.from_arrays([pa.array(h), pa.array(t.astype(np.int32))], ["h", "t"])
+        keep = screen(h)
+        number, pos, h, t = number[keep], pos[keep], h[keep], t[keep]
+        pos = pos + np.array([x[2] for x in held], np.int64)[number]
+        doc = np.array([x[1] for x in held], np.int64)[number]
+        return pa.RecordBatch.from_arrays([pa.array(h), pa.array(t), pa.array(doc), pa.array(pos.astype(np.int32))], ["h", "t", "doc_id", "pos"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held, size = [], 0
+            for t, doc, text in zip(batch.column("t").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text")):
+                points = code_points(text.as_py())
+                for o in range(0, max(1, len(points) - SPAN + 1), CHUNK - SPAN + 1):
+                    piece = points[o : o + CHUNK]
+                    if len(piece) >= SPAN:
+                        held.append((t, doc, o, piece))
+                        size += len(piece)
+                        if size >= CHUNK:
+                            yield out(held)
+                            held, size = [], 0
+            if held:
+                yield out(held)
+
+    return run
+
+
+def _only(screen: Screen):
+    """mapInArrow function: the rows whose ``doc_id`` the screen lets pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.filter(pa.array(screen(np.asarray(batch.column("doc_id")))))
+
+    return run
 
 
 def _edges_of_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,32 +170,36 @@ class SharedSpans:
         d = documents.select("doc_id", "text").filter("text is not null and doc_id is not null")
         self.texts = d.filter(F.length("text") >= SPAN).select("doc_id", F.xxhash64("text").alias("t"), "text")
         self.copies = self.texts.select("t", "doc_id").distinct()
-        rows = self.texts.select("t", "text").mapInArrow(_scan, "h bigint, t bigint, pos int")
-        repeated = rows.groupBy("h").agg(F.min("t").alias("a"), F.max("t").alias("b")).filter("a <> b").select("h")
-        found = checkpoint(rows.join(repeated, "h").distinct())
+        of_texts = self.texts.select("t", "doc_id", "text")
+        counted = of_texts.mapInArrow(_scan(), "h bigint, t int").groupBy("h").agg(F.min("t").alias("a"), F.max("t").alias("b"))
+        repeated = checkpoint(counted.filter("a <> b").select("h"))
+        # a second scan is cheaper than moving every anchor again: few are repeated
+        rows = of_texts.mapInArrow(_scan(Screen(repeated)), "h bigint, t bigint, doc_id bigint, pos int")
+        found = checkpoint(rows.join(repeated, "h").groupBy("h", "t", "pos").agg(F.min("doc_id").alias("doc_id")))
         self.paths = checkpoint(self._compact(found))
         self.windows = self._windows()
 
     @staticmethod
     def _compact(found: DataFrame) -> DataFrame:
-        """``t``, ``path``, ``s``, ``e``: the nonbranching paths of repeated anchors and where each text has them."""
+        """``t``, ``doc_id`` (the least of the text's), ``path``, ``s``, ``e``: the nonbranching paths of repeated anchors and where each text has them."""
         along = W.partitionBy("t").orderBy("pos")
         gap_on, gap_back = F.lead("pos").over(along) - F.col("pos"), F.col("pos") - F.lag("pos").over(along)
         link = lambda gap, h: F.when(gap <= K, F.xxhash64(h, gap)).otherwise(0)
         rows = found.withColumn("on", link(gap_on, F.lead("h").over(along))).withColumn("back", link(gap_back, F.lag("h").over(along)))
         one = lambda c: (F.min(c) == F.max(c)) & (F.min(c) != 0)
         nodes = rows.groupBy("h").agg(one("on").alias("one_on"), one("back").alias("one_back"))
-        rows = rows.select("h", "t", "pos").join(nodes, "h")
+        rows = rows.select("h", "t", "doc_id", "pos").join(nodes, "h")
         joined = F.coalesce(F.lag("one_on").over(along), F.lit(False)) & F.col("one_back")
         number = F.sum(F.when(joined, 0).otherwise(1)).over(along)
         rows = rows.withColumn("n", number)
-        ends = rows.groupBy("t", "n").agg(F.min_by("h", "pos").alias("head"), F.min("pos").alias("s"), (F.max("pos") + K).alias("e"))
-        return ends.select("t", F.xxhash64("head", F.col("e") - F.col("s")).alias("path"), "s", "e")
+        ends = rows.groupBy("t", "n").agg(F.min_by("h", "pos").alias("head"), F.min("pos").alias("s"), (F.max("pos") + K).alias("e"), F.min("doc_id").alias("doc_id"))
+        return ends.select("t", "doc_id", F.xxhash64("head", F.col("e") - F.col("s")).alias("path"), "s", "e")
 
     def _windows(self) -> DataFrame:
         """``w``, ``t``, ``pos``: the windows at the ends of paths that several texts have."""
-        ends = self.paths.groupBy("t").agg(F.collect_list(F.struct("s", "e")).alias("paths"))
-        rows = self.texts.join(ends, "t").select("t", "text", "paths").mapInArrow(_edges_of_paths, "w bigint, t bigint, pos int").distinct()
+        ends = checkpoint(self.paths.groupBy("doc_id").agg(F.collect_list(F.struct("s", "e")).alias("paths")))
+        texts = self.texts.select("doc_id", "t", "text").mapInArrow(_only(Screen(ends.select("doc_id"))), "doc_id bigint, t bigint, text string")
+        rows = texts.join(ends, "doc_id").select("t", "text", "paths").mapInArrow(_edges_of_paths, "w bigint, t bigint, pos int")
         rows = checkpoint(rows)
         several = rows.groupBy("w").agg(F.min("t").alias("a"), F.max("t").alias("b")).filter("a <> b").select("w")
         return checkpoint(rows.join(several, "w"))
