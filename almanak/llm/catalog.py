@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from almanak.llm import encode, mix, pieces, spans
+from almanak.llm import authored, encode, mix, pieces, spans
 from almanak.session import table
 
 QUERIES = {
+    "p4_found": lambda s, d: authored.not_written_lines(table(s, d, "parts"), table(s, d, "messages"), table(s, d, "thread_requests")),
+    "p4_authored": lambda s, d: authored.authored_text(table(s, d, "parts"), table(s, d, "messages"), table(s, d, "thread_requests")),
     "p6_found": lambda s, d: pieces.oversized_pages(table(s, d, "documents"), table(s, d, "read_requests")),
     "p6_pieces": lambda s, d: pieces.request_pieces(table(s, d, "documents"), table(s, d, "read_requests")),
     "p7_ids": lambda s, d: encode.encode_corpus(table(s, d, "documents")),

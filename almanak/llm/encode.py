@@ -14,6 +14,7 @@ import os
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -132,8 +133,6 @@ def token_counts(documents: DataFrame, name: str = TOKENIZER, folder: str = TOKE
 
 def decode(ids: Column, name: str = TOKENIZER, folder: str = TOKENIZERS) -> Column:
     """The text of a list of ids: their bytes in one row, read as UTF-8; null for null."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
         decoded = encoding(name, folder).decode_bytes
