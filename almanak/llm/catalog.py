@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from almanak.llm import authored, encode, mix, pieces, spans
+from almanak.llm import authored, encode, mix, pieces, pii, spans
 from almanak.session import table
 
 QUERIES = {
+    "p1_found": lambda s, d: pii.found_spans(table(s, d, "vevents"), table(s, d, "parts")),
+    "p1_masked": lambda s, d: pii.masked_texts(table(s, d, "vevents"), table(s, d, "parts")),
     "p4_found": lambda s, d: authored.not_written_lines(table(s, d, "parts"), table(s, d, "messages"), table(s, d, "thread_requests")),
     "p4_authored": lambda s, d: authored.authored_text(table(s, d, "parts"), table(s, d, "messages"), table(s, d, "thread_requests")),
     "p6_found": lambda s, d: pieces.oversized_pages(table(s, d, "documents"), table(s, d, "read_requests")),
