@@ -67,14 +67,14 @@ _ADDRESS_FIRST_NUMBER = re.compile(
 )
 _DE_ENDS = "straße|strasse|str\\.|weg|gasse|platz|allee|ring|damm|ufer|graben|steig|markt"
 _ADDRESS_DE = re.compile(
-    rf"(?<![\w/#-])(?:{_CAP}?(?<=[a-zß])(?:{_DE_ENDS})|[A-ZÄÖÜ]\w*?(?:{_DE_ENDS})|{_CAP}(?:er|hauser)[ ](?:Straße|Strasse|Str\.|Weg|Platz|Allee|Ring)|(?:Am|An[ ]der|Auf[ ]dem|Auf[ ]der|Im|Zum|Zur|Unter[ ]den|In[ ]der)[ ]{_HYPHENED})[ \xa0]{_NO}(?![\d:.]\d)\b(?:{_JOIN}(?:D-)?\d{{5}}[ \xa0]{_TOWN})?"
+    rf"(?<![\w/#-])(?:{_CAP}?(?<=[a-zß])(?:{_DE_ENDS})|[A-ZÄÖÜ]\w*?(?:{_DE_ENDS})|{_CAP}(?:er|hauser)[ ](?:Straße|Strasse|Str\.|Weg|Platz|Allee|Ring)|(?:Am|An[ ]der|Auf[ ]dem|Auf[ ]der|Im|Zum|Zur|Unter[ ]den|In[ ]der|Untere|Obere|Alte|Neue|Hintere|Vordere|Hohe|Große|Kleine|Lange|Mittlere)[ ]{_HYPHENED})[ \xa0]{_NO}(?![\d:.]\d)\b(?:{_JOIN}(?:D-)?\d{{5}}[ \xa0]{_TOWN})?"
 )
 _ADDRESS_ES = re.compile(
     rf"(?<![\w/#-])(?:Calle|C/|C\.|Avda\.|Avenida|Av\.|Paseo|P[ºo]\.|Plaza|Pza\.|Pl\.|Camino|Ronda|Travesía|Carretera|Ctra\.|Glorieta|Rambla)[ \xa0]?{_SMALL}{_HYPHENED}(?:[ ]{_SMALL}{_HYPHENED})*,?[ \xa0](?:n\.?[º°][ ]?|núm\.[ ]?)?{_NO}\b(?:,[ ]?(?:bajo|ático|entlo\.|\d{{1,2}}\.?[ºª°](?:[ ]?(?:[A-Z]\b|izq\.|dcha\.|izda\.))?|piso[ ]\w+))?(?:{_JOIN}\d{{5}}[ \xa0]{_TOWN})?"
 )
 # each with stretches of text one of which a text with such an address holds
 _ADDRESSES = [
-    (_ADDRESS_DE, ("straße ", "strasse ", "tr. ", "weg ", "gasse ", "platz ", "allee ", "ring ", "damm ", "ufer ", "graben ", "steig ", "markt ", "Weg ", "Platz ", "Allee ", "Straße ", "Am ", "An der ", "Auf de", "Im ", "Zum ", "Zur ", "Unter den ", "In der ", "traße\xa0")),
+    (_ADDRESS_DE, ("straße ", "strasse ", "tr. ", "weg ", "gasse ", "platz ", "allee ", "ring ", "damm ", "ufer ", "graben ", "steig ", "markt ", "Weg ", "Platz ", "Allee ", "Straße ", "Am ", "An der ", "Auf de", "Im ", "Zum ", "Zur ", "Unter den ", "In der ", "traße\xa0", "ntere ", "bere ", "lte ", "eue ", "dere ", "ohe ", "roße ", "leine ", "ange ", "ttlere ")),
     (_ADDRESS_ES, ("Calle", "C/", "C. ", "Avda", "Avenida", "Av.", "Paseo", "Pº", "Po.", "Plaza", "Pza", "Pl.", "Camino", "Ronda", "Travesía", "Carretera", "Ctra", "Glorieta", "Rambla")),
 ]
 _NUMBERISH = re.compile(r"\d[\d \xa0().\-/‐‑–+]*")
