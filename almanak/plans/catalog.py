@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 from almanak.operators import deliveries, intervals, timestamps
+from almanak.plans.archive import QUERIES_AND_SQL
 from almanak.session import table
 
-FLAGSHIP = "p3_found"
+FLAGSHIP = "thread_collapse_page"
 
 QUERIES = {
     "p2_found": lambda s, d: deliveries.repeated_deliveries(table(s, d, "counted")),
     "p2_kept": lambda s, d: deliveries.without_repeats(table(s, d, "counted")).select("delivery_no", "id", "sent_s", "from_addr"),
     "p3_found": lambda s, d: intervals.busy_periods(table(s, d, "vevents")),
     "p5_found": lambda s, d: timestamps.normalise_times(table(s, d, "raw_vevents"), table(s, d, "calendars")),
-}
+} | {name: plan for name, (plan, _) in QUERIES_AND_SQL.items()}
 
-ORACLE: dict[str, str] = {}
+ORACLE = {name: sql for name, (_, sql) in QUERIES_AND_SQL.items() if sql}
