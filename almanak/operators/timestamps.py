@@ -31,7 +31,7 @@ _DAY = r"(?:[\p{L}]{2,10}\.?,? )?"
 #: The cascade: name, anchored pattern, and where the parts are: year|month|day|hour|minute|second|fraction|half of day|zone.
 CASCADE: list[tuple[str, str, str]] = [
     ("compact", r"^;?(?:VALUE=DATE(?:-TIME)?;?:?)?(?:;?TZID=\"?([^\":]+)\"?:)?(\d{4})(\d{2})(\d{2})(?:T(\d{2})(\d{2})(\d{2})?(Z)?)?$", "$2|$3|$4|$5|$6|$7|||$1$8"),
-    ("iso", rf"^(\d{{4}})-(\d{{2}})-(\d{{2}})(?:[T ]{_TIME} ?{_ZONE}?(?:\[[^\]]*\])?)?$", "$1|$2|$3|$4|$5|$6|$7||$8"),
+    ("iso", rf"^(\d{{4}})-(\d{{2}})-(\d{{2}})(?:[T ]{_TIME}(?: ?{_ZONE}(?:\[[^\]]*\])?)?)?$", "$1|$2|$3|$4|$5|$6|$7||$8"),
     ("iso zone", rf"^(\d{{4}})-(\d{{2}})-(\d{{2}})[T ]{_TIME} ?\[([^\]]+)\]$", "$1|$2|$3|$4|$5|$6|$7||$8"),
     ("iso week", rf"^(\d{{4}})-?W(\d{{2}})-?(\d)(?:T{_TIME} ?{_ZONE}?)?$", "$1|W$2|$3|$4|$5|$6|$7||$8"),
     ("slashed year", rf"^(\d{{4}})/(\d{{1,2}})/(\d{{1,2}})(?:,? {_TIME}(?: ?{_ZONE})?)?$", "$1|$2|$3|$4|$5|$6|$7||$8"),

@@ -300,7 +300,7 @@ QUERIES_AND_SQL = {
     ),
     "expand_override": (
         _overridden,
-        f"WITH {_SERIES}, {_STARTS}, v AS (SELECT key, start + INTERVAL 7 DAY AS r, start + INTERVAL 170 HOUR AS moved, day(start + INTERVAL 170 HOUR) > 20 AS gone FROM s WHERE freq = 'WEEKLY') SELECT key, start FROM x WHERE NOT EXISTS (SELECT 1 FROM v WHERE v.key = x.key AND v.r = x.start) UNION ALL SELECT key, moved FROM v WHERE NOT gone",
+        f"WITH {_SERIES}, {_STARTS}, v AS (SELECT key, start + INTERVAL 7 DAY AS r, start + INTERVAL 170 HOUR AS moved, day(start) > 20 AS gone FROM s WHERE freq = 'WEEKLY') SELECT key, start FROM x WHERE NOT EXISTS (SELECT 1 FROM v WHERE v.key = x.key AND v.r = x.start) UNION ALL SELECT key, moved FROM v WHERE NOT gone",
     ),
     "events_union_sorted_page": (
         lambda s, d: C.events_page(_starts(s, d).select("start", F.lit(1).alias("source"), F.col("key").alias("event_no")).unionByName(_occurrences(s, d).select("start", F.lit(2).alias("source"), F.col("event_id").alias("event_no"))), 100, 250),
