@@ -86,7 +86,11 @@ def anchors(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     least[owner[: len(least)] != owner[SPAN - 1 :]] = 0  # windows over two texts choose nothing
     pad = np.zeros(WINDOW - 1, np.uint64)
     chosen = hashes == _sliding(np.r_[pad, least, pad], WINDOW, np.maximum)
-    chosen[1:] &= hashes[1:] != hashes[:-1]  # of a run of one character the first is enough
+    same = np.r_[False, (hashes[1:] == hashes[:-1]) & (owner[1 : len(hashes)] == owner[: len(hashes) - 1])]
+    if same.any():  # within a run of one character every WINDOW-th k-mer and the last are enough
+        place = np.arange(len(hashes))
+        place -= np.maximum.accumulate(np.where(same, 0, place))
+        chosen &= (place % WINDOW == 0) | np.r_[~same[1:], True]
     at = np.flatnonzero(chosen)
     return owner[at], at - starts[owner[at]], hashes[at]
 
