@@ -24,11 +24,12 @@ def clean(text: Column) -> Column:
     A variation selector stays only as the first one right after a character
     that it can vary; a Hangul filler only beside the letter it fills in for.
     """
+    doubtful = rf"[{_IGNORABLE}{_CONTROLS}{_SELECTORS}\u115F\u1160]"  # most texts hold none and skip the costly patterns
     one = F.regexp_replace(text, f"([{_SELECTORS}])[{_SELECTORS}]+", "$1")
     hidden = rf"[{_IGNORABLE}{_CONTROLS}]"
     lone = rf"(?<![^\s‌‍͏{_IGNORABLE}{_CONTROLS}])[{_SELECTORS}]"
     fillers = r"ᅟ(?![ᅠ-ᆧힰ-ퟆ])|(?<![ᄀ-ᅟꥠ-ꥼ])ᅠ"
-    return F.regexp_replace(one, f"{hidden}|{lone}|{fillers}", "")
+    return F.when(text.rlike(doubtful), F.regexp_replace(one, f"{hidden}|{lone}|{fillers}", "")).otherwise(text)
 
 
 def hidden_count(text: Column) -> Column:
@@ -137,7 +138,7 @@ def folded(name: pd.Series) -> pd.Series:
     return name.map(lambda s: None if s is None else unicodedata.normalize("NFC", s).lower())
 
 
-_INVISIBLE = re.compile("[\x00-\x1f\x7f-\x9f\xa0\xad͏؜ᅟᅠ  ឴឵᠋-᠏ -‏ -   -⁯⠀　ㅤ︀-️﻿ﾠ￰-￸\U000e0000-\U000e0fff]")
+_INVISIBLE = re.compile("[\x00-\x1f\x7f-\x9f\xa0\xad͏؜ᅟᅠ ឴឵᠋-᠏ -‏ -  -⁯⠀　ㅤ︀-️﻿ﾠ￰-￸\U000e0000-\U000e0fff]")
 
 
 @F.pandas_udf(StringType())

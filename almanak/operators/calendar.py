@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from datetime import datetime, timedelta
+from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,28 +72,34 @@ def expand(series: DataFrame, before: datetime, look_from: datetime | None = Non
     only what may reach it is kept.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @lru_cache(1024)
+    def rule_of(text: str) -> tuple[recurrence.Rule, datetime | None] | None:
+        try:
+            rule = recurrence.Rule(text)
+            return rule, _until(rule.until)
+        except (ValueError, IndexError):
+            return None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for key, start, rrule, rdates, exdates, length in b[["key", "start", "rrule", "rdates", "exdates", "length_s"]].itertuples(index=False):
-                if pd.isna(start):
+            keys, times = [], []
+            for key, start, rrule, rdates, exdates, length in zip(*(b.column(c).to_pylist() for c in names)):
+                if start is None:
                     continue
-                start = start.to_pydatetime()
                 found = {start}
-                if rrule:
-                    try:
-                        rule = recurrence.Rule(rrule)
-                        until = _until(rule.until)
-                        found = set(rule.starts(start, until, before)) or {start}
-                    except (ValueError, IndexError):
-                        pass
-                as_times = lambda x: {pd.Timestamp(t).to_pydatetime() for t in (x if x is not None else [])}
-                found = (found | as_times(rdates)) - as_times(exdates)
-                floor = None if look_from is None else look_from - timedelta(seconds=int(length or 0)) - LOOK_BACK
-                rows += [(key, t) for t in sorted(found) if t < before and (floor is None or t >= floor)]
-            yield pd.DataFrame(rows, columns=["key", "start"]).astype({"key": "int64", "start": "datetime64[us]"})
-
-    return series.select("key", "start", "rrule", "rdates", "exdates", "length_s").mapInPandas(run, "key bigint, start timestamp_ntz")
+                parsed = rule_of(rrule) if rrule else None
+                if parsed:
+                    found = set(parsed[0].starts(start, parsed[1], before)) or found
+                found = (found | {t for t in rdates or () if t}) - set(exdates or ())
+                floor = None if look_from is None else look_from - timedelta(seconds=length or 0) - LOOK_BACK
+                kept = sorted(t for t in found if t < before and (floor is None or t >= floor))
+                keys += [key] * len(kept)
+                times += kept
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(times, pa.timestamp("us"))], ["key", "start"])
+
+    names = ["key", "start", "rrule", "rdates", "exdates", "length_s"]
+    spread = series.sparkSession.sparkContext.defaultParallelism
+    return series.select(*names).repartition(spread, "key").mapInArrow(run, "key bigint, start timestamp_ntz")
 
 
 def _until(text: str | None) -> datetime | None:

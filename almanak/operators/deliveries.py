@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from almanak.operators.components import components
 
 INVISIBLE = r"[­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯ㅤ︀-️﻿ﾠ￰-￻\x{E0000}-\x{E0FFF}]"
-OUTER = r"^[\s\u0085   -     　]+|[\s\u0085   -     　]+$"
+OUTER = r"^[\s\u0085   -     　]+|[\s\u0085   -     　]+$"
 #: Seconds in a time bucket.
 BUCKET_S = 7 * 86400
 #: Bits a key has in a filter, about one false pass in 400.

@@ -90,12 +90,13 @@ def collapse(view: DataFrame, size: int, newest_first: bool = True) -> DataFrame
     would open row ``size`` + 1 on do not count. Closed form of a greedy pass:
     a hit stands with its copy's first hit, and its thread is that one's.
     """
-    order = in_order(newest_first)
     # a key of their own keeps messages without a copy key apart and spread over tasks
     key = F.coalesce(F.to_json("copy_key"), F.concat(F.lit("\x00"), F.col("uid").cast("string")))
-    first = W.partitionBy("_key").orderBy(*order)
     df = view.select("uid", "date_s", "thread", "seen", "flagged", key.alias("_key"))
-    df = df.withColumn("_row", F.first("thread").over(first)).withColumn("_is_first", F.row_number().over(first) == 1)
+    # the first hit of each copy key by an aggregate that combines before the shuffle, so a key with very many copies is one row a task
+    ends = F.max if newest_first else F.min
+    firsts = df.groupBy("_key").agg(ends(F.struct("date_s", "uid", "thread")).alias("_f")).select("_key", F.col("_f.thread").alias("_row"), F.col("_f.uid").alias("_first_uid"))
+    df = df.join(firsts, "_key").withColumn("_is_first", F.col("uid") == F.col("_first_uid"))
     place = F.struct("date_s", "uid")
     openers = df.groupBy("_row").agg((F.max(place) if newest_first else F.min(place)).alias("_open"))
     page = openers.orderBy(F.desc("_open") if newest_first else F.asc("_open")).limit(size + 1)

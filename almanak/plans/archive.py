@@ -187,8 +187,6 @@ def _quotes(s: SparkSession, d: str) -> DataFrame:
     return p.select("part_no", T.without_quotes("text", F.lit(False)).alias("r")).select("part_no", "r.text", "r.removed")
 
 
-_DOC_TERMS = ([F.col("text"), F.col("title")], ["lease", "the"], ["kiln"])
-
 QUERIES_AND_SQL = {
     "count_total_distinct": (
         lambda s, d: M.distinct_messages(table(s, d, "counted")).agg(F.count("*").alias("messages")),
@@ -247,7 +245,7 @@ QUERIES_AND_SQL = {
         "SELECT sha256(text) AS digest, min(doc_id) AS first_doc, count(*) - 1 AS copies FROM documents WHERE text IS NOT NULL GROUP BY 1",
     ),
     "doc_terms_all_none": (
-        lambda s, d: table(s, d, "documents").filter(C.matches_terms(*_DOC_TERMS)).select("doc_id"),
+        lambda s, d: table(s, d, "documents").filter(C.matches_terms([F.col("text"), F.col("title")], ["lease", "the"], ["kiln"])).select("doc_id"),
         "SELECT doc_id FROM documents WHERE " + " AND ".join(f"(coalesce(contains(lower(text), '{t}'), false) OR coalesce(contains(lower(title), '{t}'), false))" for t in ("lease", "the")) + " AND NOT (coalesce(contains(lower(text), 'kiln'), false) OR coalesce(contains(lower(title), 'kiln'), false))",
     ),
     "digest_docs": (

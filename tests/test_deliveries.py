@@ -40,7 +40,7 @@ def test_equals_union_find(spark, seed):
     r = random.Random(seed)
     rows = []
     for n in range(400):
-        i = r.choice([None, "", " ", f"id{r.randrange(150)}", f" id{r.randrange(150)}\t", f"ID{r.randrange(9)}"])
+        i = r.choice([None, "", " ", f"id{r.randrange(150)}", f"\u00a0id{r.randrange(150)}\t", f"ID{r.randrange(9)}"])
         c = r.choice([None, (None, "a", "b"), (" ", "a", "b"), (f"m{r.randrange(120)}", r.choice(["a", None]), r.choice(["s", "s​", "t"]))])
         rows.append((n, n // 50, START + timedelta(days=r.randrange(200)), i, c, "x", "y"))
     got = repeated_deliveries(spark.createDataFrame(rows, SCHEMA)).collect()
