@@ -38,7 +38,7 @@ aurore benoît cédric élodie fabrice françois gaël hélène loïc maëlle ma
 def names_known(events: DataFrame) -> tuple[list[str], list[str]]:
     """Given and family names that structured fields (organizers, attendees) hold, counted over all rows; bounded by MOST_NAMES each."""
     people = events.select(F.explode(F.concat(F.array("organizer.name"), F.coalesce(F.transform("attendees", lambda a: a["name"]), F.array().cast("array<string>")))).alias("name"))
-    name = F.regexp_replace(F.trim(F.translate("name", " ", " ")), r"\s(?:\p{L}\.\s?)+", " ")
+    name = F.regexp_replace(F.trim(F.translate("name", "\u00a0", " ")), r"\s(?:\p{L}\.\s?)+", " ")
     shape, turned = r"^(\p{L}{2,}(?:-\p{L}+)?) (\p{L}[\p{L}’'-]{2,})$", r"^(\p{L}[\p{L}’'-]{2,}), (\p{L}{2,}(?:-\p{L}+)?)$"
     plain = name.rlike(shape)
     pair = F.struct(F.lower(F.regexp_extract(name, shape, 1)).alias("g"), F.lower(F.regexp_extract(name, shape, 2)).alias("f"))
