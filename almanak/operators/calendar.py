@@ -72,14 +72,6 @@ def expand(series: DataFrame, before: datetime, look_from: datetime | None = Non
     only what may reach it is kept.
     """
 
-    @lru_cache(1024)
-    def rule_of(text: str) -> tuple[recurrence.Rule, datetime | None] | None:
-        try:
-            rule = recurrence.Rule(text)
-            return rule, _until(rule.until)
-        except (ValueError, IndexError):
-            return None
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys, times = [], []
@@ -87,7 +79,7 @@ def expand(series: DataFrame, before: datetime, look_from: datetime | None = Non
                 if start is None:
                     continue
                 found = {start}
-                parsed = rule_of(rrule) if rrule else None
+                parsed = _rule(rrule) if rrule else None
                 if parsed:
                     found = set(parsed[0].starts(start, parsed[1], before)) or found
                 found = (found | {t for t in rdates or () if t}) - set(exdates or ())
@@ -98,10 +90,20 @@ def expand(series: DataFrame, before: datetime, look_from: datetime | None = Non
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(times, pa.timestamp("us"))], ["key", "start"])
 
     names = ["key", "start", "rrule", "rdates", "exdates", "length_s"]
-    spread = series.sparkSession.sparkContext.defaultParallelism
+    session = series.sparkSession
+    spread = max(session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions")))  # rules cost more than their rows weigh
     return series.select(*names).repartition(spread, "key").mapInArrow(run, "key bigint, start timestamp_ntz")
 
 
+@lru_cache(1024)
+def _rule(text: str) -> tuple[recurrence.Rule, datetime | None] | None:
+    try:
+        rule = recurrence.Rule(text)
+        return rule, _until(rule.until)
+    except (ValueError, IndexError):
+        return None
+
+
 def _until(text: str | None) -> datetime | None:
     if text is None:
         return None
@@ -146,3 +148,22 @@ def ics_unescaped(text: Column) -> Column:
     t = F.regexp_replace(text, r"\\\\", "\x00")
     t = F.regexp_replace(F.regexp_replace(t, r"\\[nN]", "\n"), r"\\([,;])", "$1")
     return F.translate(t, "\x00", "\\")
+
+
+def event_view(events: DataFrame, zone: str = "UTC", most: int = 300) -> DataFrame:
+    """Events as a list shows them: start and end in a zone (dates as dates), the description cut, free or busy, hidden characters gone and counted."""
+    from almanak.functions import text as T
+
+    whole_day = F.col("starts.kind") == "date"
+    local = lambda c: F.convert_timezone(F.coalesce(F.col(f"{c}.tz"), F.lit("UTC")), F.lit(zone), F.col(f"{c}.wall"))
+    shown = lambda c: F.when(whole_day, F.date_format(f"{c}.wall", "yyyy-MM-dd")).otherwise(F.date_format(local(c), "yyyy-MM-dd'T'HH:mm:ss"))
+    body = T.clean(F.col("description"))
+    cut, more = T.truncated(body, most)
+    status = T.one_of(F.col("status"), ["confirmed", "tentative", "cancelled"])
+    return events.select("event_no", "uid", T.clean(F.col("summary")).alias("title"), shown("starts").alias("start"), shown("ends").alias("end"), cut.alias("description"), more.alias("cut"), status.alias("status"), F.when(F.col("transparent"), "free").otherwise("busy").alias("shown_as"), T.hidden_count(F.col("description")).alias("hidden"))
+
+
+def event_by_id(occurrences: DataFrame, masters: DataFrame, wanted: str) -> DataFrame:
+    """The occurrence of an id, else the event whose UID it is; the first calendar by ``feed_no`` wins. Both frames hold ``id``, ``feed_no``, ``event_no``."""
+    both = occurrences.withColumn("_way", F.lit(0)).unionByName(masters.withColumn("_way", F.lit(1)), allowMissingColumns=True)
+    return both.filter(F.col("id") == wanted).orderBy("_way", "feed_no", "event_no").limit(1).drop("_way")

@@ -325,4 +325,13 @@ QUERIES_AND_SQL = {
     "html_quote_strip": (lambda s, d: table(s, d, "parts").filter("text is not null and content_type = 'text/html'").select("part_no", T.shown_without_quotes("text").alias("text")), None),
     "html_text": (lambda s, d: table(s, d, "parts").filter("text is not null and content_type = 'text/html'").select("part_no", T.shown("text").alias("text")), None),
     "fold_names": (lambda s, d: _entries(s, d).select("path", T.folded("name").alias("folded"), T.unescaped(T.escaped("name")).alias("same")), f"WITH {_ENTRIES} SELECT path, key AS folded, name AS same FROM e"),
+    "event_list": (
+        lambda s, d: C.event_view(table(s, d, "vevents")).select("event_no", "start", "cut", "status", "shown_as"),
+        "SELECT event_no, CASE WHEN starts.kind = 'date' THEN strftime(starts.wall, '%Y-%m-%d') ELSE strftime((starts.wall AT TIME ZONE coalesce(starts.tz, 'UTC')) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S') END AS start, "
+        f"length(regexp_replace(description, '{_HIDDEN_RE2}', '', 'g')) > 300 AS cut, CASE WHEN status IS NULL THEN NULL WHEN lower(status) IN ('confirmed', 'tentative', 'cancelled') THEN lower(status) ELSE 'other' END AS status, CASE WHEN transparent THEN 'free' ELSE 'busy' END AS shown_as FROM vevents",
+    ),
+    "event_get": (
+        lambda s, d: C.event_by_id(table(s, d, "vevents").select(F.concat("uid", F.lit("|")).alias("id"), "feed_no", "event_no"), table(s, d, "vevents").select(F.col("uid").alias("id"), "feed_no", "event_no"), table(s, d, "vevents").agg(F.min("uid")).first()[0]),
+        "SELECT uid AS id, feed_no, event_no FROM vevents WHERE uid = (SELECT min(uid) FROM vevents) ORDER BY feed_no, event_no LIMIT 1",
+    ),
 }

@@ -15,4 +15,21 @@ QUERIES = {
     "p5_found": lambda s, d: timestamps.normalise_times(table(s, d, "raw_vevents"), table(s, d, "calendars")),
 } | {name: plan for name, (plan, _) in QUERIES_AND_SQL.items()}
 
-ORACLE = {name: sql for name, (_, sql) in QUERIES_AND_SQL.items() if sql}
+_CLEAN = "nullif(regexp_replace(regexp_replace({}, '[\\x{{AD}}\\x{{34F}}\\x{{61C}}\\x{{200B}}-\\x{{200F}}\\x{{202A}}-\\x{{202E}}\\x{{2060}}-\\x{{206F}}\\x{{FE00}}-\\x{{FE0F}}\\x{{FEFF}}]', '', 'g'), '^[\\s\\x{{A0}}]+|[\\s\\x{{A0}}]+$', '', 'g'), '')"
+_DELIVERIES = f"""WITH RECURSIVE c AS (SELECT delivery_no AS no, {_CLEAN.format("id")} AS id, {_CLEAN.format("copy_of.mid")} AS mid, {_CLEAN.format("copy_of.from_addr")} AS f, {_CLEAN.format("copy_of.subject")} AS s FROM counted),
+ k AS (SELECT no, row('i', id, '', '') AS key FROM c WHERE id IS NOT NULL UNION ALL SELECT no, row('c', mid, coalesce(f, chr(1)), coalesce(s, chr(1))) FROM c WHERE mid IS NOT NULL),
+ e AS (SELECT DISTINCT a.no AS a, b.no AS b FROM k a JOIN k b ON a.key = b.key WHERE a.no <> b.no),
+ reach AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM reach r JOIN e ON r.b = e.a),
+ found AS (SELECT min(b) AS first_no, a AS repeat_no FROM reach GROUP BY a HAVING min(b) < a)"""
+_SPANS = """e AS (SELECT feed_no, starts.kind AS kind, starts.wall AS w, coalesce(starts.tz, 'UTC') AS tz, epoch_us(starts.wall AT TIME ZONE coalesce(starts.tz, 'UTC')) AS b, epoch_us(ends.wall AT TIME ZONE coalesce(ends.tz, 'UTC')) AS x,
+  regexp_extract(upper(trim(coalesce(duration, ''))), '^\\+?P(?:(\\d+)W|(?:(\\d+)D)?(?:T(?:(\\d+)H)?(?:(\\d+)M)?(?:(\\d+)S)?)?)$', ['w', 'd', 'h', 'm', 's']) AS p FROM vevents WHERE starts.wall IS NOT NULL AND feed_no IS NOT NULL),
+ l AS (SELECT *, nullif(((coalesce(try_cast(p.w AS BIGINT), 0) * 7 + coalesce(try_cast(p.d AS BIGINT), 0)) * 24 + coalesce(try_cast(p.h AS BIGINT), 0)) * 3600 + coalesce(try_cast(p.m AS BIGINT), 0) * 60 + coalesce(try_cast(p.s AS BIGINT), 0), 0) AS dur FROM e),
+ i AS (SELECT feed_no, b // 1000000 AS b, (CASE WHEN x > b THEN x WHEN kind = 'date' THEN epoch_us((w + to_seconds(coalesce(dur, 86400))) AT TIME ZONE tz) ELSE b + dur * 1000000 END) // 1000000 AS u FROM l)"""
+
+ORACLE = {
+    "p2_found": _DELIVERIES + " SELECT first_no, repeat_no FROM found",
+    "p2_kept": _DELIVERIES + " SELECT delivery_no, id, sent_s, from_addr FROM counted WHERE delivery_no NOT IN (SELECT repeat_no FROM found)",
+    "p3_found": f"""WITH {_SPANS}, o AS (SELECT *, max(u) OVER (PARTITION BY feed_no ORDER BY b, u ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM i WHERE u > b),
+ g AS (SELECT *, count(*) FILTER (WHERE r IS NULL OR b > r) OVER (PARTITION BY feed_no ORDER BY b, u ROWS UNBOUNDED PRECEDING) AS n FROM o), p AS (SELECT feed_no, n, min(b) AS begin_s, max(u) AS until_s FROM g GROUP BY feed_no, n)
+ SELECT feed_no, 'period' AS what, begin_s, until_s FROM p UNION ALL SELECT a.feed_no, 'gap', a.until_s, b.begin_s FROM p a JOIN p b ON a.feed_no = b.feed_no AND b.n = a.n + 1""",
+} | {name: sql for name, (_, sql) in QUERIES_AND_SQL.items() if sql}
