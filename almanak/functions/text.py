@@ -214,7 +214,7 @@ class _Shown(html.parser.HTMLParser):
                 self.skipped.append(tag)
             return
         kind = dict(attrs).get("class") or ""
-        quote = self.drop_quotes and (tag == "blockquote" or tag == "div" and any(x in kind for x in ("gmail_quote", "protonmail_quote", "moz-cite-prefix", "yahoo_quoted")))
+        quote = self.drop_quotes and (tag == "blockquote" or tag == "div" and ("_quote" in kind or "cite-prefix" in kind))
         if tag in ("script", "style", "head", "title") or quote:
             self.skipped = [tag]
         elif tag in self.BLOCKS:
