@@ -23,7 +23,7 @@ def message_view(messages: DataFrame, parts: DataFrame | None = None) -> DataFra
     mid = F.nullif(F.trim("message_id"), F.lit(""))
     has = lambda flag: F.coalesce(F.array_contains("flags", flag), F.lit(False))
     m = messages.select(
-        F.col("msg_no").alias("uid"), F.col("internal_id"), F.coalesce(F.unix_seconds(F.col("internaldate").cast("timestamp")), F.lit(0)).alias("date_s"),
+        F.col("msg_no").alias("uid"), F.col("internal_id"), F.coalesce(F.unix_seconds(F.col("internaldate").cast("timestamp")), F.lit(0)).alias("date_s"), F.col("internaldate").alias("sent"),
         F.col("from_addr"), F.col("to_addrs"), F.col("subject"), has("Seen").alias("seen"), has("Flagged").alias("flagged"),
         T.bare_address(F.col("from_addr")).alias("sender"), F.coalesce("thread_id", "internal_id").alias("thread"),
         F.when(mid.isNotNull(), F.struct(mid.alias("mid"), F.coalesce("from_addr", F.lit("")).alias("frm"), F.coalesce("subject", F.lit("")).alias("subject"))).alias("copy_key"),
@@ -40,7 +40,7 @@ def columns() -> querylang.MailColumns:
     c = F.col
     recipients = F.array_join("to_addrs", ", ")
     return querylang.MailColumns(
-        date=F.timestamp_seconds("date_s"), seen=c("seen"), flagged=c("flagged"), attachments=c("attachments"),
+        date=c("sent"), seen=c("seen"), flagged=c("flagged"), attachments=c("attachments"),
         fields={"from": c("from_addr"), "to": recipients, "subject": c("subject")},
         text=F.concat_ws("\n", c("from_addr"), recipients, c("subject"), c("body")),
     )

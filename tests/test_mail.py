@@ -94,3 +94,14 @@ def test_thread_pages(spark):
 def test_offset_pages(spark):
     df = spark.range(10)
     assert [r.id for r in offset_page(df, [F.col("id")], 8, 5).collect()] == [8, 9] and offset_page(df, [F.col("id")], 50, 5).collect() == []
+
+
+def test_dates_reach_the_scan(spark, data):
+    from datetime import date
+
+    from almanak.plans.querylang import parse
+    from almanak.session import table
+
+    view = M.message_view(table(spark, data, "messages")).withColumn("body", F.lit(None).cast("string"))
+    plan = M.search(view, parse("after:2026-01-01 before:2026-03-01", date(2026, 6, 1))).select("uid")._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(internaldate" in plan and "Or(LessThan(int" in plan and "body" not in plan.split("ReadSchema")[-1]
