@@ -250,3 +250,38 @@ def shown(source: pd.Series) -> pd.Series:
 def shown_without_quotes(source: pd.Series) -> pd.Series:
     """The visible text of HTML outside quotations; of the whole if nothing else is left."""
     return source.map(lambda s: None if s is None else html_text(s, True) or html_text(s))
+
+
+def uri_path(path: Column) -> Column:
+    """A path for a URI: everything but ASCII letters, digits, ``-._~`` and ``/`` percent-encoded."""
+    out = F.url_encode(path)
+    for found, put in (("+", "%20"), ("*", "%2A"), ("%2F", "/"), ("%7E", "~")):
+        out = F.replace(out, F.lit(found), F.lit(put))
+    return out
+
+
+def pages(text: Column) -> Column:
+    """The pages that form feeds part; a last form feed opens none, line feeds at a page's end go."""
+    return F.transform(F.split(F.regexp_replace(text, "\f$", ""), "\f"), lambda p: F.regexp_replace(p, "\n+$", ""))
+
+
+def page_starts(parts: Column) -> Column:
+    """The offset of each page when pages are joined by one character."""
+    return F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.aggregate(F.slice(parts, 1, i), F.lit(0), lambda n, p: n + F.length(p) + 1))
+
+
+def saved_name(index: Column, name: Column) -> Column:
+    """What an attachment is saved as: its index, then the last part of its name without controls, at most 120 characters, escaped."""
+    base = F.regexp_extract(F.coalesce(name, F.lit("attachment")), r"([^/\\]*)$", 1)
+    return F.concat(index.cast("string"), F.lit("-"), escaped(F.substring(F.regexp_replace(base, r"\p{Cc}", ""), 1, 120)))
+
+
+def one_name(name: Column) -> Column:
+    """A name that can stand in a folder; null for an empty one, ``.``, ``..`` and one with a slash."""
+    return F.when((name != "") & ~name.isin(".", "..") & ~name.contains("/"), name)
+
+
+def uid_shaped(text: Column) -> Column:
+    """Whether a text has the form of a node's uid: two ids of 22 or 88 to 108 characters with a tilde between."""
+    part = "([a-zA-Z0-9=_-]{88,108}|[a-zA-Z0-9_-]{22})"
+    return text.rlike(f"^{part}~{part}$")

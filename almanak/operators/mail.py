@@ -191,3 +191,23 @@ def size_batches(sizes: list[tuple[int, int]], most: int) -> list[list[int]]:
         out[-1].append(uid)
         room -= size
     return out
+
+
+def message_by_id(view: DataFrame, prefix: str) -> DataFrame:
+    """The one message whose internal id begins with a prefix of at least 16 characters; ValueError if none or several do."""
+    found = view.filter(T.id_matches(F.col("internal_id"), prefix)).limit(2)
+    n = found.count()
+    if n != 1:
+        raise ValueError(f"{'no message has' if not n else 'several messages have'} an id that begins with {prefix}")
+    return found
+
+
+#: Bytes of an attachment that is given inline at most.
+INLINE_MOST = 5 * 1024 * 1024
+
+
+def attachment(messages: DataFrame, prefix: str, index: int) -> DataFrame:
+    """Name, type, size, digest and (up to INLINE_MOST) base64 content of attachment ``index`` of a message (``internal_id``, ``attachments`` with ``content``)."""
+    a = message_by_id(messages, prefix).select(F.get("attachments", F.lit(index)).alias("a")).filter("a is not null")
+    inline = F.when(F.length("a.content") <= INLINE_MOST, F.base64("a.content"))
+    return a.select(T.saved_name(F.lit(index), F.col("a.name")).alias("name"), T.sniffed(F.col("a.content"), F.col("a.name")).alias("type"), F.length("a.content").cast("bigint").alias("size"), F.sha2("a.content", 256).alias("sha256"), inline.alias("content"))

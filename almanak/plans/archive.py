@@ -334,4 +334,10 @@ QUERIES_AND_SQL = {
         lambda s, d: C.event_by_id(table(s, d, "vevents").select(F.concat("uid", F.lit("|")).alias("id"), "feed_no", "event_no"), table(s, d, "vevents").select(F.col("uid").alias("id"), "feed_no", "event_no"), table(s, d, "vevents").agg(F.min("uid")).first()[0]),
         "SELECT uid AS id, feed_no, event_no FROM vevents WHERE uid = (SELECT min(uid) FROM vevents) ORDER BY feed_no, event_no LIMIT 1",
     ),
+    "page_starts": (
+        lambda s, d: table(s, d, "documents").filter(F.contains("text", F.lit("\f"))).select("doc_id", T.page_starts(T.pages(F.col("text"))).alias("starts")).select("doc_id", F.posexplode("starts").alias("page", "start")),
+        "WITH p AS (SELECT doc_id, list_transform(string_split(regexp_replace(text, '\\x0C$', ''), chr(12)), lambda x: regexp_replace(x, '\\n+$', '')) AS parts FROM documents WHERE contains(text, chr(12))), x AS (SELECT doc_id, parts, unnest(range(len(parts))) AS page FROM p) "
+        "SELECT doc_id, page::INTEGER AS page, coalesce(list_sum(list_transform(parts[1:page], lambda x: length(x) + 1)), 0)::INTEGER AS start FROM x",
+    ),
+    "uri_paths": (lambda s, d: _entries(s, d).select("path", T.uri_path(F.col("path")).alias("uri")), f"WITH {_ENTRIES} SELECT path, replace(url_encode(path), '%2F', '/') AS uri FROM e"),
 }

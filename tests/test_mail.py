@@ -105,3 +105,22 @@ def test_dates_reach_the_scan(spark, data):
     view = M.message_view(table(spark, data, "messages")).withColumn("body", F.lit(None).cast("string"))
     plan = M.search(view, parse("after:2026-01-01 before:2026-03-01", date(2026, 6, 1))).select("uid")._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(internaldate" in plan and "Or(LessThan(int" in plan and "body" not in plan.split("ReadSchema")[-1]
+
+
+def test_one_message_and_its_attachment(spark):
+    a = "name: string, content: binary"
+    df = spark.createDataFrame([("A" * 20, [("x/ré\x07port.pdf", b"%PDF-1.7")]), ("A" * 16 + "B", None), ("C" * 30, [])], f"internal_id string, attachments array<struct<{a}>>")
+    got = M.attachment(df, "A" * 17, 0).collect()[0]
+    assert (got.name, got.type, got["size"], got.content) == ("0-réport.pdf", "application/pdf", 8, "JVBERi0xLjc=")
+    assert M.attachment(df, "C" * 16, 0).collect() == []
+    for bad in ("A" * 16, "D" * 16, "A" * 5):
+        with pytest.raises(ValueError):
+            M.message_by_id(df, bad)
+
+
+def test_names_and_pages(spark):
+    from almanak.functions import text as T
+
+    df = spark.createDataFrame([("a\n\fb\f", ".."), ("", "a/b"), ("x", "ok")], "t string, n string")
+    assert [(r[0], r[1], r[2]) for r in df.select(T.pages(F.col("t")), T.page_starts(T.pages(F.col("t"))), T.one_name(F.col("n"))).collect()] == [(["a", "b"], [0, 2], None), ([""], [0], None), (["x"], [0], "ok")]
+    assert [r[0] for r in spark.createDataFrame([("a" * 22 + "~" + "b" * 88,), ("a~b",)], "s string").select(T.uid_shaped(F.col("s"))).collect()] == [True, False]
