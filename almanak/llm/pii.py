@@ -73,17 +73,27 @@ def reliabilities(votes: np.ndarray, rounds: int = 12) -> np.ndarray:
     return p
 
 
-def features(text: str, c: Candidate) -> list[int]:
-    """Places of a candidate's features: votes by kind, the words beside it, its shape, and its words in small letters."""
-    kind = KINDS.index(c.kind)
-    out = [(kind * len(LABELERS) + i) * 3 + v + 1 for i, v in enumerate(c.votes)]
+def surroundings(text: str, c: Candidate) -> tuple[tuple[str, str], ...]:
+    """The word before a candidate, the one after it, and its shape, each with a mark of what it is."""
     left = text[max(0, c.begin - 20) : c.begin].split()
     right = text[c.end : c.end + 20].split()
-    s = text[c.begin : c.end]
-    shape = "".join("9" if x.isdigit() else "A" if x.isupper() else "a" if x.isalpha() else x for x in s[:12])
-    for tag, x in (("l", left[-1].lower() if left else ""), ("r", right[0].lower() if right else ""), ("s", shape)):
-        out.append(_VOTES + crc32(f"{kind}{tag}{x}".encode()) % SPACE)
-    return out
+    return ("l", left[-1].lower() if left else ""), ("r", right[0].lower() if right else ""), ("s", text[c.begin : min(c.end, c.begin + 12)])
+
+
+def _places(c: Candidate) -> list[int]:
+    kind = KINDS.index(c.kind)
+    return [(kind * len(LABELERS) + i) * 3 + v + 1 for i, v in enumerate(c.votes)]
+
+
+def _place(kind: str, mark: str, x: str) -> int:
+    if mark == "s":
+        x = "".join("9" if ch.isdigit() else "A" if ch.isupper() else "a" if ch.isalpha() else ch for ch in x)
+    return _VOTES + crc32(f"{KINDS.index(kind)}{mark}{x}".encode()) % SPACE
+
+
+def features(text: str, c: Candidate) -> list[int]:
+    """Places of a candidate's features: votes by kind, the words beside it, and its shape."""
+    return _places(c) + [_place(c.kind, mark, x) for mark, x in surroundings(text, c)]
 
 
 def fit(active: np.ndarray, target: np.ndarray, rounds: int = 300, rate: float = 0.05, decay: float = 1e-5) -> tuple[np.ndarray, float]:
@@ -112,6 +122,7 @@ class Detector:
     def __init__(self, given: list[str], family: list[str]):
         self.labelers = Labelers({*given, *GIVEN_NAMES}, family)
         self.weights, self.bias = np.zeros(_VOTES + SPACE), 0.0
+        self.known: dict[tuple, float] = {}
 
     def learn(self, texts: list[str]) -> None:
         found = [(t, c) for t in texts for c in self.labelers.candidates(t)]
@@ -125,11 +136,26 @@ class Detector:
             if mine.any():
                 target[mine] = reliabilities(votes[mine])
         self.weights, self.bias = fit(np.array([features(t, c) for t, c in found]), target)
+        self.known.clear()
+
+    def _score(self, text: str, c: Candidate) -> float:
+        """The classifier's sum, from a bounded memory of the weights of votes, words and shapes met before."""
+        known = self.known
+        total = known.get((c.kind, c.votes))
+        if total is None:
+            total = known[c.kind, c.votes] = self.bias + sum(float(self.weights[i]) for i in _places(c))
+        for mark, x in surroundings(text, c):
+            w = known.get((c.kind, mark, x))
+            if w is None:
+                if len(known) > 300_000:
+                    known.clear()
+                w = known[c.kind, mark, x] = float(self.weights[_place(c.kind, mark, x)])
+            total += w
+        return total
 
     def spans(self, text: str) -> list[tuple[int, int, str]]:
         """``begin``, ``end``, ``kind`` of the personal data in a text, in order and disjoint."""
-        w, b = self.weights, self.bias
-        return [(c.begin, c.end, c.kind) for c in self.labelers.candidates(text) if w[features(text, c)].sum() + b > 0]
+        return [(c.begin, c.end, c.kind) for c in self.labelers.candidates(text) if self._score(text, c) > 0]
 
 
 def free_texts(events: DataFrame, parts: DataFrame) -> DataFrame:
