@@ -88,7 +88,7 @@ ID = re.compile(
     r"|(?P<person>(?:\d{2})?\d{6}[-+]\d{4})|(?P<ssn>\d{3}[ \xa0-]\d{2}[ \xa0-]\d{4})|(?P<nir>[12] \d\d \d\d \d\d \d{3} \d{3}(?: \d\d)?|[12]\d{12,14})|(?P<tin>\d{2}[ \xa0]?\d{3}[ \xa0]?\d{3}[ \xa0]?\d{3})|(?P<nine>\d{9}))(?![\w/]|[.,:-]\d|[ ]\d{3,}\b)"
 )
 
-_WORD = re.compile(r"(?<![^\W_])[A-ZÀ-ÖØ-Þ][^\W\d_]*(?:[’'-][^\W\d_]+)*")
+_WORD = re.compile(r"(?<![^\W_])[A-ZÀ-ÖØ-Þ][^\W\d_]*(?:[’'-](?!s\b)[^\W\d_]+)*")
 _FIRM_NEXT = re.compile(r"[ \xa0](?:&|and Sons|Ltd|Limited|Inc|GmbH|AG|KG|LLC|PLC|SARL|SAS|S\.\s?L|S\.\s?A|Co\b|Partners|Press|Labs|Logistics|Housing|Group|Instruments|Bank|Trust|Society|Books|Foundation|Holding)")
 _PLACE_NEXT = re.compile(r"[ \xa0](?:Row|Road|Rd|Street|St\b|Lane|Avenue|Ave|Drive|Close|Court|Way|Quay|Hill|Blvd|Square|Park|Bridge|Falls|period|bushes?|garden|\d)")
 _SURNAME_END = re.compile(r"(?:mere|by|stead|combe|thwaite|moor|gate|wick|lingford|hurstley|ton|son|ham|ley|ford|berg|mann|dorf|brock|leben|ersleb|maring|untal|esfurt|ickhof|enbrock|ouvret|illiez|onzeau|ardel|ancet|étray|etray|ez|ena|ina|aluz|abuena|erriga|ompar|dorena|iñeda)$", re.I)

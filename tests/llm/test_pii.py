@@ -19,7 +19,7 @@ YES = [
     ("to 16 Quarrel Avenue Apt 19, Harrowmouth, ZZ 00545.", "address", "16 Quarrel Avenue Apt 19, Harrowmouth, ZZ 00545"), ("nach Kaltbachstraße 104, 07811 Wiesbrunn.", "address", "Kaltbachstraße 104, 07811 Wiesbrunn"),
     ("au 177, rue des Tilleuls, 00789 Vaudelys.", "address", "177, rue des Tilleuls, 00789 Vaudelys"), ("en Avda. de los Pinares 36, bajo, 00466 Valdorada.", "address", "Avda. de los Pinares 36, bajo, 00466 Valdorada"), ("from 93 Hob Hill.", "address", "93 Hob Hill"),
     ("98 Fennel Drive\n> Saltmere, ZZ 00227", "address", "98 Fennel Drive\n> Saltmere, ZZ 00227"), ("met Ruth A. Lintcombe there", "name", "Ruth A. Lintcombe"), ("Lintcombe, Ruth said", "name", "Lintcombe, Ruth"), ("by J. Garrmere", "name", "J. Garrmere"),
-    ("Hi Owen,", "name", "Owen"), ("Frau Käthe Garrmere", "name", "Käthe Garrmere"), ("\\nRuth Lintcombe (x)", "name", "Ruth Lintcombe"), ("COLIN LINTCOMBE", "name", "COLIN LINTCOMBE"),
+    ("Hi Owen,", "name", "Owen"), ("in Owen’s office", "name", "Owen"), ("Frau Käthe Garrmere", "name", "Käthe Garrmere"), ("\\nRuth Lintcombe (x)", "name", "Ruth Lintcombe"), ("COLIN LINTCOMBE", "name", "COLIN LINTCOMBE"),
 ]
 NO = ["Message-Id: <123.A@mx4.invalid>", "plan_v2@2x.png", "order 5439 695 6835 #4951957/8652", "Version 6.11.46 on 192.0.2.248", "map 57.8343, 11.2166", "The total came to €8112.22", "(XX-12345) INV-2026-651836", "Meet by Lower Quay, then", "Grace period ends on 2026-06-14", "April 14 is fine", "Rose bushes, hazel and ivy", "Mark the minutes as final", "Lintcombe Logistics Ltd", "page 8311 and 9432 lines"]
 
