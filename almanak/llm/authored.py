@@ -1,9 +1,10 @@
 """Only what the sender newly wrote: quoted mail, signatures and legal text taken out (problem 4).
 
 Lines are exploded with a normalised form and a first label from marks, boxes
-and place (lines.py). Windows then find what bears no mark: a line that another
-message of the thread had first, by date, is a quotation, and a line that
-recurs at the end of what one sender writes is a closing line.
+and place (lines.py). Lines are then ranked by date within (thread, line) and
+counted within (sender, line), which finds what bears no mark: a line that
+another message of the thread had first is a quotation, and a line that recurs
+at the end of what one sender writes is a closing line.
 """
 
 from __future__ import annotations
@@ -13,7 +14,6 @@ from collections.abc import Iterator
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from almanak.llm.lines import CLOSING, TEXT, label_lines, shown_lines
@@ -76,8 +76,10 @@ def not_written_lines(parts: DataFrame, messages: DataFrame, requests: DataFrame
     seeming = rows.filter(F.col("label").isin(TEXT, CLOSING))
 
     long = seeming.filter((F.col("size") >= LEAST_CHARS) & F.col("thread").isNotNull())
-    first = F.first("message").over(W.partitionBy("thread", "key").orderBy("sent", "msg_no", "part_no", "line_no"))
-    later = long.withColumn("first", first).filter("first <> message").select("part_no", "line_no", "key")
+    # who had a line first, by an aggregate that combines before the shuffle: a line that a thread repeats very often is one row a task
+    first = F.min(F.struct("sent", "msg_no", "part_no", "line_no", "message"))
+    firsts = long.groupBy("thread", "key").agg(first.alias("f")).select("thread", "key", F.col("f.message").alias("first"))
+    later = long.join(firsts, ["thread", "key"]).filter("first <> message").select("part_no", "line_no", "key")
     spread = long.select("key", "thread").distinct().groupBy("key").agg(F.count("*").alias("threads")).filter(F.col("threads") <= MOST_THREADS).select("key")
     quoted = later.join(spread, "key", "left_semi").select("part_no", "line_no")
 
