@@ -58,32 +58,42 @@ def solve(targets: DataFrame, totals: DataFrame, blocks: int = BLOCKS) -> DataFr
     return t.withColumn("quota", F.least(F.round(F.col("total") * F.col("goal_share")).cast("bigint"), (F.col("tokens") * F.col("cap")).cast("bigint"))).withColumn("block", F.greatest(F.lit(1), F.ceil(F.col("total") / blocks)).cast("bigint"))
 
 
-def pfair(shares: list[tuple[str, float]], slots: int) -> list[tuple[str, int]]:
-    """Source and block number of each slot: earliest deadline first among the released blocks, ties by share, then name."""
-    total = sum(Fraction(w).limit_denominator(10**9) for _, w in shares)
-    weights = {s: Fraction(w).limit_denominator(10**9) / total for s, w in shares if w > 0}
-    waiting = [(0, s, 0) for s in weights]
+def pfair(shares: list[tuple[str, float]], slots: int | None = None, needed: dict[str, int] | None = None) -> list[tuple[str, int]]:
+    """Source and block number of each slot: earliest deadline first among the released blocks, ties by share, then name.
+
+    A source leaves once it has its blocks of ``needed``. There are ``slots``
+    slots at most; without that, as many as it takes to place every block needed.
+    """
+    if slots is None and needed is None:
+        raise ValueError("either slots or the blocks needed must be given")
+    near = lambda w: Fraction(w).limit_denominator(10**9) or Fraction(w)
+    total = sum(near(w) for _, w in shares)
+    weights = {s: near(w) / total for s, w in shares if w > 0}
+    waiting = [(0, s, 0) for s in weights if needed is None or needed[s] > 0]
     heapq.heapify(waiting)
     ready: list[tuple[int, Fraction, str, int]] = []
-    out = []
-    for now in range(slots):
+    out: list[tuple[str, int]] = []
+    now = 0
+    while (waiting or ready) and (slots is None or len(out) < slots):
+        if not ready:
+            now = max(now, waiting[0][0])
         while waiting and waiting[0][0] <= now:
             _, s, j = heapq.heappop(waiting)
             heapq.heappush(ready, (-(-(j + 1) // weights[s]), -weights[s], s, j))
-        if ready:
-            _, _, s, j = heapq.heappop(ready)
-            out.append((s, j))
+        _, _, s, j = heapq.heappop(ready)
+        out.append((s, j))
+        if needed is None or j + 1 < needed[s]:
             heapq.heappush(waiting, (int((j + 1) // weights[s]), s, j + 1))
+        now += 1
     return out
 
 
 def _slots(rows: pd.DataFrame) -> pd.DataFrame:
     live = rows[rows["quota"] > 0]
-    out = []
-    if len(live):
-        slots = int(-(-live["total"].iloc[0] // live["block"].iloc[0])) + len(live)
-        order = pfair(list(zip(live["source"], live["goal_share"])), slots)
-        out = [(int(live["mix_no"].iloc[0]), s, j, k) for k, (s, j) in enumerate(order)]
+    # a use begins before its source's quota, so these are all the blocks that hold one
+    needed = {s: int(-(-q // b)) for s, q, b in zip(live["source"], live["quota"], live["block"])}
+    order = pfair(list(zip(live["source"], live["goal_share"])), needed=needed)
+    out = [(int(live["mix_no"].iloc[0]), s, j, k) for k, (s, j) in enumerate(order)]
     return pd.DataFrame(out, columns=["mix_no", "source", "block_no", "slot"]).astype({"mix_no": "int64", "block_no": "int64", "slot": "int64"})
 
 

@@ -2,10 +2,11 @@
 
 import os
 
+import pandas as pd
 import pytest
 
 from almanak.llm import encode
-from almanak.llm.mix import Mix, pfair
+from almanak.llm.mix import BLOCKS, Mix, _slots, pfair
 
 pytestmark = pytest.mark.skipif(not os.path.exists(encode.TOKENIZERS), reason="no tokenizers here")
 DOCS = "doc_id bigint, text string, source string, weight string, quota string"
@@ -23,6 +24,31 @@ def test_pfair_stays_within_one_block():
     assert pfair([], 5) == []
 
 
+@pytest.mark.parametrize(
+    "shares,total",
+    [
+        ({"a": 0.5, "b": 0.4999, "c": 0.0001}, 4096), ({"a": 0.5, "b": 0.4999, "c": 0.0001}, 7_259_533), ({"mail": 0.15, "drive": 0.25, "notes": 0.2, "chat": 0.4}, 7_259_533), ({"mail": 0.15, "drive": 0.25, "notes": 0.2, "chat": 0.4}, 2_390_884),
+        ({"mail": 0.4, "drive": 0.2, "calendar": 0.1, "notes": 0.1, "export": 0.1, "scan": 0.05, "list": 0.03, "chat": 0.02}, 1_602_710), ({"a": 1 - 1e-10, "b": 1e-10}, 10**10),
+    ],
+)
+def test_every_block_needed_has_a_slot(shares, total):
+    block = -(-total // BLOCKS)
+    whole = sum(shares.values())
+    rows = pd.DataFrame([(1, s, w / whole, round(total * w / whole), total, block) for s, w in shares.items()], columns=["mix_no", "source", "goal_share", "quota", "total", "block"])
+    slots = _slots(rows)
+    assert list(slots["slot"]) == list(range(len(slots)))
+    for s, quota in zip(rows["source"], rows["quota"]):
+        assert list(slots[slots["source"] == s]["block_no"]) == list(range(-(-quota // block)))
+
+
+def test_schedule_holds_every_use(spark):
+    names = {"a": 0.5, "b": 0.4999, "c": 0.0001}
+    docs = [(n * 10 + k, "word " * (1 + n % 3), s, "", "") for n in range(900) for k, s in enumerate(names)]
+    mix = Mix(spark.createDataFrame(docs, DOCS), spark.createDataFrame([(1, s, w, 3, "") for s, w in names.items()], TARGETS), blocks=16)
+    key = ["mix_no", "source", "doc_id", "pass"]
+    assert sorted(map(tuple, mix.schedule().select(key).collect())) == sorted(map(tuple, mix.uses().select(key).collect()))
+
+
 def test_shares_caps_and_schedule(spark):
     docs = [(n, "word " * (5 + n % 11), ["Mail", " mail", "notes", "scan"][n % 4], "x", "y") for n in range(400)] + [(900, None, "mail", "", ""), (901, "x", None, "", ""), (902, "", "notes", "", "")]
     targets = [(1, "MAIL ", 2.0, None, ""), (1, "notes", 1.0, 3, ""), (1, "fax", 1.0, 2, ""), (2, "scan", 0.0, 1, ""), (3, "scan", 50.0, 4, ""), (3, "notes", None, 4, ""), (4, "mail", -1.0, 2, ""), (None, "mail", 1.0, 1, ""), (5, "notes", 1.0, 0, "")]
