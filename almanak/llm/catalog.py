@@ -16,7 +16,8 @@ QUERIES = {
     "p8_schedule": lambda s, d: mix.Mix(table(s, d, "documents"), table(s, d, "mix_targets")).schedule(),
     "p8_shares": lambda s, d: mix.Mix(table(s, d, "documents"), table(s, d, "mix_targets")).shares(),
     "p9_found": lambda s, d: spans.shared_pairs(table(s, d, "documents")),
-    "p9_shares": lambda s, d: spans.shared_amounts(table(s, d, "documents")),
+    "p9_shares": lambda s, d: spans.document_amounts(table(s, d, "documents")),
+    "p9_spans": lambda s, d: spans.shared_spans(table(s, d, "documents")),
 }
 
 ORACLE: dict[str, str] = {}

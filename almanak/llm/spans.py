@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -244,6 +244,83 @@ class SharedSpans:
         return d.select("doc_id", "n_chars", shared.alias("shared_chars"), F.round(shared / F.col("n_chars"), 6).alias("share"), (F.col("copies") - 1).alias("copies"))
 
 
+    def _runs(self) -> DataFrame:
+        """``t``, ``chain``, ``n``, ``u``, ``s``, ``e``: the shared windows of each text in order, compacted.
+
+        Long paths and single windows are the steps; windows that begin one
+        code point after another chain, and steps that follow each other in
+        every text are one run ``u``.
+        """
+        steps = self.paths.filter(F.col("e") - F.col("s") >= SPAN).select(F.xxhash64(F.lit(2), "path").alias("g"), "t", "s", "e").unionByName(self.windows.select(F.xxhash64(F.lit(1), "w").alias("g"), "t", F.col("pos").alias("s"), (F.col("pos") + SPAN).alias("e")))
+        along = W.partitionBy("t").orderBy("s")
+        goes_on = F.lead("s").over(along) == F.col("e") - SPAN + 1
+        came = F.coalesce(F.lag("e").over(along) - SPAN + 1 == F.col("s"), F.lit(False))
+        link = lambda there, g: F.when(there, g).otherwise(0)
+        rows = checkpoint(steps.withColumn("came", came).withColumn("on", link(goes_on, F.lead("g").over(along))).withColumn("back", link(came, F.lag("g").over(along))))
+        one = lambda c: (F.min(c) == F.max(c)) & (F.min(c) != 0)
+        nodes = rows.groupBy("g").agg(one("on").alias("one_on"), one("back").alias("one_back"))
+        rows = rows.select("g", "t", "s", "e", "came").join(nodes, "g")
+        joined = F.coalesce(F.lag("one_on").over(along), F.lit(False)) & F.col("one_back")
+        rows = rows.withColumn("n", F.sum(F.when(joined, 0).otherwise(1)).over(along)).withColumn("chain", F.sum(F.when(F.col("came"), 0).otherwise(1)).over(along))
+        runs = rows.groupBy("t", "chain", "n").agg(F.min_by("g", "s").alias("head"), F.min("s").alias("s"), F.max("e").alias("e"))
+        return runs.select("t", "chain", "n", F.xxhash64("head", F.col("e") - F.col("s")).alias("u"), "s", "e")
+
+    def text_spans(self) -> DataFrame:
+        """``t``, ``begin``, ``end``, ``passage``: the maximal spans of each text that stand, whole, in a different text.
+
+        From each run on, what follows is compared with the nearest of other
+        texts in sorted order, which have most in common with it; so no pairs
+        are made, however many texts share a passage. A run that repeats at
+        once is one item with its count, so periodic texts stay small.
+        """
+        chain, along = W.partitionBy("t", "chain"), W.partitionBy("t", "chain").orderBy("n")
+        anew = F.coalesce(F.lag("u").over(along) != F.col("u"), F.lit(True))
+        items = self._runs().withColumn("i", F.sum(F.when(anew, 1).otherwise(0)).over(along)).groupBy("t", "chain", "i", "u").agg(F.count("*").alias("c"), F.min("s").alias("s"), F.min(F.col("e") - F.col("s")).alias("size"))
+        later = F.collect_list(F.struct("u", "c", "s", "size")).over(chain.orderBy("i").rowsBetween(1, W.unboundedFollowing))
+        rows = items.withColumn("later", later).withColumn("left", F.explode(F.sequence(F.col("c"), F.lit(1), F.lit(-1))))
+        step = F.col("size") - SPAN + 1
+        at = (F.col("s") + (F.col("c") - F.col("left")) * step).alias("s")
+        rows = rows.withColumn("all", F.concat(F.array(F.struct("u", F.col("left").alias("c"), at, "size")), "later"))
+        rows = rows.select("t", "chain", "u", "all", F.element_at("all", 1)["s"].alias("begin"), F.transform("all", lambda x: F.struct(x["u"].alias("u"), x["c"].alias("c"))).alias("us"))
+        key, back = ["us", "t", "begin"], [F.desc("us"), F.desc("t"), F.desc("begin")]
+        for name, order in (("up", W.partitionBy("u").orderBy(*key)), ("down", W.partitionBy("u").orderBy(*back))):
+            rows = rows.withColumn(name, F.when(F.lag("t").over(order) != F.col("t"), F.lag("us").over(order)))
+            rows = rows.withColumn(name, F.last(name, True).over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
+        rows = rows.withColumn("found", F.greatest(_common("up"), _common("down"))).filter("found is not null").select("t", "chain", "begin", "found.end", "found.passage")
+        before = F.coalesce(F.lag("end").over(chain.orderBy("begin")), F.lit(-1))
+        return rows.withColumn("before", before).filter("end > before").select("t", F.col("begin").cast("bigint").alias("begin"), F.col("end").cast("bigint").alias("end"), "passage")
+
+    def spans(self) -> DataFrame:
+        """``doc_id``, ``begin``, ``end``, ``passage``: every maximal span of at least SPAN code points that another document has too.
+
+        A span is as long as any one other document allows, so spans shared
+        with different documents may overlap; a text with copies is one span.
+        Equal spans have one ``passage``.
+        """
+        found = self.text_spans()
+        sizes = self.texts.groupBy("t").agg(F.count("*").alias("docs"), F.max(F.length("text")).cast("bigint").alias("size"))
+        copied = sizes.filter("docs > 1")
+        whole = copied.join(found, ["t"], "left").groupBy("t", "size").agg(F.max(F.when((F.col("begin") == 0) & (F.col("end") == F.col("size")), F.col("passage"))).alias("p"))
+        whole = whole.select("t", F.lit(0).cast("bigint").alias("begin"), F.col("size").alias("end"), F.coalesce("p", F.xxhash64(F.lit(3), "t")).alias("passage"))
+        parts = found.join(copied.select("t"), "t", "left_anti")
+        return self.copies.join(parts.unionByName(whole), "t").select("doc_id", "begin", "end", "passage")
+
+
+def _common(other: str) -> Column:
+    """``end`` and ``passage`` of what ``all`` begins with in common with ``other``; null if nothing."""
+    us, o = F.col("us"), F.col(other)
+    differs = F.array_position(F.zip_with(us, o, lambda a, b: F.coalesce(a == b, F.lit(False))), False)
+    m = F.when(differs > 0, differs - 1).otherwise(F.size(us)).cast("int")
+    mine, its = F.get("all", m), F.get(o, m)
+    # the first item that differs may be the same run, repeated more or less often
+    more = F.when(mine["u"] == its["u"], F.least(mine["c"], its["c"]))
+    last, count = F.when(more.isNotNull(), mine).otherwise(F.get("all", m - 1)), F.coalesce(more, F.get("all", m - 1)["c"])
+    end = last["s"] + (count - 1) * (last["size"] - SPAN + 1) + last["size"]
+    same = F.slice(us, F.lit(1), m)
+    same = F.when(more.isNull(), same).otherwise(F.concat(same, F.array(F.struct(mine["u"].alias("u"), more.alias("c")))))
+    return F.when(o.isNotNull() & ((m > 0) | more.isNotNull()), F.struct(end.alias("end"), F.xxhash64(same).alias("passage")))
+
+
 def shared_pairs(documents: DataFrame) -> DataFrame:
     """``doc_a``, ``doc_b``: pairs whose texts share a span of at least SPAN code points; null and short texts share none."""
     return SharedSpans(documents).pairs()
@@ -252,3 +329,14 @@ def shared_pairs(documents: DataFrame) -> DataFrame:
 def shared_amounts(documents: DataFrame) -> DataFrame:
     """One row per document of at least SPAN code points: how much of it stands elsewhere."""
     return SharedSpans(documents).shares()
+
+
+def document_amounts(documents: DataFrame) -> DataFrame:
+    """One row per document, whatever its text: how much of it stands elsewhere; null, empty and short texts share nothing."""
+    every = documents.filter("doc_id is not null").select("doc_id", F.coalesce(F.length("text"), F.lit(0)).cast("bigint").alias("n_chars"))
+    return every.join(shared_amounts(documents).drop("n_chars"), "doc_id", "left").fillna(0, ["shared_chars", "share", "copies"])
+
+
+def shared_spans(documents: DataFrame) -> DataFrame:
+    """``doc_id``, ``begin``, ``end``, ``passage``: the maximal passages of at least SPAN code points that other documents have too."""
+    return SharedSpans(documents).spans()

@@ -6,7 +6,7 @@ from collections import defaultdict
 import pytest
 
 from almanak.llm import spans
-from almanak.llm.spans import SPAN, shared_amounts, shared_pairs
+from almanak.llm.spans import SPAN, document_amounts, shared_amounts, shared_pairs, shared_spans
 
 DOCS = "doc_id bigint, text string, t string, h string, pos string"
 
@@ -42,6 +42,49 @@ def test_equals_all_windows(spark, seed):
     assert {x.doc_id: x.shared_chars for x in shared_amounts(df).collect()} == shared
 
 
+def brute_spans(rows):
+    """Per document, the spans that another holds whole and that no longer such span holds."""
+    where = defaultdict(list)
+    for d, t in rows:
+        for k in range(len(t or "") - SPAN + 1):
+            where[t[k : k + SPAN]].append((d, k))
+    texts, out = dict(rows), set()
+    for d, t in rows:
+        reached = 0
+        for k in range(len(t or "") - SPAN + 1):
+            best = 0
+            for o, j in where[t[k : k + SPAN]]:
+                if o != d:
+                    n = SPAN
+                    while k + n < len(t) and t[k : k + n + 1] == texts[o][j : j + n + 1]:
+                        n += 1
+                    best = max(best, k + n)
+            if best > reached:
+                out.add((d, k, best))
+                reached = best
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_spans_equal_all_windows(spark, seed):
+    r = random.Random(seed)
+    noise = lambda n: "".join(r.choice("abcdefghij klmno漢字😀\n") for _ in range(n))
+    passages = [noise(n) for n in (179, 180, 181, 200, 260, 420, 900)]
+    cut = lambda p: p[r.randrange(0, len(p) // 2) :][: r.randrange(100, 900)]
+    rows = [(d, noise(r.randrange(0, 200)) + "".join(r.choice([lambda p: p, cut])(r.choice(passages)) + noise(r.randrange(0, 60)) for _ in range(r.randrange(0, 4)))) for d in range(40)]
+    # two passages that touch here and are apart elsewhere: shared twice, not once as a whole
+    rows += [(60, "x" + passages[4] + passages[5] + "y"), (61, "1" + passages[4]), (62, passages[5] + "2")]
+    rows += [(100, "a" * 300), (101, "b" * 180 + "a" * 190 + "c" * 200), (102, "-=" * 150), (103, "x" + "-=" * 95 + "b" * 181), (104, "a" * 179), (105, None), (106, ""), (107, rows[0][1] + passages[6]), (108, passages[6][3:890]), (109, "a" * 200 + "c" * 190), (110, "abc" * 99 + "d")]
+    rows += [(200 + k, passages[5] + "!") for k in range(3)] + [(210, passages[4]), (211, passages[4]), (212, "short"), (213, "short")]
+    df = spark.createDataFrame([(*x, "", "", "") for x in rows], DOCS)
+    got = shared_spans(df).collect()
+    assert {(x.doc_id, x.begin, x.end) for x in got} == brute_spans(rows) and len(got) == len({(x.doc_id, x.begin, x.end) for x in got})
+    texts = dict(rows)
+    assert len({(x.passage, texts[x.doc_id][x.begin : x.end]) for x in got}) == len({x.passage for x in got}) == len({texts[x.doc_id][x.begin : x.end] for x in got})
+    _, shared = brute(rows)
+    assert {x.doc_id: (x.n_chars, x.shared_chars) for x in document_amounts(df).collect()} == {d: (len(t or ""), shared.get(d, 0)) for d, t in rows}
+
+
 def test_texts_longer_than_a_chunk(spark, monkeypatch):
     monkeypatch.setattr(spans, "CHUNK", 1000)
     r = random.Random(3)
