@@ -6,7 +6,7 @@ import calendar
 from collections.abc import Iterator
 from datetime import date, datetime, timedelta
 
-#: Occurrences of one series at most.
+#: Occurrences of one series at most, from the begin of what is asked for.
 MOST = 2_000
 DAYS = ("MO", "TU", "WE", "TH", "FR", "SA", "SU")
 
@@ -44,10 +44,15 @@ class Rule:
             out.append(d)
         return out
 
-    def _sets(self, start: datetime) -> Iterator[list[date]]:
-        """The dates of each period, in order; dates that don't exist are left out."""
+    def _skipped(self, day: date, to: date) -> int:
+        """Periods from ``day`` on that surely end before ``to``."""
+        periods = {"DAILY": (to - day).days, "WEEKLY": (to - day).days // 7, "MONTHLY": (to.year - day.year) * 12 + to.month - day.month, "YEARLY": to.year - day.year}
+        return max(0, periods[self.freq] // self.interval - 1)
+
+    def _sets(self, start: datetime, since: date | None = None) -> Iterator[list[date]]:
+        """The dates of each period, in order; dates that don't exist are left out. Periods before ``since`` may be."""
         day = start.date()
-        step = 0
+        step = self._skipped(day, since) if since else 0
         while True:
             if self.freq == "DAILY":
                 d = day + timedelta(days=step * self.interval)
@@ -78,11 +83,14 @@ class Rule:
                     yield [d for m in months for d in self._days_of_month(y, m, start)]
             step += 1
 
-    def starts(self, start: datetime, until: datetime | None, before: datetime, most: int = MOST) -> Iterator[datetime]:
-        """Occurrences from ``start`` on, on the wall clock, up to ``until`` and before ``before``."""
-        given, empty = 0, 0
+    def starts(self, start: datetime, until: datetime | None, before: datetime, most: int = MOST, since: datetime | None = None) -> Iterator[datetime]:
+        """Occurrences from ``start`` on, on the wall clock, up to ``until`` and before ``before``.
+
+        With ``since`` those at or after it, ``most`` of them; COUNT counts from ``start`` all the same.
+        """
+        given, counted, empty = 0, 0, 0
         try:
-            for dates in self._sets(start):
+            for dates in self._sets(start, since.date() if since and self.count is None else None):
                 if self.positions and dates:
                     dates = sorted({dates[p - 1 if p > 0 else p] for p in self.positions if abs(p) <= len(dates)})
                 empty = 0 if dates else empty + 1
@@ -90,10 +98,12 @@ class Rule:
                     at = datetime.combine(d, start.time())
                     if at < start:
                         continue
-                    if (until is not None and at > until) or at >= before or given >= most or (self.count is not None and given >= self.count):
+                    if (until is not None and at > until) or at >= before or given >= most or (self.count is not None and counted >= self.count):
                         return
-                    given += 1
-                    yield at
+                    counted += 1
+                    if since is None or at >= since:
+                        given += 1
+                        yield at
                 if empty > 4000:
                     return
         except (OverflowError, ValueError):

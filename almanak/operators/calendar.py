@@ -69,7 +69,7 @@ def expand(series: DataFrame, before: datetime, look_from: datetime | None = Non
 
     Rules run on the wall clock; extra dates join, exceptions go, both without
     repeats; an unreadable rule gives the first start only. With ``look_from``
-    only what may reach it is kept.
+    only what may reach it is kept, however long before it the series began.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,11 +79,11 @@ def expand(series: DataFrame, before: datetime, look_from: datetime | None = Non
                 if start is None:
                     continue
                 found = {start}
+                floor = None if look_from is None else look_from - timedelta(seconds=length or 0) - LOOK_BACK
                 parsed = _rule(rrule) if rrule else None
                 if parsed:
-                    found = set(parsed[0].starts(start, parsed[1], before)) or found
+                    found = set(parsed[0].starts(start, parsed[1], before, since=floor)) or found
                 found = (found | {t for t in rdates or () if t}) - set(exdates or ())
-                floor = None if look_from is None else look_from - timedelta(seconds=length or 0) - LOOK_BACK
                 kept = sorted(t for t in found if t < before and (floor is None or t >= floor))
                 keys += [key] * len(kept)
                 times += kept

@@ -53,6 +53,21 @@ def test_expand_and_override(spark):
     assert C.expand(spark.createDataFrame([], SERIES), FAR).collect() == []
 
 
+def test_series_begun_long_before_its_window(spark):
+    began, look_from, before = datetime(2016, 1, 4, 9), datetime(2026, 1, 5), datetime(2026, 1, 12)
+    rules = ["FREQ=DAILY", "FREQ=WEEKLY;BYDAY=MO,TU,WE,TH,FR", "FREQ=DAILY;COUNT=3657", "FREQ=DAILY;UNTIL=20260106"]
+    out = C.expand(spark.createDataFrame([(k, began, r, None, None, 3600) for k, r in enumerate(rules)], SERIES), before, look_from).collect()
+    assert [sorted(r.start.day for r in out if r.key == k) for k in range(4)] == [[5, 6, 7, 8, 9, 10, 11], [5, 6, 7, 8, 9], [5, 6, 7], [5, 6]]
+
+
+@pytest.mark.parametrize("rule", ["FREQ=DAILY;INTERVAL=3", "FREQ=WEEKLY;INTERVAL=2;WKST=SU;BYDAY=SU,TU", "FREQ=MONTHLY;INTERVAL=5;BYDAY=-1FR", "FREQ=MONTHLY", "FREQ=YEARLY;BYMONTH=2;BYMONTHDAY=29", "FREQ=YEARLY;BYDAY=1MO,-1SU", "FREQ=DAILY;COUNT=700"])
+def test_starts_since(rule):
+    start, end = datetime(2016, 1, 31, 9), datetime(2022, 1, 1)
+    every = list(Rule(rule).starts(start, None, end, 10**6))
+    for since in (datetime(2010, 1, 1), start, datetime(2016, 3, 1, 10), datetime(2017, 12, 31, 9), datetime(2019, 6, 30), datetime(2024, 1, 1)):
+        assert list(Rule(rule).starts(start, None, end, 40, since)) == [t for t in every if t >= since][:40]
+
+
 def test_terms(spark):
     df = spark.createDataFrame([(1, "Survey map", None), (2, "survey", "map"), (3, None, "the survey map at the kiln"), (4, None, None)], "id bigint, a string, b string")
     find = lambda q: {r.id for r in df.filter(C.matches_terms([F.col("a"), F.col("b")], *C.terms(q))).collect()}
