@@ -3,14 +3,45 @@
 from __future__ import annotations
 
 import calendar
-from collections.abc import Iterator
-from datetime import date, datetime, timedelta
+from collections.abc import Callable, Iterator
+from datetime import date, datetime, timedelta, timezone
+from functools import lru_cache
+from zoneinfo import ZoneInfo
 
 #: Occurrences of one series at most, from the begin of what is asked for.
 MOST = 2_000
 DAYS = ("MO", "TU", "WE", "TH", "FR", "SA", "SU")
 
 
+@lru_cache(1024)
+def zone_info(name: str | None) -> ZoneInfo | None:
+    """The zone of an IANA id; null for UTC and for what is none."""
+    try:
+        return ZoneInfo(name) if name and name != "UTC" else None
+    except (ValueError, OSError, KeyError):
+        return None
+
+
+def instant(wall: datetime, zone: ZoneInfo | None) -> datetime:
+    """UTC of a wall time: the earlier of two, a skipped one moved by the skip."""
+    if zone is None:
+        return wall
+    try:
+        return wall.replace(tzinfo=zone).astimezone(timezone.utc).replace(tzinfo=None)
+    except OverflowError:
+        return wall
+
+
+def wall_time(utc: datetime, zone: ZoneInfo | None) -> datetime:
+    """The wall time of a UTC instant."""
+    if zone is None:
+        return utc
+    try:
+        return utc.replace(tzinfo=timezone.utc).astimezone(zone).replace(tzinfo=None, fold=0)
+    except OverflowError:
+        return utc
+
+
 class Rule:
     """A parsed rule. Raises ValueError for what it can't read."""
 
@@ -83,14 +114,14 @@ class Rule:
                     yield [d for m in months for d in self._days_of_month(y, m, start)]
             step += 1
 
-    def starts(self, start: datetime, until: datetime | None, before: datetime, most: int = MOST, since: datetime | None = None) -> Iterator[datetime]:
-        """Occurrences from ``start`` on, on the wall clock, up to ``until`` and before ``before``.
+    def starts(self, start: datetime, until: datetime | None, before: datetime, most: int = MOST, since: datetime | None = None, utc: Callable[[datetime], datetime] = lambda t: t) -> Iterator[datetime]:
+        """Occurrences from ``start`` on, on the wall clock, up to ``until`` and before ``before``; ``utc`` makes them what these and ``since`` are.
 
         With ``since`` those at or after it, ``most`` of them; COUNT counts from ``start`` all the same.
         """
         given, counted, empty = 0, 0, 0
         try:
-            for dates in self._sets(start, since.date() if since and self.count is None else None):
+            for dates in self._sets(start, since.date() - timedelta(days=2) if since and since.year > 1 and self.count is None else None):
                 if self.positions and dates:
                     dates = sorted({dates[p - 1 if p > 0 else p] for p in self.positions if abs(p) <= len(dates)})
                 empty = 0 if dates else empty + 1
@@ -98,10 +129,11 @@ class Rule:
                     at = datetime.combine(d, start.time())
                     if at < start:
                         continue
-                    if (until is not None and at > until) or at >= before or given >= most or (self.count is not None and counted >= self.count):
+                    now = utc(at)
+                    if (until is not None and now > until) or now >= before or given >= most or (self.count is not None and counted >= self.count):
                         return
                     counted += 1
-                    if since is None or at >= since:
+                    if since is None or now >= since:
                         given += 1
                         yield at
                 if empty > 4000:

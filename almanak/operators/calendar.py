@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from datetime import datetime, timedelta
 from functools import lru_cache
+from zoneinfo import ZoneInfo
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -13,8 +14,8 @@ from pyspark.sql import functions as F
 from almanak.functions import recurrence
 from almanak.functions import zones as Z
 
-#: Occurrences of a query at most, and how far back a series may begin before the window, beside its length.
-MOST_OCCURRENCES, LOOK_BACK = 50_000, timedelta(hours=3)
+#: How far back a series may begin before the window, beside its length.
+LOOK_BACK = timedelta(hours=3)
 
 
 def overlaps(start: Column, end: Column, begin: Column, until: Column) -> Column:
@@ -65,26 +66,38 @@ def simple_starts(start: Column, freq: Column, count: Column) -> Column:
 
 
 def expand(series: DataFrame, before: datetime, look_from: datetime | None = None) -> DataFrame:
-    """``key``, ``start``: occurrences of series (``key``, ``start`` wall time, ``rrule``, ``rdates``, ``exdates``, ``length_s``).
-
-    Rules run on the wall clock; extra dates join, exceptions go, both without
-    repeats; an unreadable rule gives the first start only. With ``look_from``
-    only what may reach it is kept, however long before it the series began.
+    """``key``, ``start``: occurrences of series (``key``, ``start`` wall time, ``rrule``, ``rdates``, ``exdates``, ``length_s``, perhaps ``zone``).
+
+    Rules run on the wall clock of ``zone``, an IANA id: the series' own, of
+    floating ones the reader's; null or none is UTC. ``before`` and
+    ``look_from`` are UTC, and instants are compared. ``rdates`` and
+    ``exdates`` are wall times of the series, or structs ``kind``, ``wall``,
+    ``tz`` as sent. Extra dates join, exceptions go, both without repeats; an
+    unreadable rule gives the first start only. With ``look_from`` only what
+    may reach it is kept, however long before it the series began.
     """
+    zoned = "zone" in series.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys, times = [], []
-            for key, start, rrule, rdates, exdates, length in zip(*(b.column(c).to_pylist() for c in names)):
+            zones = b.column("zone").to_pylist() if zoned else [None] * b.num_rows
+            for key, start, rrule, rdates, exdates, length, name in zip(*(b.column(c).to_pylist() for c in names), zones):
                 if start is None:
                     continue
-                found = {start}
+                zone = recurrence.zone_info(name)
+                utc = lambda t, z=zone: recurrence.instant(t, z)
+                found = {utc(start): start}
                 floor = None if look_from is None else look_from - timedelta(seconds=length or 0) - LOOK_BACK
                 parsed = _rule(rrule) if rrule else None
                 if parsed:
-                    found = set(parsed[0].starts(start, parsed[1], before, since=floor)) or found
-                found = (found | {t for t in rdates or () if t}) - set(exdates or ())
-                kept = sorted(t for t in found if t < before and (floor is None or t >= floor))
+                    until = parsed[1] if parsed[1] is None or parsed[0].until.endswith("Z") else utc(parsed[1])
+                    found = {utc(t): t for t in parsed[0].starts(start, until, before, since=floor, utc=utc)} or found
+                extra = {_sent(t, zone) for t in rdates or () if t}
+                found |= {t: recurrence.wall_time(t, zone) for t in extra if t not in found}
+                for t in exdates or ():
+                    found.pop(_sent(t, zone) if t else None, None)
+                kept = sorted(w for t, w in found.items() if t < before and (floor is None or t >= floor))
                 keys += [key] * len(kept)
                 times += kept
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(times, pa.timestamp("us"))], ["key", "start"])
@@ -92,7 +105,16 @@ def expand(series: DataFrame, before: datetime, look_from: datetime | None = Non
     names = ["key", "start", "rrule", "rdates", "exdates", "length_s"]
     session = series.sparkSession
     spread = max(session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions")))  # rules cost more than their rows weigh
-    return series.select(*names).repartition(spread, "key").mapInArrow(run, "key bigint, start timestamp_ntz")
+    return series.select(*names, *["zone"] * zoned).repartition(spread, "key").mapInArrow(run, "key bigint, start timestamp_ntz")
+
+
+def _sent(value: datetime | dict, zone: ZoneInfo | None) -> datetime:
+    """UTC of an extra date or exception: a wall time of the series, or a struct ``kind``, ``wall``, ``tz``."""
+    if isinstance(value, datetime):
+        return recurrence.instant(value, zone)
+    if value["kind"] == "utc":
+        return value["wall"]
+    return recurrence.instant(value["wall"], (recurrence.zone_info(value["tz"]) or zone if value["tz"] != "UTC" else None) if value["kind"] == "zoned" else zone)
 
 
 @lru_cache(1024)

@@ -11,9 +11,11 @@ from datetime import datetime
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from almanak.functions import recurrence
+
 TIME = "struct<kind: string, wall: timestamp_ntz, tz: string>"
 PERSON = "struct<name: string, email: string, response: string>"
-SCHEMA = f"feed string, event_no bigint, uid string, summary string, description string, location string, starts {TIME}, ends {TIME}, duration string, rrule string, rdates array<timestamp_ntz>, exdates array<timestamp_ntz>, recurrence_id {TIME}, status string, transparent boolean, organizer {PERSON}, attendees array<{PERSON}>, skipped boolean"
+SCHEMA = f"feed string, event_no bigint, uid string, summary string, description string, location string, starts {TIME}, ends {TIME}, duration string, rrule string, rdates array<timestamp_ntz>, exdates array<timestamp_ntz>, recurrence_id {TIME}, status string, transparent boolean, organizer {PERSON}, attendees array<{PERSON}>, skipped boolean, rdates_sent array<{TIME}>, exdates_sent array<{TIME}>"
 
 
 def unfolded(text: str) -> list[str]:
@@ -80,7 +82,7 @@ def parse(text: str, feed: str = "") -> Iterator[tuple]:
             if name in ("DTSTART", "DTEND", "RECURRENCE-ID"):
                 event[name] = time_value(value, params)
             elif name in ("RDATE", "EXDATE"):
-                event[name.lower() + "s"] += [t[1] for v in value.split(",") if (t := time_value(v, params))]
+                event[name.lower() + "s"] += [t for v in value.split(",") if (t := time_value(v, params))]
             elif name == "ATTENDEE":
                 event["attendees"].append(person(params, value))
             elif name == "ORGANIZER":
@@ -89,6 +91,16 @@ def parse(text: str, feed: str = "") -> Iterator[tuple]:
                 event.setdefault(name, value)
 
 
+def _walls(sent: list[tuple[str, datetime, str | None]], e: dict) -> list[datetime]:
+    """Times as wall times of the event's own zone, where both have one; a floating or whole-day event has the reader's, so theirs stay as sent."""
+    own = e.get("DTSTART")
+    if not own or own[0] not in ("utc", "zoned"):
+        return [wall for _, wall, _ in sent]
+    zone = recurrence.zone_info(own[2])
+    known = lambda tz: tz == "UTC" or recurrence.zone_info(tz) is not None
+    return [recurrence.wall_time(recurrence.instant(wall, recurrence.zone_info(tz)), zone) if tz != own[2] and known(tz) and known(own[2]) else wall for _, wall, tz in sent]
+
+
 def _row(feed: str, number: int, e: dict) -> tuple:
     text = lambda k: plain(e[k]) if k in e else None
     status = (e.get("STATUS") or "").strip().lower() or None
@@ -96,7 +108,7 @@ def _row(feed: str, number: int, e: dict) -> tuple:
     skipped = not e.get("UID") or not e.get("DTSTART")
     return (
         feed, number, text("UID"), text("SUMMARY"), text("DESCRIPTION"), text("LOCATION"), e.get("DTSTART"), e.get("DTEND"), e.get("DURATION"), e.get("RRULE"),
-        e["rdates"], e["exdates"], e.get("RECURRENCE-ID"), status, e.get("TRANSP", "").upper() == "TRANSPARENT", e.get("ORGANIZER"), e["attendees"], skipped,
+        _walls(e["rdates"], e), _walls(e["exdates"], e), e.get("RECURRENCE-ID"), status, e.get("TRANSP", "").upper() == "TRANSPARENT", e.get("ORGANIZER"), e["attendees"], skipped, e["rdates"], e["exdates"],
     )
 
 

@@ -68,6 +68,44 @@ def test_starts_since(rule):
         assert list(Rule(rule).starts(start, None, end, 40, since)) == [t for t in every if t >= since][:40]
 
 
+SENT = "array<struct<kind: string, wall: timestamp_ntz, tz: string>>"
+
+
+def test_series_in_its_own_zone(spark):
+    t, ny = datetime(2026, 1, 5, 9), "America/New_York"
+    at = lambda *a: datetime(2026, *a)
+    rows = [
+        # 09:00 there is 14:00 UTC; the last one is at UNTIL, which as wall time would let a fifth in or drop it
+        (1, t, "FREQ=WEEKLY;UNTIL=20260126T140000Z", [("utc", at(2, 3, 15), "UTC")], [("utc", at(1, 12, 14), "UTC")], 0, ny), (2, t, "FREQ=WEEKLY;UNTIL=20260126T135959Z", [("zoned", at(2, 3, 9), "Europe/Berlin")], [("zoned", at(1, 12, 15), "Europe/Berlin")], 0, ny),
+        # across the change of clocks: 09:00 is 13:00 UTC from 8 March on
+        (3, at(3, 2, 9), "FREQ=WEEKLY;COUNT=3", [("floating", at(3, 3, 9), None)], [("utc", at(3, 9, 13), "UTC"), ("utc", at(3, 16, 14), "UTC")], 0, ny), (4, t, "FREQ=WEEKLY;COUNT=2", None, [("utc", at(1, 12, 9), "UTC")], 0, None),
+        # a skipped wall time is an hour later; a local time without a zone in UNTIL is of the series
+        (5, at(3, 7, 2, 30), "FREQ=DAILY;COUNT=3", None, [("utc", at(3, 8, 7, 30), "UTC")], 0, ny), (6, t, "FREQ=DAILY;UNTIL=20260106T090000", None, None, 0, ny),
+        (7, t, "FREQ=DAILY;COUNT=3", None, [("zoned", at(1, 6, 14), "UTC")], 0, ny),
+    ]
+    schema = f"key bigint, start timestamp_ntz, rrule string, rdates {SENT}, exdates {SENT}, length_s bigint, zone string"
+    got = C.expand(spark.createDataFrame(rows, schema), FAR).collect()
+    assert {k: sorted(r.start for r in got if r.key == k) for k in range(1, 8)} == {
+        1: [t, at(1, 19, 9), at(1, 26, 9), at(2, 3, 10)], 2: [t, at(1, 19, 9), at(2, 3, 3)], 3: [at(3, 2, 9), at(3, 3, 9), at(3, 16, 9)], 4: [t],
+        5: [at(3, 7, 2, 30), at(3, 9, 2, 30)], 6: [t, at(1, 6, 9)], 7: [t, at(1, 7, 9)],
+    }
+    # the window is compared as instants: 9 January 09:00 in New York is 14:00 UTC
+    daily = spark.createDataFrame([(1, t, "FREQ=DAILY", None, None, 0, ny)], schema)
+    assert [r.start for r in C.expand(daily, at(1, 9, 14, 0, 1)).collect()][-1] == at(1, 9, 9) and [r.start for r in C.expand(daily, at(1, 9, 14)).collect()][-1] == at(1, 8, 9)
+
+
+def test_ics_exceptions_in_utc(spark, tmp_path):
+    feed = FEED.replace("EXDATE;TZID=America/Los_Angeles:20261102T090000", "EXDATE:20261102T170000Z,20261109T170000Z\nRDATE;TZID=America/New_York:20261203T120000")
+    (tmp_path / "utc.ics").write_text(feed)
+    ics.register(spark)
+    df = spark.read.format("ics").load(str(tmp_path)).filter("event_no = 1")
+    a = df.collect()[0]
+    assert a.exdates == [datetime(2026, 11, 2, 9), datetime(2026, 11, 9, 9)] and a.rdates == [datetime(2026, 12, 3, 9)] and a.exdates_sent[0].kind == "utc" and a.exdates_sent[0].wall == datetime(2026, 11, 2, 17)
+    for suffix in ("", "_sent"):
+        series = df.select(F.col("event_no").alias("key"), F.col("starts.wall").alias("start"), "rrule", F.col("rdates" + suffix).alias("rdates"), F.col("exdates" + suffix).alias("exdates"), F.lit(0).cast("bigint").alias("length_s"), F.col("starts.tz").alias("zone"))
+        assert sorted(r.start for r in C.expand(series, FAR).collect()) == [datetime(2026, 10, 26, 9), datetime(2026, 11, 16, 9), datetime(2026, 12, 3, 9)]
+
+
 def test_terms(spark):
     df = spark.createDataFrame([(1, "Survey map", None), (2, "survey", "map"), (3, None, "the survey map at the kiln"), (4, None, None)], "id bigint, a string, b string")
     find = lambda q: {r.id for r in df.filter(C.matches_terms([F.col("a"), F.col("b")], *C.terms(q))).collect()}
