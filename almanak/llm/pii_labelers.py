@@ -65,17 +65,21 @@ _ADDRESS_FIRST_NUMBER = re.compile(
     rf"(?<![\w.,/#-])(?:{_NO}[ \xa0]{_STREET_EN}{_UNIT_EN}?(?:(?:{_JOIN}{_TOWN_EN})?{_JOIN}{_POSTCODE_EN})?"
     rf"|{_NO}(?:[ \xa0](?:bis|ter|quater)\b)?,?[ \xa0](?:rue|avenue|av\.|bd\.?|boulevard|chemin|allée|impasse|passe|passage|place|quai|route|cours|sentier|square|ruelle|voie|cité|faubourg)[ \xa0]{_SMALL}{_HYPHENED}(?:[ ]{_HYPHENED})*(?:{_JOIN}\d{{5}}[ \xa0]{_TOWN})?)"
 )
+#: A number from which an address may run: a letter follows it, perhaps after a comma.
+_HOUSE_NUMBER = re.compile(rf"(?<![\w.,/#-]){_NO}(?=,?[ \xa0][^\W\d_])")
 _DE_ENDS = "straße|strasse|str\\.|weg|gasse|platz|allee|ring|damm|ufer|graben|steig|markt"
+_DE_WORDS = "Straße|Strasse|Str\\.|Weg|Platz|Allee|Ring"
+_DE_FIRST = "Am|An der|Auf dem|Auf der|Im|Zum|Zur|Unter den|In der|Untere|Obere|Alte|Neue|Hintere|Vordere|Hohe|Große|Kleine|Lange|Mittlere"
 _ADDRESS_DE = re.compile(
-    rf"(?<![\w/#-])(?:{_CAP}?(?<=[a-zß])(?:{_DE_ENDS})|[A-ZÄÖÜ]\w*?(?:{_DE_ENDS})|{_CAP}(?:er|hauser)[ ](?:Straße|Strasse|Str\.|Weg|Platz|Allee|Ring)|(?:Am|An[ ]der|Auf[ ]dem|Auf[ ]der|Im|Zum|Zur|Unter[ ]den|In[ ]der|Untere|Obere|Alte|Neue|Hintere|Vordere|Hohe|Große|Kleine|Lange|Mittlere)[ ]{_HYPHENED})[ \xa0]{_NO}(?![\d:.]\d)\b(?:{_JOIN}(?:D-)?\d{{5}}[ \xa0]{_TOWN})?"
+    rf"(?<![\w/#-])(?:{_CAP}?(?<=[a-zß])(?:{_DE_ENDS})|[A-ZÄÖÜ]\w*?(?:{_DE_ENDS})|{_CAP}(?:er|hauser)[ ](?:{_DE_WORDS})|(?:{_DE_FIRST})[ ]{_HYPHENED})[ \xa0]{_NO}(?![\d:.]\d)\b(?:{_JOIN}(?:D-)?\d{{5}}[ \xa0]{_TOWN})?"
 )
 _ADDRESS_ES = re.compile(
     rf"(?<![\w/#-])(?:Calle|C/|C\.|Avda\.|Avenida|Av\.|Paseo|P[ºo]\.|Plaza|Pza\.|Pl\.|Camino|Ronda|Travesía|Carretera|Ctra\.|Glorieta|Rambla)[ \xa0]?{_SMALL}{_HYPHENED}(?:[ ]{_SMALL}{_HYPHENED})*,?[ \xa0](?:n\.?[º°][ ]?|núm\.[ ]?)?{_NO}\b(?:,[ ]?(?:bajo|ático|entlo\.|\d{{1,2}}\.?[ºª°](?:[ ]?(?:[A-Z]\b|izq\.|dcha\.|izda\.))?|piso[ ]\w+))?(?:{_JOIN}\d{{5}}[ \xa0]{_TOWN})?"
 )
 # each with stretches of text one of which a text with such an address holds
 _ADDRESSES = [
-    (_ADDRESS_DE, ("straße ", "strasse ", "tr. ", "weg ", "gasse ", "platz ", "allee ", "ring ", "damm ", "ufer ", "graben ", "steig ", "markt ", "Weg ", "Platz ", "Allee ", "Straße ", "Am ", "An der ", "Auf de", "Im ", "Zum ", "Zur ", "Unter den ", "In der ", "traße\xa0", "ntere ", "bere ", "lte ", "eue ", "dere ", "ohe ", "roße ", "leine ", "ange ", "ttlere ")),
-    (_ADDRESS_ES, ("Calle", "C/", "C. ", "Avda", "Avenida", "Av.", "Paseo", "Pº", "Po.", "Plaza", "Pza", "Pl.", "Camino", "Ronda", "Travesía", "Carretera", "Ctra", "Glorieta", "Rambla")),
+    (_ADDRESS_DE, (*(w.replace("\\", "") + blank for w in f"{_DE_ENDS}|{_DE_WORDS}".split("|") for blank in " \xa0"), *(f"{w} " for w in _DE_FIRST.split("|")))),
+    (_ADDRESS_ES, ("Calle", "C/", "C.", "Avda", "Avenida", "Av.", "Paseo", "Pº", "Po.", "Plaza", "Pza", "Pl.", "Camino", "Ronda", "Travesía", "Carretera", "Ctra", "Glorieta", "Rambla")),
 ]
 _NUMBERISH = re.compile(r"\d[\d \xa0().\-/‐‑–+]*")
 
@@ -150,9 +154,8 @@ class Labelers:
                 code = bool(re.search(r"\d{5}|[A-Z]{1,2}\d\d? \d[A-Z]{2}$", m[0]))
                 add("address", a, b, (1, 0, 1 if code else 0, -1 if _NUMBER_AGAINST.search(_near(t, a, 24)) else 0, 1, 1 if code else 0))
 
-        for a, b in numbers:
-            if b - a <= 6:
-                address(_ADDRESS_FIRST_NUMBER.match(t, a))
+        for m in _HOUSE_NUMBER.finditer(t):
+            address(_ADDRESS_FIRST_NUMBER.match(t, m.start()))
         for shape, words in _ADDRESSES:
             if any(w in t for w in words):
                 for m in shape.finditer(t):

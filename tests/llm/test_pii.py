@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from almanak.llm import pii
+from almanak.llm import pii, pii_labelers
 from almanak.llm.pii_labelers import Labelers, levelled
 
 PERSON = "struct<name: string, email: string, response: string>"
@@ -66,3 +66,9 @@ def test_unreliable_votes_are_outweighed():
 def test_places_hold():
     text = "a<br>b &lt;c@d.example&gt;\\nRuth"
     assert len(levelled(text)) == len(text)
+
+
+@pytest.mark.parametrize("text", ["Treffen: Berliner Ring 5", "Frankfurter Strasse 12", "Lindenweg\xa012", "Neuer Ort: Wiener Strasse\xa07b", "um 14:00 - 12 Rose Lane", "le 3/4, 10-11, 12 bis, rue de Lyon", "C.\xa0Mayor, 3"])
+def test_screens_are_no_narrower_than_the_patterns(text):
+    spans = [m.span() for p in (pii_labelers._ADDRESS_FIRST_NUMBER, *(p for p, _ in pii_labelers._ADDRESSES)) for m in p.finditer(text)]
+    assert spans and {(c.begin, c.end) for c in Labelers([], []).candidates(text) if c.kind == "address"} == set(spans)
