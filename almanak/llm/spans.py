@@ -1,7 +1,7 @@
 """Long exact spans shared between documents (problem 9).
 
 A sampled de Bruijn graph: tokens are code points, k-mers are its edges, and of
-every 91 successive k-mers of a text the least by hash is an anchor, so that any
+every 61 successive k-mers of a text the least by hash is an anchor, so that any
 span of 180 code points holds at least one. Anchors that occur in several texts
 are linked to their successors, nonbranching paths of them compact through
 joins, and coordinates in the texts verify the spans: a compacted path covers
@@ -96,7 +96,7 @@ def anchors(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray
 
 
 def _scan(screen: Screen | None = None):
-    """mapInArrow function: ``h``, ``t``, ``doc_id``, ``pos`` of every anchor that the screen lets pass; without one ``h`` and half of ``t``.
+    """mapInArrow function: ``h``, ``t``, ``doc_id``, ``pos`` of every anchor that the screen lets pass; without one ``h`` and ``t``.
 
     Texts are cut into overlapping chunks, so that no window is lost.
     """
@@ -106,7 +106,7 @@ def _scan(screen: Screen | None = None):
         t = np.array([x[0] for x in held], np.int64)[number]
         h = h.view(np.int64)
         if screen is None:
-            return pa.RecordBatch.from_arrays([pa.array(h), pa.array(t.astype(np.int32))], ["h", "t"])
+            return pa.RecordBatch.from_arrays([pa.array(h), pa.array(t)], ["h", "t"])
         keep = screen(h)
         number, pos, h, t = number[keep], pos[keep], h[keep], t[keep]
         pos = pos + np.array([x[2] for x in held], np.int64)[number]
@@ -175,7 +175,7 @@ class SharedSpans:
         self.texts = d.filter(F.length("text") >= SPAN).select("doc_id", F.xxhash64("text").alias("t"), "text")
         self.copies = self.texts.select("t", "doc_id").distinct()
         of_texts = self.texts.select("t", "doc_id", "text")
-        counted = of_texts.mapInArrow(_scan(), "h bigint, t int").groupBy("h").agg(F.min("t").alias("a"), F.max("t").alias("b"))
+        counted = of_texts.mapInArrow(_scan(), "h bigint, t bigint").groupBy("h").agg(F.min("t").alias("a"), F.max("t").alias("b"))
         repeated = checkpoint(counted.filter("a <> b").select("h"))
         # a second scan is cheaper than moving every anchor again: few are repeated
         rows = of_texts.mapInArrow(_scan(Screen(repeated)), "h bigint, t bigint, doc_id bigint, pos int")

@@ -99,3 +99,15 @@ def test_texts_longer_than_a_chunk(spark, monkeypatch):
 
 def test_nothing(spark):
     assert shared_pairs(spark.createDataFrame([], DOCS)).collect() == [] and shared_amounts(spark.createDataFrame([], DOCS)).collect() == []
+
+
+def test_texts_whose_hashes_agree_in_32_bits():
+    import pyarrow as pa
+
+    text = "".join(random.Random(4).choice("abcdefgh ") for _ in range(400))
+    batch = pa.RecordBatch.from_arrays([pa.array([7, 7 + (5 << 32)]), pa.array([1, 2]), pa.array([text, text + "!"])], ["t", "doc_id", "text"])
+    seen = defaultdict(set)
+    for b in spans._scan()(iter([batch])):
+        for h, t in zip(b.column("h").to_pylist(), b.column("t").to_pylist()):
+            seen[h].add(t)
+    assert {7, 7 + (5 << 32)} in seen.values()
