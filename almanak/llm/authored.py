@@ -1,10 +1,16 @@
 """Only what the sender newly wrote: quoted mail, signatures and legal text taken out (problem 4).
 
-Lines are exploded with a normalised form and a first label from marks, boxes
-and place (lines.py). Lines are then ranked by date within (thread, line) and
-counted within (sender, line), which finds what bears no mark: a line that
-another message of the thread had first is a quotation, and a line that recurs
-at the end of what one sender writes is a closing line.
+Lines are exploded in a normalised form, without marks, so that a line and its
+quotation are equal. Then, in this order,
+
+* rank: within (thread, line) the first occurrence by date is the authored one.
+  A later message's line is a quotation if enough of the earlier message's
+  lines come with it, and so are the lines that stand beside it in the same order;
+* recur: within (sender, line) messages are counted. Lines at the end of what a
+  sender wrote that recur in others of the sender's messages are closing lines;
+* form: what the archive holds no other occurrence of goes by its marks, boxes
+  and place (lines.py): a quotation of mail that is not there, or a signature
+  that its sender used once.
 """
 
 from __future__ import annotations
@@ -14,33 +20,36 @@ from collections.abc import Iterator
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from almanak.llm.lines import CLOSING, TEXT, label_lines, shown_lines
+from almanak.functions import text as T
+from almanak.llm.lines import CLOSING, INTRO, LEGAL, QUOTE, SIGNATURE, TEXT, label_lines, shown_lines
 from almanak.session import checkpoint
 
-#: A line is evidence of a quotation from this length on, and if at most so many threads have it.
-LEAST_CHARS, MOST_THREADS = 25, 3
-#: A closing line recurs in so many messages of a sender, and stands at the end in this share of all its places.
-LEAST_MESSAGES, LEAST_SHARE = 3, 0.8
+#: Lines from this length on tell a quotation on their own; shorter ones only beside such.
+LEAST_CHARS = 25
+#: An earlier message is quoted by a message that has so many of its long lines, or this share of them.
+LEAST_LINES, LEAST_SHARE = 3, 1 / 3
+#: A closing line recurs in so many messages of its sender.
+LEAST_MESSAGES = 2
 
 
 def _labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         columns = [batch.column(c).to_pylist() for c in ("part_no", "is_html", "text")]
-        part, line, norm, size, label, last = [], [], [], [], [], []
+        part, line, norm, size, label, long = [], [], [], [], [], []
         for no, is_html, text in zip(*columns):
             rows = label_lines(text, is_html)
-            final = max((i for i, (_, _, lb) in enumerate(rows) if lb == CLOSING), default=-1)
-            for i, (at, n, lb) in enumerate(rows):
-                part.append(no)
+            part += [no] * len(rows)
+            long += [sum(len(n) >= LEAST_CHARS for _, n, _ in rows)] * len(rows)
+            for at, n, lb in rows:
                 line.append(at)
-                norm.append(n if lb in (TEXT, CLOSING) else None)
+                norm.append(n or None)
                 size.append(len(n))
                 label.append(lb)
-                last.append(i == final)
-        types = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.bool_())
-        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip((part, line, norm, size, label, last), types)], ["part_no", "line_no", "norm", "size", "label", "last"])
+        types = (pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.string(), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip((part, line, norm, size, label, long), types)], ["part_no", "line_no", "norm", "size", "label", "long"])
 
 
 def is_html(content_type: Column) -> Column:
@@ -48,46 +57,68 @@ def is_html(content_type: Column) -> Column:
 
 
 def labelled_lines(parts: DataFrame) -> DataFrame:
-    """``part_no``, ``line_no``, ``key`` (hash of the normalised text of lines that seem new), ``size``, ``label``, ``last``."""
+    """``part_no``, ``line_no``, ``key`` (hash of the normalised text, null if nothing is left), ``size``, ``label``, ``long`` (long lines of the part)."""
     p = parts.select("part_no", is_html(F.col("content_type")).alias("is_html"), "text").filter("part_no is not null and text is not null and text <> ''")
-    rows = p.mapInArrow(_labels, "part_no bigint, line_no bigint, norm string, size bigint, label string, last boolean")
-    return rows.select("part_no", "line_no", F.when(F.col("norm").isNotNull(), F.xxhash64("norm")).alias("key"), "size", "label", "last")
+    rows = p.mapInArrow(_labels, "part_no bigint, line_no bigint, norm string, size int, label string, long int")
+    return rows.select("part_no", "line_no", F.when(F.col("norm").isNotNull(), F.xxhash64("norm")).alias("key"), "size", "label", "long")
 
 
 def _origin(parts: DataFrame, messages: DataFrame) -> DataFrame:
-    """``part_no``, ``thread``, ``sender``, ``sent``, ``msg_no``, ``message``: where a part comes from; copies of a message are one message."""
-    m = messages.select("msg_no", F.col("thread_id").alias("thread"), F.lower(F.trim("from_addr")).alias("sender"), F.col("internaldate").alias("sent"), F.coalesce(F.nullif(F.trim("message_id"), F.lit("")), F.col("msg_no").cast("string")).alias("message"))
+    """``part_no``, ``thread``, ``sender``, ``sent``, ``msg_no``, ``message``: where a part comes from; copies of a message are one message.
+
+    A message without a thread or a sender has one of its own, so that none is hot.
+    """
+    m = messages.select("msg_no", F.col("thread_id").alias("thread"), T.bare_address(F.col("from_addr")).alias("sender"), F.col("internaldate").alias("sent"), F.coalesce(F.nullif(F.trim("message_id"), F.lit("")), F.col("msg_no").cast("string")).alias("message"))
     m = m.filter("msg_no is not null").dropDuplicates(["msg_no"])
     return parts.select("part_no", "msg_no").join(m, "msg_no", "left")
 
 
-def not_written_lines(parts: DataFrame, messages: DataFrame, requests: DataFrame) -> DataFrame:
-    """``part_no``, ``line_no``: lines that show something and were not newly written by the sender.
+def decided_lines(parts: DataFrame, messages: DataFrame, requests: DataFrame) -> DataFrame:
+    """``part_no``, ``line_no``, ``step``: lines that show something and were not newly written by the sender, and what told it.
 
     Parts of threads that any request reads raw have none; those without a
-    thread do. Null and empty texts have none. Equal dates go by ``msg_no``.
+    thread do. Null and empty texts have none. Equal dates go by ``msg_no``;
+    messages without a date count as the latest. A message whose every line
+    recurs keeps them, unless their form tells otherwise.
     """
     raw = requests.filter("raw and thread_id is not null").select(F.col("thread_id").alias("thread")).distinct()
-    origin = _origin(parts, messages)
-    lines = labelled_lines(parts)
-    kept = origin.join(raw, "thread", "left_anti").select("part_no", "thread", "sender", "sent", "msg_no", "message")
-    rows = checkpoint(lines.join(kept, "part_no"))  # labelling is the dear part: once
-    sure = rows.filter(~F.col("label").isin(TEXT, CLOSING)).select("part_no", "line_no")
-    seeming = rows.filter(F.col("label").isin(TEXT, CLOSING))
-
-    long = seeming.filter((F.col("size") >= LEAST_CHARS) & F.col("thread").isNotNull())
-    # who had a line first, by an aggregate that combines before the shuffle: a line that a thread repeats very often is one row a task
-    first = F.min(F.struct("sent", "msg_no", "part_no", "line_no", "message"))
-    firsts = long.groupBy("thread", "key").agg(first.alias("f")).select("thread", "key", F.col("f.message").alias("first"))
-    later = long.join(firsts, ["thread", "key"]).filter("first <> message").select("part_no", "line_no", "key")
-    spread = long.select("key", "thread").distinct().groupBy("key").agg(F.count("*").alias("threads")).filter(F.col("threads") <= MOST_THREADS).select("key")
-    quoted = later.join(spread, "key", "left_semi").select("part_no", "line_no")
-
-    ends = seeming.filter("last")
-    per_sender = ends.groupBy("sender", "key").agg(F.count_distinct("message").alias("n")).filter((F.col("n") >= LEAST_MESSAGES) & F.col("sender").isNotNull()).select("sender", "key")
-    share = seeming.groupBy("key").agg(F.avg(F.col("last").cast("int")).alias("s")).filter(F.col("s") >= LEAST_SHARE).select("key")
-    recurring = ends.join(per_sender.join(share, "key", "left_semi"), ["sender", "key"], "left_semi").select("part_no", "line_no")
-    return sure.unionByName(quoted).unionByName(recurring).distinct()
+    alone = lambda c, of: F.coalesce(c, F.concat(F.lit("\x00"), F.coalesce(F.col(of).cast("string"), F.lit("")), F.lit(" "), F.col("part_no").cast("string")))
+    kept = _origin(parts, messages).join(raw, "thread", "left_anti")
+    kept = kept.select("part_no", F.xxhash64(alone(F.col("thread"), "message")).alias("thread"), F.xxhash64(alone(F.col("sender"), "msg_no")).alias("sender"), F.coalesce("sent", F.lit("9999-12-31").cast("timestamp")).alias("sent"), "msg_no", F.xxhash64(F.coalesce("message", F.concat(F.lit("\x00"), F.col("part_no").cast("string")))).alias("message"))
+    rows = checkpoint(labelled_lines(parts).join(kept, "part_no"))  # labelling is the dear part: once
+
+    # who had a line first, and how often its sender has it, by aggregates that combine before the shuffle: a hot line is one row a task
+    first = F.min(F.struct("sent", "msg_no", "part_no", "line_no", "message", "long"))
+    firsts = rows.filter("key is not null").groupBy("thread", "key").agg(first.alias("f")).select("thread", "key", F.col("f.message").alias("first"), F.col("f.long").alias("first_long"))
+    own = ~F.col("label").isin(QUOTE, INTRO)
+    recurs = rows.filter(own & F.col("key").isNotNull()).select("sender", "key", "message").distinct().groupBy("sender", "key").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST_MESSAGES).select("sender", "key", F.lit(True).alias("recurs"))
+    rows = rows.join(firsts, ["thread", "key"], "left").join(recurs, ["sender", "key"], "left")
+
+    earlier = F.when(F.col("first") != F.col("message"), F.col("first"))
+    rows = rows.select("part_no", "line_no", "size", "label", "first_long", earlier.alias("earlier"), F.coalesce("recurs", F.lit(False)).alias("recurs"))
+    part = W.partitionBy("part_no")
+    down, up = part.orderBy("line_no"), part.orderBy(F.desc("line_no")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    # successive lines that one earlier message had, with marks or without, are an island
+    kind = F.struct("earlier", own.alias("own"))
+    anew = F.coalesce(kind != F.lag(kind).over(down), F.lit(True))
+    rows = rows.withColumn("island", F.sum(F.when(anew, 1).otherwise(0)).over(down.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    long = F.col("earlier").isNotNull() & (F.col("size") >= LEAST_CHARS)
+    rows = rows.withColumn("backed", F.count(F.when(long, True)).over(W.partitionBy("part_no", "earlier")))
+    sure = long & (~own | (F.col("backed") >= LEAST_LINES) | (F.col("backed") >= F.col("first_long") * LEAST_SHARE))
+    ranked = F.col("earlier").isNotNull() & (~own | F.max(sure).over(W.partitionBy("part_no", "island")))
+    rows = rows.withColumn("ranked", ranked)
+    # the end of what the sender wrote: lines after which only recurring ones and signatures come
+    mine = own & ~F.col("ranked")
+    ending = F.min(F.when(mine, F.col("recurs") | F.col("label").isin(SIGNATURE, LEGAL))).over(up)
+    rows = rows.withColumn("ending", mine & F.coalesce(ending, F.lit(False)))
+    says = F.max(mine & ~F.col("ending")).over(part)
+    step = F.when(F.col("ranked"), "rank").when(F.col("ending") & F.col("recurs") & says, "recur").when(~F.col("label").isin(TEXT, CLOSING), "form")
+    return rows.withColumn("step", step).filter("step is not null").select("part_no", "line_no", "step")
+
+
+def not_written_lines(parts: DataFrame, messages: DataFrame, requests: DataFrame) -> DataFrame:
+    """``part_no``, ``line_no``: lines that show something and were not newly written by the sender; see ``decided_lines``."""
+    return decided_lines(parts, messages, requests).select("part_no", "line_no").distinct()
 
 
 def authored_text(parts: DataFrame, messages: DataFrame, requests: DataFrame) -> DataFrame:

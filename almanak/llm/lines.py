@@ -15,7 +15,7 @@ CLOSINGS = [
     "cordialement", "bien cordialement", "bien à vous", "bien à toi", "à bientôt", "amicalement", "sincères salutations", "salutations", "merci", "merci d’avance",
     "gracias", "muchas gracias", "saludos", "saludos cordiales", "un saludo", "un cordial saludo", "atentamente", "un abrazo", "hasta pronto",
 ]
-_CLOSING = re.compile(r"(?:" + "|".join(sorted(map(re.escape, CLOSINGS), key=len, reverse=True)) + r")\s*[,.!;:]?", re.I)
+_CLOSINGS = frozenset(CLOSINGS)
 
 _MARK = re.compile(r"\s*(?:>|\|(?!\w)|[A-Z]{1,3}>(?=\s|$))")
 _RULE = re.compile(r"\s*(?:--+|__+|\*\*\*+|==+|~~+|––+|——+)\s*$")
@@ -27,8 +27,8 @@ _ADDRESS = r"<[^<>\s]+>|\S+@\S+"
 _VERB = r"(?:wrote|writes|said|schrieb|a écrit|escribió|ha scritto|schreef|skrev|escreveu)"
 _YEAR = r"(?:\d{4}-\d{1,2}-\d{1,2}|\d{1,2}[./]\d{1,2}[./]\d{2,4}|\b(?:19|20)\d\d\b)"
 _INTRO = re.compile(rf"\s*(?=.*{_YEAR})(?:.*\b{_VERB}\b.*|.*(?:{_ADDRESS}).*)\s?:\s*$", re.I)
-_INTRO_OPENS = re.compile(rf"(?=.{{8,120}}$)(?=.*{_YEAR}).*[^.:!?;]\s*$", re.I)
-_INTRO_ENDS = re.compile(rf"(?=.{{2,100}}$).*(?:\b{_VERB}|>)\s?:\s*$", re.I)
+_INTRO_OPENS = re.compile(rf"(?=.*{_YEAR}).{{7,}}[^.:!?;]\s*$", re.I)
+_INTRO_ENDS = re.compile(rf".*(?:\b{_VERB}|>)\s?:\s*$", re.I)
 _PHONE = re.compile(r"\s*(?:(?:t|m|p|f|tel|tél|tlf|mobile?|mob|mobil|phone|fax|móvil|portable|handy)\b\.?\s?:?\s*)?[+(]?\d[\d\s()./+‐‑–-]{5,}\s*$", re.I)
 _MAIL = re.compile(r"\s*(?:(?:e-?mail|mail)\s?:\s*)?\S+(?:@|＠|\(at\)|\[at\]|\s\(at\)\s|\sat\s)\S+\s*$", re.I)
 _SITE = re.compile(r"\s*(?:https?://|www\.)\S+\s*$", re.I)
@@ -44,6 +44,12 @@ _LEGAL = re.compile(
     re.I,
 )
 _LIST = re.compile(r"\s*(?:[\w.-]+ mailing list|to leave this list\b.*|to unsubscribe\b.*|unsubscribe\s?:.*|abbestellen\s?:.*|(?:pour )?(?:se )?désabonner.*|darse de baja\b.*|https?://lists?\..*)\s*$", re.I)
+#: Running text: a sentence that ends, after words in small letters.
+_SENTENCE = re.compile(r"(?:[^\W\d_A-ZÀ-ÖØ-Þ][\w’'-]*,? ){3}.*[.!?…][\"”»)]*\s*$")
+#: Stretches of small letters one of which a legal line or a list footer holds: most texts hold none and skip the costly patterns.
+_LEGAL_WORDS = ("confiden", "vertraulich", "liab", "privileged", "intended", "is not an offer", "think of the", "before printing", "registered", "company number", "sitz ", "handelsregister", "vorbehalten", "amtsgericht", "geschäftsführer", "responsa", "responde de", "addressee", "recipient", "siège", "domicilio")
+_LIST_WORDS = ("mailing list", "leave this list", "unsubscribe", "abbestellen", "désabonner", "darse de baja", "://list")
+_DIGIT = re.compile(r"\d")
 _UNSEEN = re.compile("[­͏؜​-‏‪-‮⁠-⁤︀-️﻿]")
 _TAG = re.compile(r"<!--.*?-->|<(/?)([a-zA-Z][\w:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _QUOTE_BOX = re.compile(r"""(?:class|id)\s*=\s*["']?[^"'>]*(?:quote|cite-prefix|replyfwd|rplyfwd|appendonsend)|border-left\s*:""", re.I)
@@ -54,17 +60,17 @@ _EMPTY_TAGS = {"br", "hr", "img", "meta", "link", "input", "wbr", "area", "base"
 
 def normalised(line: str) -> str:
     """A line without quote marks, invisible characters, case and spare blanks: equal for a line and its quotation."""
-    line = _UNSEEN.sub("", line)
-    while m := _MARK.match(line):
+    while (">" in line or "|" in line) and (m := _MARK.match(line)):
         line = line[m.end() :]
     return " ".join(line.split()).lower()
 
 
 def shown_lines(text: str, is_html: bool) -> tuple[list[str], list[str | None]]:
     """The visible text of each line, and for HTML the label of the box that it stands in."""
-    lines = text.split("\n")
     if not is_html:
-        return [_UNSEEN.sub("", x.rstrip("\r")) for x in lines], [None] * len(lines)
+        lines = (text if text.isascii() else _UNSEEN.sub("", text)).split("\n")
+        return [x.rstrip("\r") for x in lines] if "\r" in text else lines, [None] * len(lines)
+    lines = text.split("\n")
     shown, boxes = [[] for _ in lines], [None] * len(lines)
     stack: list[tuple[str, str | None]] = []
     rest = None
@@ -114,12 +120,17 @@ def _tail_like(line: str) -> bool:
     if _PHONE.match(s) or _MAIL.match(s) or _SITE.match(s) or _DEVICE.match(s) or _FIRM.match(s) or _ROLE.match(s):
         return True
     words = s.split()
-    if len(s) > 80 or len(words) > 12 or s[-1] in ".!?:;," or re.search(r"\w:\s", s):
+    if s[-1] in ".!?:;," or re.search(r"\w:\s", s):
         return False
     proper = [w for w in words if w.lower().rstrip(",") not in _SMALL]
     return all(w[0].isupper() or w[0].isdigit() or w[0] in "#(" for w in proper) and any(w[0].isupper() for w in proper) or bool(re.fullmatch(r"\d{1,4}[a-z]?,? [^\W\d_]{2,5}\.? .{3,40}", s))
 
 
+def _paragraph(at: list[int]) -> list[int]:
+    """The first of these line numbers, up to the first gap between them."""
+    return [j for k, j in enumerate(at) if j - at[0] == k]
+
+
 def label_lines(text: str, is_html: bool) -> list[tuple[int, str, str]]:
     """``line_no`` from 1, normalised text and label of each line that shows something.
 
@@ -138,17 +149,17 @@ def label_lines(text: str, is_html: bool) -> list[tuple[int, str, str]]:
             label[i] = QUOTE
         elif boxes[i]:
             label[i] = boxes[i]
-        elif _MARK.match(x):
+        elif (">" in x or "|" in x) and _MARK.match(x):
             label[i] = QUOTE
-        elif _SEPARATOR.match(x):
+        elif (x.lstrip()[0] in "-_" or ":" in x) and _SEPARATOR.match(x):
             label[i], rest = QUOTE, True
-        elif _FROM.match(x) and sum(bool(_HEADER.match(shown[j])) for j in follow) >= 2:
+        elif ":" in x and _FROM.match(x) and sum(bool(_HEADER.match(shown[j])) for j in follow) >= 2:
             label[i], rest = QUOTE, True
             if k and _RULE.match(shown[filled[k - 1]]) and label[filled[k - 1]] != QUOTE:
                 label[filled[k - 1]] = QUOTE
-        elif _INTRO.match(x):
+        elif x.rstrip()[-1] == ":" and _DIGIT.search(x) and _INTRO.match(x):
             label[i] = INTRO
-        elif follow and _INTRO_OPENS.match(x) and _INTRO_ENDS.match(shown[follow[0]]):
+        elif follow and shown[follow[0]].rstrip()[-1] == ":" and _DIGIT.search(x) and _INTRO_OPENS.match(x) and _INTRO_ENDS.match(shown[follow[0]]):
             label[i] = label[follow[0]] = INTRO
         elif label[i] is None:
             label[i] = TEXT
@@ -161,7 +172,7 @@ def label_lines(text: str, is_html: bool) -> list[tuple[int, str, str]]:
                     if not shown[j].startswith(("  ", "\t")):
                         break
                     label[j] = QUOTE
-            elif not any(label[j] == QUOTE for j in later[:5]):
+            elif not any(label[j] == QUOTE for j in _paragraph(later)):
                 for j in later:
                     label[j] = QUOTE
                 break
@@ -174,27 +185,34 @@ def label_lines(text: str, is_html: bool) -> list[tuple[int, str, str]]:
             if not runs:
                 runs.append([])
             runs[-1].append(i)
+    low = "\n".join(shown).lower()
+    legal, listed = any(w in low for w in _LEGAL_WORDS), any(w in low for w in _LIST_WORDS)
     for run in runs:
-        _label_run(run, shown, label)
+        _label_run(run, shown, label, legal, listed)
     return [(i + 1, normalised(shown[i]), label[i]) for i in filled]
 
 
-def _label_run(run: list[int], shown: list[str], label: list[str | None]) -> None:
-    for i in run:
-        if label[i] == TEXT and (_LEGAL.search(shown[i]) or _LIST.match(shown[i])):
-            label[i] = LEGAL
+def _closing_phrase(line: str) -> bool:
+    x = line.lower()
+    return x in _CLOSINGS or x[-1] in ",.!;:" and x[:-1].rstrip() in _CLOSINGS
+
+
+def _label_run(run: list[int], shown: list[str], label: list[str | None], legal: bool, listed: bool) -> None:
+    if legal or listed:
+        for i in run:
+            if label[i] == TEXT and (legal and _LEGAL.search(shown[i]) or listed and _LIST.match(shown[i])):
+                label[i] = LEGAL
     start = None
     for k, i in enumerate(run):
         x = shown[i].strip()
-        if _RULE.match(x):
-            rest = [shown[j] for j in run[k + 1 :]]
-            if all(label[j] != TEXT or len(shown[j].strip()) <= 120 for j in run[k + 1 :]) and len(rest) <= 14:
+        if x[0] in "-_*=~–—" and _RULE.match(x):
+            if not any(label[j] == TEXT and _SENTENCE.search(shown[j]) for j in run[k + 1 :]):
                 start = k
                 break
-        if _CLOSING.fullmatch(x) and len(run) - k <= 16:
+        if _closing_phrase(x) and not any(label[j] == TEXT and _SENTENCE.search(shown[j]) for j in run[k + 1 :]):
             start = k
             break
-        if _DEVICE.match(x) and k and not any(label[j] == TEXT and not _tail_like(shown[j]) for j in run[k + 1 :]):
+        if k and _DEVICE.match(x) and not any(label[j] == TEXT and not _tail_like(shown[j]) for j in run[k + 1 :]):
             start = k
             break
     if start is not None:
