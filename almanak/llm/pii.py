@@ -1,15 +1,21 @@
 """Personal data in free text, found and replaced by typed placeholders (problem 1).
 
-Weak supervision: labelers (pii_labelers.py) vote on candidate spans; on a
-bounded sample of rows expectation-maximisation estimates how far each labeler
-can be trusted for each kind, and its soft labels train a final classifier over
-votes, neighbouring words and shapes. The classifier, a few hundred KB, then
-reads every row once.
+Weak supervision: regex, gazetteer and context labelers (pii_labelers.py)
+propose spans that may overlap and vote on all of them. On a bounded sample of
+rows expectation-maximisation estimates, for each kind, how common personal
+spans are and what every vote of every labeler is worth, in either direction;
+its soft labels train a final classifier of spans over votes, neighbouring
+words and shapes. The classifier reads every row once, and of overlapping spans
+those with the greatest sum of scores stay: it decides whether a span is
+personal, how far it reaches and of which kind it is.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import re
+from bisect import bisect_right
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
 from zlib import crc32
 
 import numpy as np
@@ -18,10 +24,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from almanak.llm.pii_labelers import KINDS, LABELERS, Candidate, Labelers
+from almanak.llm.pii_labelers import GIVEN, INITIAL, KINDS, LABELERS, OTHER, TITLES, Candidate, Labelers, last_word, levelled
+from almanak.llm.screen import Screen
 
-#: Rows that the classifier is fitted on at most, and names of each gazetteer at most (the most frequent).
-SAMPLE_ROWS, MOST_NAMES = 4_000, 20_000
+#: Rows that the classifier is fitted on at most.
+SAMPLE_ROWS = 4_000
 #: Hashed features of words and shapes.
 SPACE = 1 << 13
 _VOTES = len(KINDS) * len(LABELERS) * 3
@@ -35,42 +42,72 @@ aurore benoît cédric élodie fabrice françois gaël hélène loïc maëlle ma
 álvaro andrés begoña belén gonzalo hernán inés íñigo joaquín lucía marisol nuria pilar ramiro rocío ximena""".split()
 
 
-def names_known(events: DataFrame) -> tuple[list[str], list[str]]:
-    """Given and family names that structured fields (organizers, attendees) hold, counted over all rows; bounded by MOST_NAMES each."""
-    people = events.select(F.explode(F.concat(F.array("organizer.name"), F.coalesce(F.transform("attendees", lambda a: a["name"]), F.array().cast("array<string>")))).alias("name"))
-    name = F.regexp_replace(F.trim(F.translate("name", "\u00a0", " ")), r"\s(?:\p{L}\.\s?)+", " ")
-    shape, turned = r"^(\p{L}{2,}(?:-\p{L}+)?) (\p{L}[\p{L}’'-]{2,})$", r"^(\p{L}[\p{L}’'-]{2,}), (\p{L}{2,}(?:-\p{L}+)?)$"
-    plain = name.rlike(shape)
-    pair = F.struct(F.lower(F.regexp_extract(name, shape, 1)).alias("g"), F.lower(F.regexp_extract(name, shape, 2)).alias("f"))
-    swap = F.struct(F.lower(F.regexp_extract(name, turned, 2)).alias("g"), F.lower(F.regexp_extract(name, turned, 1)).alias("f"))
-    both = people.filter("name is not null").select(F.when(plain, pair).otherwise(swap).alias("p")).filter("p.g <> ''")
+class Gazetteer:
+    """Given and family names, all of them, in a Bloom filter: at most 16 MB however many there are.
 
-    def common(column: str) -> list[str]:
-        counts = both.groupBy(column).agg(F.count("*").alias("n")).filter("n >= 2").orderBy(F.desc("n"), column).limit(MOST_NAMES)
-        return [r[0] for r in counts.collect()]
+    Every name stands under two keys, so that a word that is no name passes
+    with a chance below 1e-6 up to a million names.
+    """
+
+    def __init__(self, names: DataFrame):
+        """``names``: ``kind`` (g or f) and ``name`` in small letters."""
+        keys = names.select(F.explode(F.array(*[F.xxhash64(F.concat(F.lit(n), "kind", F.lit(":"), "name")) for n in "12"])).alias("key"))
+        self.screen = Screen(keys.distinct(), bits=128)
 
-    return common("p.g"), common("p.f")
+    def holds(self, kind: str, name: str) -> bool:
+        import xxhash
 
+        keys = np.array([xxhash.xxh64(f"{n}{kind}:{name}".encode(), seed=42).intdigest() for n in "12"], np.uint64)
+        return bool(self.screen(keys.view(np.int64)).all())
 
-def reliabilities(votes: np.ndarray, rounds: int = 12) -> np.ndarray:
-    """Probability that each candidate of one kind is personal, by expectation-maximisation over votes (candidates x labelers).
 
-    Labelers are taken as independent given the truth, and as no worse than
-    chance: a vote for is never evidence against, nor the other way round, and
-    no opinion is no evidence. The first guess is the sum of votes, in which
-    votes against weigh more; single pseudo-counts keep unseen votes possible.
+def names_known(events: DataFrame) -> DataFrame:
+    """``kind``, ``name``: every given (g) and family (f) name that structured fields (organizers, attendees) hold, once."""
+    people = events.select(F.explode(F.concat(F.array("organizer.name"), F.coalesce(F.transform("attendees", lambda a: a["name"]), F.array().cast("array<string>")))).alias("name"))
+    name = F.regexp_replace(F.trim(F.translate("name", "\u00a0", " ")), r"\s(?:\p{L}\.\s?)+", " ")
+    shape, turned = r"^(\p{L}{2,}(?:-\p{L}+)?) (\p{L}[\p{L}’'-]{2,})$", r"^(\p{L}[\p{L}’'-]{2,}), (\p{L}{2,}(?:-\p{L}+)?)$"
+    pair = lambda given, family: F.array(F.struct(F.lit("g").alias("kind"), F.lower(given).alias("name")), F.struct(F.lit("f").alias("kind"), F.lower(family).alias("name")))
+    both = F.when(name.rlike(shape), pair(F.regexp_extract(name, shape, 1), F.regexp_extract(name, shape, 2))).otherwise(pair(F.regexp_extract(name, turned, 2), F.regexp_extract(name, turned, 1)))
+    return people.filter("name is not null").select(F.explode(both).alias("p")).select("p.kind", "p.name").filter("name <> ''").distinct()
+
+
+def common_words(texts: list[str], labelers: Labelers) -> frozenset[str]:
+    """Words of the sample that are no names: met in small letters, or with a capital mostly where no name is begun."""
+    small = {w for t in texts for w in re.findall(r"(?<![\w@.+-])[^\W\d_A-Z][^\W\d_]*(?![\w@+-]|\.\w)", levelled(t)) if w.islower()}
+    beside, apart = Counter(), Counter()
+    for t in texts:
+        t = levelled(t)
+        words = labelers.words(t)
+        for k, (a, _, w, c) in enumerate(words):
+            if c == OTHER:
+                named = k and words[k - 1][3] in (GIVEN, INITIAL) and a - words[k - 1][1] <= 2
+                (beside if named or last_word(t, a) in TITLES else apart)[w.lower()] += 1
+    return frozenset(small | {w for w, n in apart.items() if n > beside[w]})
+
+
+def reliabilities(votes: np.ndarray, rounds: int = 25) -> tuple[np.ndarray, np.ndarray, float]:
+    """Expectation-maximisation over votes (candidates x labelers) of one kind.
+
+    Gives the probability that each candidate is personal, the weight of each
+    labeler's votes against and for (log odds, of either sign: a labeler may
+    turn out to be wrong more often than right), and the share of personal
+    ones. Labelers are taken as independent given the truth and no opinion as
+    no evidence; the first guess is the majority of votes, and half a
+    pseudo-count keeps unseen votes possible.
     """
-    against = (votes == -1).sum(1)
-    p = 1 / (1 + np.exp(-(votes.sum(1) - 4.0 * against)))
+    p = 1 / (1 + np.exp(-votes.sum(1).astype(float)))
+    n = votes.shape[1]
+    places = votes + 1 + 3 * np.arange(n)
+    weights = np.zeros((n, 3))
     for _ in range(rounds):
-        prior = np.clip(p.mean(), 0.1, 0.9)  # else the larger class swallows the smaller
-        score = np.full(len(p), np.log(prior / (1 - prior)))
-        for k in range(votes.shape[1]):
-            yes, no = (np.bincount(votes[:, k] + 1, weights=w, minlength=3) + 1.0 for w in (p, 1 - p))
-            ratio = np.log(yes / yes.sum()) - np.log(no / no.sum())
-            score += np.array([min(0.0, ratio[0]), 0.0, max(0.0, ratio[2])])[votes[:, k] + 1]
+        yes = np.bincount(places.ravel(), weights=np.repeat(p, n), minlength=3 * n).reshape(n, 3) + 0.5
+        no = np.bincount(places.ravel(), weights=np.repeat(1 - p, n), minlength=3 * n).reshape(n, 3) + 0.5
+        weights = np.log(yes / yes.sum(1, keepdims=True)) - np.log(no / no.sum(1, keepdims=True))
+        weights[:, 1] = 0.0
+        prior = (p.sum() + 1) / (len(p) + 2)
+        score = np.log(prior / (1 - prior)) + weights.ravel()[places].sum(1)
         p = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
-    return p
+    return p, weights[:, [0, 2]], float(prior)
 
 
 def surroundings(text: str, c: Candidate) -> tuple[tuple[str, str], ...]:
@@ -96,54 +133,91 @@ def features(text: str, c: Candidate) -> list[int]:
     return _places(c) + [_place(c.kind, mark, x) for mark, x in surroundings(text, c)]
 
 
-def fit(active: np.ndarray, target: np.ndarray, rounds: int = 300, rate: float = 0.05, decay: float = 1e-5) -> tuple[np.ndarray, float]:
-    """Weights and intercept of a logistic classifier on soft labels, by Adam; rows of ``active`` are places of features."""
+def fit(active: np.ndarray, target: np.ndarray, start: np.ndarray, rounds: int = 300, rate: float = 0.05, decay: float = 1e-5) -> np.ndarray:
+    """Weights of a logistic classifier on soft labels, by Adam; rows of ``active`` are places of features.
+
+    It sets out from ``start``, the estimated worth of the votes, and keeps
+    that for votes that the sample does not show.
+    """
     places, dense = np.unique(active, return_inverse=True)
     dense = dense.reshape(active.shape)
-    w = np.zeros(len(places) + 1)
+    w = start[places].copy()
     mean, square = np.zeros_like(w), np.zeros_like(w)
     n = len(target)
     for i in range(1, rounds + 1):
-        p = 1 / (1 + np.exp(-(w[dense].sum(1) + w[-1])))
-        error = (p - target) / n
-        g = np.bincount(dense.ravel(), weights=np.repeat(error, dense.shape[1]), minlength=len(w))
-        g[-1] = error.sum()
-        g[:-1] += decay * w[:-1]
+        p = 1 / (1 + np.exp(-np.clip(w[dense].sum(1), -40, 40)))
+        g = np.bincount(dense.ravel(), weights=np.repeat((p - target) / n, dense.shape[1]), minlength=len(w)) + decay * (w - start[places])
         mean, square = 0.9 * mean + 0.1 * g, 0.99 * square + 0.01 * g * g
         w -= rate * (mean / (1 - 0.9**i)) / (np.sqrt(square / (1 - 0.99**i)) + 1e-8)
-    weights = np.zeros(_VOTES + SPACE)
-    weights[places] = w[:-1]
-    return weights, float(w[-1])
+    weights = start.copy()
+    weights[places] = w
+    return weights
+
+
+def best(found: list[tuple[float, Candidate]]) -> list[Candidate]:
+    """Of overlapping candidates with positive scores the disjoint ones whose scores have the greatest sum; ties go to the longer."""
+    found = sorted((x for x in found if x[0] > 0), key=lambda x: (x[1].end, x[1].begin))
+    if all(a[1].end <= b[1].begin for a, b in zip(found, found[1:])):
+        return [c for _, c in found]
+    ends = [c.end for _, c in found]
+    total: list[tuple[float, int]] = [(0.0, 0)]
+    taken: list[tuple[int, bool]] = []
+    for k, (score, c) in enumerate(found):
+        before = bisect_right(ends, c.begin, 0, k)
+        with_it = (total[before][0] + score, total[before][1] + c.end - c.begin)
+        taken.append((before, with_it > total[-1]))
+        total.append(max(with_it, total[-1]))
+    out, k = [], len(found)
+    while k:
+        before, use = taken[k - 1]
+        if use:
+            out.append(found[k - 1][1])
+        k = before if use else k - 1
+    return out[::-1]
 
 
 class Detector:
     """The fitted classifier with its labelers; small enough to travel with a task."""
 
-    def __init__(self, given: list[str], family: list[str]):
-        self.labelers = Labelers({*given, *GIVEN_NAMES}, family)
-        self.weights, self.bias = np.zeros(_VOTES + SPACE), 0.0
+    def __init__(self, gazetteer: Gazetteer | None = None, given: Iterable[str] = GIVEN_NAMES, family: Iterable[str] = ()):
+        """Names of a gazetteer, or given outright."""
+        self.gazetteer, self.given, self.family = gazetteer, frozenset(given), frozenset(family)
+        self.labelers = Labelers(self._is_given, self._is_family)
+        self.weights = np.zeros(_VOTES + SPACE)
+        self.votes: dict[str, tuple[np.ndarray, float]] = {}
         self.known: dict[tuple, float] = {}
 
+    def _is_given(self, name: str) -> bool:
+        return name in self.given or self.gazetteer is not None and self.gazetteer.holds("g", name)
+
+    def _is_family(self, name: str) -> bool:
+        return name in self.family or self.gazetteer is not None and self.gazetteer.holds("f", name)
+
     def learn(self, texts: list[str]) -> None:
+        self.labelers.common = common_words(texts, self.labelers)
         found = [(t, c) for t in texts for c in self.labelers.candidates(t)]
         if not found:
             return
         votes = np.array([c.votes for _, c in found], np.int64)
         kinds = np.array([KINDS.index(c.kind) for _, c in found])
-        target = np.zeros(len(found))
-        for k in range(len(KINDS)):
+        target, start = np.zeros(len(found)), np.zeros(_VOTES + SPACE)
+        for k, kind in enumerate(KINDS):
             mine = kinds == k
             if mine.any():
-                target[mine] = reliabilities(votes[mine])
-        self.weights, self.bias = fit(np.array([features(t, c) for t, c in found]), target)
+                target[mine], weights, prior = reliabilities(votes[mine])
+                self.votes[kind] = weights, prior
+                mine = start[k * len(LABELERS) * 3 : (k + 1) * len(LABELERS) * 3].reshape(-1, 3)
+                mine[:, [0, 2]] = weights
+                mine[0] += np.log(prior / (1 - prior))  # of the first labeler every candidate has one vote
+        self.weights = fit(np.array([features(t, c) for t, c in found]), target, start)
         self.known.clear()
 
-    def _score(self, text: str, c: Candidate) -> float:
-        """The classifier's sum, from a bounded memory of the weights of votes, words and shapes met before."""
+    def score(self, text: str, c: Candidate) -> float:
+        """The classifier's log odds, from a bounded memory of the weights of votes, words and shapes met before."""
         known = self.known
         total = known.get((c.kind, c.votes))
         if total is None:
-            total = known[c.kind, c.votes] = self.bias + sum(float(self.weights[i]) for i in _places(c))
+            total = known[c.kind, c.votes] = sum(float(self.weights[i]) for i in _places(c))
         for mark, x in surroundings(text, c):
             w = known.get((c.kind, mark, x))
             if w is None:
@@ -155,7 +229,7 @@ class Detector:
 
     def spans(self, text: str) -> list[tuple[int, int, str]]:
         """``begin``, ``end``, ``kind`` of the personal data in a text, in order and disjoint."""
-        return [(c.begin, c.end, c.kind) for c in self.labelers.candidates(text) if self._score(text, c) > 0]
+        return [(c.begin, c.end, c.kind) for c in best([(self.score(text, c), c) for c in self.labelers.candidates(text)])]
 
 
 def free_texts(events: DataFrame, parts: DataFrame) -> DataFrame:
@@ -167,8 +241,7 @@ def free_texts(events: DataFrame, parts: DataFrame) -> DataFrame:
 
 def train(events: DataFrame, parts: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Detector:
     """A detector for these tables. The sample is every row whose hash is below a bound that ``sample_rows`` sets."""
-    given, family = names_known(events)
-    detector = Detector(given, family)
+    detector = Detector(Gazetteer(names_known(events)))
     sample = []
     for table, key, column in ((events, "event_no", "description"), (parts, "part_no", "text")):
         n = table.count()
@@ -200,7 +273,7 @@ def found_spans(events: DataFrame, parts: DataFrame, detector: Detector | None =
     spans each.
     """
     detector = detector or train(events, parts)
-    return free_texts(events, parts).mapInArrow(_finder(detector), "tbl string, row_no bigint, kind string, begin_at bigint, end_at bigint").distinct()
+    return free_texts(events, parts).mapInArrow(_finder(detector), "tbl string, row_no bigint, kind string, begin_at bigint, end_at bigint")
 
 
 def masked(text: Column, detector: Detector) -> Column:

@@ -21,9 +21,9 @@ def _place(keys: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
 class Screen:
     """Which bigint keys may be in a column; what it denies is surely not."""
 
-    def __init__(self, keys: DataFrame, most_words: int = MOST_WORDS):
-        n = keys.count()
-        self.words = words = min(most_words, 1 << max(10, (n * 24 // 64).bit_length()))
+    def __init__(self, keys: DataFrame, most_words: int = MOST_WORDS, bits: int = 24):
+        n = keys.count()  # ``bits`` a key as long as there is room
+        self.words = words = min(most_words, 1 << max(10, (n * bits // 64).bit_length()))
 
         def place(batches):
             import pyarrow as pa
