@@ -27,6 +27,8 @@ from almanak.functions import text as T
 from almanak.llm.lines import CLOSING, INTRO, LEGAL, QUOTE, SIGNATURE, TEXT, label_lines, shown_lines
 from almanak.session import checkpoint
 
+#: Labels as they travel with the lines.
+CODES = {label: code for code, label in enumerate((TEXT, CLOSING, QUOTE, INTRO, SIGNATURE, LEGAL))}
 #: Lines from this length on tell a quotation on their own; shorter ones only beside such.
 LEAST_CHARS = 25
 #: An earlier message is quoted by a message that has so many of its long lines, or this share of them.
@@ -47,8 +49,8 @@ def _labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 line.append(at)
                 norm.append(n or None)
                 size.append(len(n))
-                label.append(lb)
-        types = (pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.string(), pa.int32())
+                label.append(CODES[lb])
+        types = (pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int8(), pa.int32())
         yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip((part, line, norm, size, label, long), types)], ["part_no", "line_no", "norm", "size", "label", "long"])
 
 
@@ -57,10 +59,10 @@ def is_html(content_type: Column) -> Column:
 
 
 def labelled_lines(parts: DataFrame) -> DataFrame:
-    """``part_no``, ``line_no``, ``key`` (hash of the normalised text, null if nothing is left), ``size``, ``label``, ``long`` (long lines of the part)."""
+    """``part_no``, ``line_no``, ``key`` (hash of the normalised text, null if nothing is left), ``is_long``, ``label`` (a code), ``long`` (long lines of the part)."""
     p = parts.select("part_no", is_html(F.col("content_type")).alias("is_html"), "text").filter("part_no is not null and text is not null and text <> ''")
-    rows = p.mapInArrow(_labels, "part_no bigint, line_no bigint, norm string, size int, label string, long int")
-    return rows.select("part_no", "line_no", F.when(F.col("norm").isNotNull(), F.xxhash64("norm")).alias("key"), "size", "label", "long")
+    rows = p.mapInArrow(_labels, "part_no bigint, line_no int, norm string, size int, label tinyint, long int")
+    return rows.select("part_no", "line_no", F.when(F.col("norm").isNotNull(), F.xxhash64("norm")).alias("key"), (F.col("size") >= LEAST_CHARS).alias("is_long"), "label", "long")
 
 
 def _origin(parts: DataFrame, messages: DataFrame) -> DataFrame:
@@ -90,30 +92,32 @@ def decided_lines(parts: DataFrame, messages: DataFrame, requests: DataFrame) ->
     # who had a line first, and how often its sender has it, by aggregates that combine before the shuffle: a hot line is one row a task
     first = F.min(F.struct("sent", "msg_no", "part_no", "line_no", "message", "long"))
     firsts = rows.filter("key is not null").groupBy("thread", "key").agg(first.alias("f")).select("thread", "key", F.col("f.message").alias("first"), F.col("f.long").alias("first_long"))
-    own = ~F.col("label").isin(QUOTE, INTRO)
+    labelled = lambda *of: F.col("label").isin(*[CODES[x] for x in of])
+    own = ~labelled(QUOTE, INTRO)
     recurs = rows.filter(own & F.col("key").isNotNull()).select("sender", "key", "message").distinct().groupBy("sender", "key").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST_MESSAGES).select("sender", "key", F.lit(True).alias("recurs"))
-    rows = rows.join(firsts, ["thread", "key"], "left").join(recurs, ["sender", "key"], "left")
-
-    earlier = F.when(F.col("first") != F.col("message"), F.col("first"))
-    rows = rows.select("part_no", "line_no", "size", "label", "first_long", earlier.alias("earlier"), F.coalesce("recurs", F.lit(False)).alias("recurs"))
+    # of a line that an earlier message had: a short name of that message, and how many long lines are enough
+    later = F.col("first") != F.col("message")
+    enough = F.when(later, F.least(F.lit(LEAST_LINES), F.ceil(F.col("first_long") * LEAST_SHARE)).cast("tinyint"))
+    rows = rows.join(firsts, ["thread", "key"], "left").select("part_no", "line_no", "is_long", "label", "sender", "key", F.when(later, F.hash("first")).alias("earlier"), enough.alias("enough"))
+    rows = rows.join(recurs, ["sender", "key"], "left").select("part_no", "line_no", "is_long", "label", "earlier", "enough", F.coalesce("recurs", F.lit(False)).alias("recurs"))
     part = W.partitionBy("part_no")
     down, up = part.orderBy("line_no"), part.orderBy(F.desc("line_no")).rowsBetween(W.unboundedPreceding, W.currentRow)
     # successive lines that one earlier message had, with marks or without, are an island
     kind = F.struct("earlier", own.alias("own"))
     anew = F.coalesce(kind != F.lag(kind).over(down), F.lit(True))
     rows = rows.withColumn("island", F.sum(F.when(anew, 1).otherwise(0)).over(down.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    long = F.col("earlier").isNotNull() & (F.col("size") >= LEAST_CHARS)
+    long = F.col("earlier").isNotNull() & F.col("is_long")
     rows = rows.withColumn("backed", F.count(F.when(long, True)).over(W.partitionBy("part_no", "earlier")))
-    sure = long & (~own | (F.col("backed") >= LEAST_LINES) | (F.col("backed") >= F.col("first_long") * LEAST_SHARE))
+    sure = long & (~own | (F.col("backed") >= F.col("enough")))
     ranked = F.col("earlier").isNotNull() & (~own | F.max(sure).over(W.partitionBy("part_no", "island")))
     rows = rows.withColumn("ranked", ranked)
     # the end of what the sender wrote: lines after which only recurring ones and signatures come
     mine = own & ~F.col("ranked")
-    ending = F.min(F.when(mine, F.col("recurs") | F.col("label").isin(SIGNATURE, LEGAL))).over(up)
+    ending = F.min(F.when(mine, F.col("recurs") | labelled(SIGNATURE, LEGAL))).over(up)
     rows = rows.withColumn("ending", mine & F.coalesce(ending, F.lit(False)))
     says = F.max(mine & ~F.col("ending")).over(part)
-    step = F.when(F.col("ranked"), "rank").when(F.col("ending") & F.col("recurs") & says, "recur").when(~F.col("label").isin(TEXT, CLOSING), "form")
-    return rows.withColumn("step", step).filter("step is not null").select("part_no", "line_no", "step")
+    step = F.when(F.col("ranked"), "rank").when(F.col("ending") & F.col("recurs") & says, "recur").when(~labelled(TEXT, CLOSING), "form")
+    return rows.withColumn("step", step).filter("step is not null").select("part_no", F.col("line_no").cast("bigint").alias("line_no"), "step")
 
 
 def not_written_lines(parts: DataFrame, messages: DataFrame, requests: DataFrame) -> DataFrame:

@@ -15,7 +15,9 @@ QUERIES = {
     "p7_ids": lambda s, d: encode.encode_corpus(table(s, d, "documents")),
     "p8_schedule": lambda s, d: mix.Mix(table(s, d, "documents"), table(s, d, "mix_targets")).schedule(),
     "p8_shares": lambda s, d: mix.Mix(table(s, d, "documents"), table(s, d, "mix_targets")).shares(),
+    "p8_deviation": lambda s, d: mix.Mix(table(s, d, "documents"), table(s, d, "mix_targets")).deviation(),
     "p9_found": lambda s, d: spans.shared_pairs(table(s, d, "documents")),
+    "p9_classes": lambda s, d: spans.shared_classes(table(s, d, "documents")),
     "p9_shares": lambda s, d: spans.document_amounts(table(s, d, "documents")),
     "p9_spans": lambda s, d: spans.shared_spans(table(s, d, "documents")),
 }

@@ -2,16 +2,27 @@
 
 Every mix takes as many tokens as its scarcest source allows at its share and
 its cap of repeats. A source's documents stand in hashed order; passes over them
-make its stream, which is cut into blocks. Pfair scheduling gives block j of a
+make its stream, which is cut into blocks of a fixed number of tokens, or of the
+longest document's where that is more. Pfair scheduling gives block j of a
 source with share w the release time floor(j / w) and the deadline
-ceil((j + 1) / w); earliest deadline first then interleaves the streams so that
-every source is always less than one block away from its share.
+ceil((j + 1) / w); earliest deadline first then interleaves the streams, so that
+in blocks every source is always less than one away from its share. The
+documents that begin in a block stand in its slot, so in tokens one block and
+the longest documents at the ends of the others' blocks come to that; the query
+p8_deviation reports the worst.
+
+The schedule has as many blocks as the corpus needs. It is made in ranges of
+slots, each by itself: at the begin of a range every source has had the blocks
+whose deadline is past, and those with the greatest remainders one more, which a
+Pfair schedule can always reach.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterable, Iterator
 from fractions import Fraction
+from math import ceil, floor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -21,10 +32,12 @@ from pyspark.sql import functions as F
 from almanak.llm import encode
 from almanak.session import checkpoint
 
-#: Blocks of a mix: the bound on the size of its schedule, whatever the size of the corpus.
-BLOCKS = 4096
-#: Hash ranges a source is split into for its running sums, so that no source is sorted in one task.
-RANGES = 512
+#: Tokens of a block, unless a document is longer.
+BLOCK_TOKENS = 16_384
+#: Slots of a range of the schedule: at least so many, and more where a share is below one in so many, up to the second.
+SLOTS, MOST_SLOTS = 4_096, 65_536
+#: Hash ranges a source is split into for its running sums: at least so many, and one more for every so many documents.
+RANGES, RANGE_DOCS = 512, 50_000
 
 
 def source_key(c: Column) -> Column:
@@ -38,7 +51,7 @@ def sized_documents(documents: DataFrame, name: str = encode.TOKENIZER, folder:
     return encode.token_counts(d, name, folder).filter("n_tokens > 0")
 
 
-def solve(targets: DataFrame, totals: DataFrame, blocks: int = BLOCKS) -> DataFrame:
+def solve(targets: DataFrame, totals: DataFrame, block: int = BLOCK_TOKENS) -> DataFrame:
     """One row per mix and source of ``targets``: what the mix takes of it.
 
     ``weight`` null, negative or zero takes nothing; ``max_repeats`` null means
@@ -55,60 +68,108 @@ def solve(targets: DataFrame, totals: DataFrame, blocks: int = BLOCKS) -> DataFr
     t = t.withColumn("target_share", F.when(F.sum("weight").over(mix) > 0, F.col("weight") / F.sum("weight").over(mix)).otherwise(0.0))
     t = t.withColumn("goal_share", F.when(live, F.col("weight") / F.sum(F.when(live, F.col("weight"))).over(mix)).otherwise(0.0))
     t = t.withColumn("total", F.coalesce(F.floor(F.min(F.when(live, F.col("tokens") * F.col("cap") / F.col("goal_share"))).over(mix)), F.lit(0)).cast("bigint"))
-    return t.withColumn("quota", F.least(F.round(F.col("total") * F.col("goal_share")).cast("bigint"), (F.col("tokens") * F.col("cap")).cast("bigint"))).withColumn("block", F.greatest(F.lit(1), F.ceil(F.col("total") / blocks)).cast("bigint"))
+    return t.withColumn("quota", F.least(F.round(F.col("total") * F.col("goal_share")).cast("bigint"), (F.col("tokens") * F.col("cap")).cast("bigint"))).withColumn("block", F.lit(block).cast("bigint"))
 
 
-def pfair(shares: list[tuple[str, float]], slots: int | None = None, needed: dict[str, int] | None = None) -> list[tuple[str, int]]:
-    """Source and block number of each slot: earliest deadline first among the released blocks, ties by share, then name.
+def exact(shares: dict[str, float]) -> dict[str, Fraction]:
+    """Positive shares as fractions that add up to one."""
+    near = {s: Fraction(w).limit_denominator(10**9) or Fraction(w) for s, w in shares.items() if w > 0}
+    return {s: w / sum(near.values()) for s, w in near.items()}
 
-    A source leaves once it has its blocks of ``needed``. There are ``slots``
-    slots at most; without that, as many as it takes to place every block needed.
+
+def range_slots(weights: Iterable[float]) -> int:
+    """Slots of a range: enough that even the least share has a block in each, within bounds."""
+    least = min((w for w in weights if w > 0), default=1.0)
+    return min(MOST_SLOTS, max(SLOTS, ceil(1 / least)))
+
+
+def had(weights: dict[str, Fraction], slot: int, slots: int) -> dict[str, int]:
+    """Blocks that each source has had before a slot where a range begins.
+
+    Those whose deadline is past, and one more for the greatest remainders,
+    until all slots are used. Shares without a block in every range are
+    rounded by themselves, so that no later range takes one back.
+    """
+    small = {s for s, w in weights.items() if w * slots < 1}
+    out = {s: floor(w * slot + Fraction(1, 2)) if s in small else floor(w * slot) for s, w in weights.items()}
+    left = slot - sum(out.values())
+    rest = sorted((s for s, w in weights.items() if s not in small and w * slot > out[s]), key=lambda s: (out[s] - weights[s] * slot, s))
+    for s in rest[: max(0, left)]:
+        out[s] += 1
+    return out
+
+
+def pfair(weights: dict[str, Fraction], begin: dict[str, int], until: dict[str, int], slot: int = 0, last: int | None = None) -> list[tuple[str, int]]:
+    """Source and block of the slots from ``slot`` on: the blocks from ``begin`` to ``until`` of each source.
+
+    Earliest deadline first among the released blocks, ties by share, then
+    name; no block is due after ``last``.
     """
-    if slots is None and needed is None:
-        raise ValueError("either slots or the blocks needed must be given")
-    near = lambda w: Fraction(w).limit_denominator(10**9) or Fraction(w)
-    total = sum(near(w) for _, w in shares)
-    weights = {s: near(w) / total for s, w in shares if w > 0}
-    waiting = [(0, s, 0) for s in weights if needed is None or needed[s] > 0]
+    due = lambda s, j: ceil((j + 1) / weights[s]) if last is None else min(last, ceil((j + 1) / weights[s]))
+    waiting = [(max(slot, floor(begin[s] / weights[s])), s, begin[s]) for s in weights if begin[s] < until[s]]
     heapq.heapify(waiting)
     ready: list[tuple[int, Fraction, str, int]] = []
     out: list[tuple[str, int]] = []
-    now = 0
-    while (waiting or ready) and (slots is None or len(out) < slots):
+    now = slot
+    while waiting or ready:
         if not ready:
             now = max(now, waiting[0][0])
         while waiting and waiting[0][0] <= now:
             _, s, j = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(j + 1) // weights[s]), -weights[s], s, j))
+            heapq.heappush(ready, (due(s, j), -weights[s], s, j))
         _, _, s, j = heapq.heappop(ready)
         out.append((s, j))
-        if needed is None or j + 1 < needed[s]:
-            heapq.heappush(waiting, (int((j + 1) // weights[s]), s, j + 1))
+        if j + 1 < until[s]:
+            heapq.heappush(waiting, (floor((j + 1) / weights[s]), s, j + 1))
         now += 1
     return out
 
 
-def _slots(rows: pd.DataFrame) -> pd.DataFrame:
-    live = rows[rows["quota"] > 0]
-    # a use begins before its source's quota, so these are all the blocks that hold one
-    needed = {s: int(-(-q // b)) for s, q, b in zip(live["source"], live["quota"], live["block"])}
-    order = pfair(list(zip(live["source"], live["goal_share"])), needed=needed)
-    out = [(int(live["mix_no"].iloc[0]), s, j, k) for k, (s, j) in enumerate(order)]
-    return pd.DataFrame(out, columns=["mix_no", "source", "block_no", "slot"]).astype({"mix_no": "int64", "block_no": "int64", "slot": "int64"})
+def n_ranges(shares: dict[str, float], needed: dict[str, int]) -> int:
+    return max(1, ceil(sum(needed.values()) / range_slots(shares.values())))
+
+
+def schedule_range(shares: dict[str, float], needed: dict[str, int], number: int) -> list[tuple[str, int, int]]:
+    """Source, block and slot of range ``number`` of a schedule that gives each source the blocks it needs."""
+    weights, slots = exact(shares), range_slots(shares.values())
+    at = lambda k: {s: min(needed[s], n) for s, n in had(weights, k * slots, slots).items()}
+    begin, final = at(number), number == n_ranges(shares, needed) - 1
+    order = pfair(weights, begin, needed if final else at(number + 1), number * slots, None if final else (number + 1) * slots)
+    base = sum(begin.values())
+    return [(s, j, base + k) for k, (s, j) in enumerate(order)]
+
+
+def _slots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in batches:
+        for mix, number, sources in zip(frame["mix_no"], frame["number"], frame["sources"]):
+            shares, needed = {x["source"]: x["share"] for x in sources}, {x["source"]: x["needed"] for x in sources}
+            rows = [(mix, *x) for x in schedule_range(shares, needed, number)]
+            yield pd.DataFrame(rows, columns=["mix_no", "source", "block_no", "slot"]).astype({"mix_no": "int64", "block_no": "int64", "slot": "int64"})
 
 
 class Mix:
     """The plan of all mixes over a corpus."""
 
-    def __init__(self, documents: DataFrame, targets: DataFrame, name: str = encode.TOKENIZER, folder: str = encode.TOKENIZERS, blocks: int = BLOCKS):
+    def __init__(self, documents: DataFrame, targets: DataFrame, name: str = encode.TOKENIZER, folder: str = encode.TOKENIZERS, block: int = BLOCK_TOKENS):
         self.sizes = checkpoint(sized_documents(documents, name, folder))
         totals = self.sizes.groupBy("source").agg(F.count("*").alias("docs"), F.sum("n_tokens").alias("tokens"))
-        self.plan = checkpoint(solve(targets, totals, blocks))
-        self.slots = self.plan.select("mix_no", "source", "goal_share", "quota", "total", "block").groupBy("mix_no").applyInPandas(_slots, "mix_no bigint, source string, block_no bigint, slot bigint")
+        most = self.sizes.groupBy("source").agg(F.max("n_tokens").alias("n"), F.count("*").alias("docs")).agg(F.max("n").alias("n"), F.max("docs").alias("docs")).first()
+        self.block = max(block, most.n or 0)
+        self.ranges = max(RANGES, (most.docs or 0) // RANGE_DOCS)
+        self.plan = checkpoint(solve(targets, totals, self.block))
+        self.slots = self._all_slots()
+
+    def _all_slots(self) -> DataFrame:
+        """``mix_no``, ``source``, ``block_no``, ``slot``: every block that holds a use (one begins before its source's quota), ranges made in parallel."""
+        live = self.plan.filter("quota > 0").select("mix_no", F.struct("source", F.col("goal_share").alias("share"), F.ceil(F.col("quota") / F.col("block")).alias("needed")).alias("x"))
+        mixes = live.groupBy("mix_no").agg(F.sort_array(F.collect_list("x")).alias("sources"), F.sum("x.needed").alias("needed"), F.min("x.share").alias("least"))
+        slots = F.least(F.lit(MOST_SLOTS), F.greatest(F.lit(SLOTS), F.ceil(1 / F.col("least"))))  # as in range_slots
+        ranges = mixes.withColumn("number", F.explode(F.sequence(F.lit(0).cast("bigint"), F.ceil(F.col("needed") / slots) - 1)))
+        return ranges.select("mix_no", "number", "sources").repartition("mix_no", "number").mapInPandas(_slots, "mix_no bigint, source string, block_no bigint, slot bigint")
 
     def _ordered(self) -> DataFrame:
         """Sizes with ``offset``, the tokens of the source before the document in hashed order."""
-        h = self.sizes.withColumn("h", F.xxhash64(F.lit(8), "source", "doc_id")).withColumn("r", F.pmod("h", F.lit(RANGES)))
+        h = self.sizes.withColumn("h", F.xxhash64(F.lit(8), "source", "doc_id")).withColumn("r", F.pmod("h", F.lit(self.ranges)))
         sums = h.groupBy("source", "r").agg(F.sum("n_tokens").alias("n"))
         before = sums.select("source", "r", F.coalesce(F.sum("n").over(W.partitionBy("source").orderBy("r").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
         inside = F.coalesce(F.sum("n_tokens").over(W.partitionBy("source", "r").orderBy("h", "doc_id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
@@ -136,3 +197,27 @@ class Mix:
         reached = F.when(all_used > 0, F.col("tokens_used") / all_used).otherwise(0.0)
         six = lambda c: F.round(c, 6)
         return p.select("mix_no", "source", six("target_share").alias("target_share"), six("goal_share").alias("goal_share"), six(reached).alias("actual_share"), "tokens_used", "uses", "most_repeats", F.col("tokens").alias("tokens_there"), F.col("cap").cast("bigint").alias("max_repeats"))
+
+    def deviation(self) -> DataFrame:
+        """``mix_no``, ``source``, ``blocks``, ``worst_tokens``, ``worst_blocks``: how far the mix, read from its begin, was ever from the source's goal share.
+
+        Looked at before and after each of the source's slots, where the
+        difference is greatest. Running sums over ranges of slots, then within
+        each, so no mix is in one task.
+        """
+        size = self.schedule().groupBy("mix_no", "slot", "source").agg(F.sum("n_tokens").alias("n")).withColumn("part", F.floor(F.col("slot") / SLOTS))
+        size = checkpoint(size)
+
+        def before(keys: list[str]) -> DataFrame:
+            sums = size.groupBy(*keys, "part").agg(F.sum("n").alias("m"))
+            earlier = W.partitionBy(*keys).orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+            return sums.select(*keys, "part", F.coalesce(F.sum("m").over(earlier), F.lit(0)).alias("base"))
+
+        inside = lambda keys: F.coalesce(F.sum("n").over(W.partitionBy(*keys, "part").orderBy("slot").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        rows = size.withColumn("all", inside(["mix_no"])).withColumn("own", inside(["mix_no", "source"]))
+        rows = rows.join(before(["mix_no"]).withColumnRenamed("base", "all_base"), ["mix_no", "part"]).join(before(["mix_no", "source"]).withColumnRenamed("base", "own_base"), ["mix_no", "source", "part"])
+        rows = rows.join(F.broadcast(self.plan.select("mix_no", "source", "goal_share")), ["mix_no", "source"])  # as many rows as there are targets
+        all_, own = F.col("all") + F.col("all_base"), F.col("own") + F.col("own_base")
+        off = F.greatest(F.abs(own - F.col("goal_share") * all_), F.abs(own + F.col("n") - F.col("goal_share") * (all_ + F.col("n"))))
+        worst = rows.groupBy("mix_no", "source").agg(F.count("*").alias("blocks"), F.round(F.max(off), 3).alias("worst_tokens"))
+        return worst.withColumn("worst_blocks", F.round(F.col("worst_tokens") / self.block, 3))

@@ -3,10 +3,13 @@
 A sampled de Bruijn graph: tokens are code points, k-mers are its edges, and of
 every 61 successive k-mers of a text the least by hash is an anchor, so that any
 span of 180 code points holds at least one. Anchors that occur in several texts
-are linked to their successors, nonbranching paths of them compact through
-joins, and coordinates in the texts verify the spans: a compacted path covers
-its code points without a hole, hence is shared as a whole, and the windows of
-180 code points that stick out of a path are hashed one by one.
+are linked to their successors, and nonbranching paths of them compact through
+joins. Around the ends of these paths every window of 180 code points is an edge
+of its own, and paths and windows compact once more to runs: nonbranching
+stretches that the same texts share, each a span of at least 180 code points.
+All pairs come from runs, by source coordinates: each text that has a run
+brings the code points that stand there, and only texts whose code points are
+equal are a pair.
 """
 
 from __future__ import annotations
@@ -24,6 +27,8 @@ from almanak.session import checkpoint
 
 #: Least length of a shared span, code points of a k-mer, and k-mers of which one is an anchor: K + WINDOW - 1 = SPAN.
 SPAN, K, WINDOW = 180, 120, 61
+#: Texts that a task remembers having scanned, so as to scan copies once: a bound on memory, not on what is found.
+REMEMBERED = 200_000
 #: Code points hashed at a time, to stay within the processor's caches and the worker's memory.
 CHUNK = 400_000
 
@@ -98,7 +103,8 @@ def anchors(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray
 def _scan(screen: Screen | None = None):
     """mapInArrow function: ``h``, ``t``, ``doc_id``, ``pos`` of every anchor that the screen lets pass; without one ``h`` and ``t``.
 
-    Texts are cut into overlapping chunks, so that no window is lost.
+    Texts are cut into overlapping chunks, so that no window is lost. Of copies
+    in one task the first stands for all.
     """
 
     def out(held: list[tuple[int, int, int, np.ndarray]]) -> pa.RecordBatch:
@@ -114,9 +120,14 @@ def _scan(screen: Screen | None = None):
         return pa.RecordBatch.from_arrays([pa.array(h), pa.array(t), pa.array(doc), pa.array(pos.astype(np.int32))], ["h", "t", "doc_id", "pos"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             held, size = [], 0
             for t, doc, text in zip(batch.column("t").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text")):
+                if t in seen:
+                    continue
+                if len(seen) < REMEMBERED:
+                    seen.add(t)
                 points = code_points(text.as_py())
                 for o in range(0, max(1, len(points) - SPAN + 1), CHUNK - SPAN + 1):
                     piece = points[o : o + CHUNK]
@@ -163,6 +174,19 @@ def _edges_of_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ws, ts, ps)], ["w", "t", "pos"])
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``u``, ``t``, ``span``: the SPAN code points with which a text's runs begin."""
+    for batch in batches:
+        us, ts, spans = [], [], []
+        for t, text, runs in zip(batch.column("t").to_pylist(), batch.column("text"), batch.column("runs")):
+            points = code_points(text.as_py())
+            for r in runs.as_py():
+                us.append(r["u"])
+                ts.append(t)
+                spans.append(points[r["s"] : r["s"] + SPAN].tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(ts, pa.int64()), pa.array(spans, pa.binary())], ["u", "t", "span"])
+
+
 class SharedSpans:
     """Which texts share spans of at least SPAN code points, and where.
 
@@ -173,13 +197,14 @@ class SharedSpans:
     def __init__(self, documents: DataFrame):
         d = documents.select("doc_id", "text").filter("text is not null and doc_id is not null")
         self.texts = d.filter(F.length("text") >= SPAN).select("doc_id", F.xxhash64("text").alias("t"), "text")
-        self.copies = self.texts.select("t", "doc_id").distinct()
+        self.copies = d.filter(F.length("text") >= SPAN).select(F.xxhash64("text").alias("t"), F.sha2("text", 256).alias("digest"), "doc_id").distinct()
         of_texts = self.texts.select("t", "doc_id", "text")
         counted = of_texts.mapInArrow(_scan(), "h bigint, t bigint").groupBy("h").agg(F.min("t").alias("a"), F.max("t").alias("b"))
         repeated = checkpoint(counted.filter("a <> b").select("h"))
         # a second scan is cheaper than moving every anchor again: few are repeated
         rows = of_texts.mapInArrow(_scan(Screen(repeated)), "h bigint, t bigint, doc_id bigint, pos int")
-        found = checkpoint(rows.join(repeated, "h").groupBy("h", "t", "pos").agg(F.min("doc_id").alias("doc_id")))
+        # copies fold before the join, whose hot anchors adaptive execution can then split: nothing after it needs the rows by anchor
+        found = checkpoint(rows.groupBy("h", "t", "pos").agg(F.min("doc_id").alias("doc_id")).join(repeated, "h"))
         self.paths = checkpoint(self._compact(found))
         self.windows = self._windows()
 
@@ -208,26 +233,43 @@ class SharedSpans:
         several = rows.groupBy("w").agg(F.min("t").alias("a"), F.max("t").alias("b")).filter("a <> b").select("w")
         return checkpoint(rows.join(several, "w"))
 
-    def text_pairs(self) -> DataFrame:
-        """``a`` < ``b``: pairs of different texts that share a span.
+    def members(self) -> DataFrame:
+        """``u``, ``t``, ``span``: which text has which run, with the code points it begins with.
 
-        Paths and windows with the same set of texts count once, by a
-        signature of the set, before any pair is made.
+        Runs with the same set of texts count once, by a signature of the set.
         """
-        members = self.paths.filter(F.col("e") - F.col("s") >= SPAN).select(F.col("path").alias("g"), "t").unionByName(self.windows.select(F.xxhash64(F.lit(1), "w").alias("g"), "t")).distinct()
-        sets = members.groupBy("g").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("t")).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), "t")).alias("y"))
-        chosen = sets.groupBy("n", "x", "y").agg(F.min("g").alias("g")).select("g")
-        members = members.join(chosen, "g")
-        left, right = members.select("g", F.col("t").alias("a")), members.select("g", F.col("t").alias("b"))
-        return left.join(right, "g").filter("a < b").select("a", "b").distinct()
+        runs = checkpoint(self._runs().groupBy("u", "t").agg(F.min("s").alias("s")))
+        sets = runs.groupBy("u").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("t")).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), "t")).alias("y")).filter("n > 1")
+        chosen = sets.groupBy("n", "x", "y").agg(F.min("u").alias("u")).select("u")
+        wanted = runs.join(chosen, "u").groupBy("t").agg(F.collect_list(F.struct("u", "s")).alias("runs"))
+        wanted = checkpoint(wanted.join(self.paths.groupBy("t").agg(F.min("doc_id").alias("doc_id")), "t"))
+        texts = self.texts.select("doc_id", "text").mapInArrow(_only(Screen(wanted.select("doc_id"))), "doc_id bigint, text string")
+        return checkpoint(texts.join(wanted, "doc_id").select("t", "text", "runs").mapInArrow(_slices, "u bigint, t bigint, span binary"))
+
+    def text_pairs(self) -> DataFrame:
+        """``a`` < ``b``: pairs of different texts that have a run in common, code point for code point."""
+        members = self.members()
+        left, right = members.select("u", "span", F.col("t").alias("a")), members.select("u", "span", F.col("t").alias("b"))
+        return left.join(right, ["u", "span"]).filter("a < b").select("a", "b").distinct()
 
     def pairs(self) -> DataFrame:
         """``doc_a`` < ``doc_b``: every pair of documents whose texts share a span, copies included."""
-        a, b = self.copies.select(F.col("t").alias("a"), F.col("doc_id").alias("i")), self.copies.select(F.col("t").alias("b"), F.col("doc_id").alias("j"))
+        a, b = self.copies.select(F.col("t").alias("a"), F.col("digest").alias("x"), F.col("doc_id").alias("i")), self.copies.select(F.col("t").alias("b"), F.col("digest").alias("y"), F.col("doc_id").alias("j"))
         between = self.text_pairs().join(a, "a").join(b, "b").select("i", "j")
-        equal = a.join(b, F.col("a") == F.col("b")).filter("i < j").select("i", "j")
+        equal = a.join(b, (F.col("a") == F.col("b")) & (F.col("x") == F.col("y"))).filter("i < j").select("i", "j")
         return between.unionByName(equal).select(F.least("i", "j").alias("doc_a"), F.greatest("i", "j").alias("doc_b"))
 
+    def classes(self) -> DataFrame:
+        """``doc_id``, ``class_id``, ``copies``, ``links``: one row per document of at least SPAN code points.
+
+        ``class_id`` is the least document with the same text, ``copies``
+        counts the others, ``links`` the other texts that share a span with it.
+        """
+        pairs = self.text_pairs()
+        links = pairs.select(F.col("a").alias("t")).unionByName(pairs.select(F.col("b").alias("t"))).groupBy("t").agg(F.count("*").alias("links"))
+        size = self.copies.groupBy("t", "digest").agg(F.min("doc_id").alias("class_id"), (F.count("*") - 1).alias("copies"))
+        return self.copies.join(size, ["t", "digest"]).join(links, "t", "left").fillna(0, ["links"]).select("doc_id", "class_id", "copies", "links")
+
     def shares(self) -> DataFrame:
         """``doc_id``, ``n_chars``, ``shared_chars``, ``share``, ``copies``: how much of each document stands in others.
 
@@ -238,7 +280,7 @@ class SharedSpans:
         spans = self.paths.filter(F.col("e") - F.col("s") >= SPAN).select("t", "s", "e").unionByName(self.windows.select("t", F.col("pos").alias("s"), (F.col("pos") + SPAN).alias("e")))
         reach = F.max("e").over(W.partitionBy("t").orderBy("s", "e").rowsBetween(W.unboundedPreceding, -1))
         covered = spans.withColumn("r", F.coalesce(reach, F.lit(0))).groupBy("t").agg(F.sum(F.greatest(F.lit(0), F.col("e") - F.greatest("s", "r"))).alias("c"))
-        count = self.copies.groupBy("t").agg(F.count("*").alias("copies"))
+        count = self.copies.select("t", "doc_id").groupBy("t").agg(F.count("*").alias("copies"))
         d = self.texts.select("doc_id", "t", F.length("text").cast("bigint").alias("n_chars")).join(count, "t").join(covered, "t", "left")
         shared = F.when(F.col("copies") > 1, F.col("n_chars")).otherwise(F.coalesce("c", F.lit(0)).cast("bigint"))
         return d.select("doc_id", "n_chars", shared.alias("shared_chars"), F.round(shared / F.col("n_chars"), 6).alias("share"), (F.col("copies") - 1).alias("copies"))
@@ -303,7 +345,7 @@ class SharedSpans:
         whole = copied.join(found, ["t"], "left").groupBy("t", "size").agg(F.max(F.when((F.col("begin") == 0) & (F.col("end") == F.col("size")), F.col("passage"))).alias("p"))
         whole = whole.select("t", F.lit(0).cast("bigint").alias("begin"), F.col("size").alias("end"), F.coalesce("p", F.xxhash64(F.lit(3), "t")).alias("passage"))
         parts = found.join(copied.select("t"), "t", "left_anti")
-        return self.copies.join(parts.unionByName(whole), "t").select("doc_id", "begin", "end", "passage")
+        return self.copies.select("t", "doc_id").join(parts.unionByName(whole), "t").select("doc_id", "begin", "end", "passage")
 
 
 def _common(other: str) -> Column:
@@ -326,6 +368,11 @@ def shared_pairs(documents: DataFrame) -> DataFrame:
     return SharedSpans(documents).pairs()
 
 
+def shared_classes(documents: DataFrame) -> DataFrame:
+    """One row per document of at least SPAN code points: the class of its copies, and how many other texts share a span with it."""
+    return SharedSpans(documents).classes()
+
+
 def shared_amounts(documents: DataFrame) -> DataFrame:
     """One row per document of at least SPAN code points: how much of it stands elsewhere."""
     return SharedSpans(documents).shares()

@@ -6,7 +6,7 @@ from collections import defaultdict
 import pytest
 
 from almanak.llm import spans
-from almanak.llm.spans import SPAN, document_amounts, shared_amounts, shared_pairs, shared_spans
+from almanak.llm.spans import SPAN, SharedSpans, document_amounts, shared_amounts, shared_classes, shared_pairs, shared_spans
 
 DOCS = "doc_id bigint, text string, t string, h string, pos string"
 
@@ -42,6 +42,27 @@ def test_equals_all_windows(spark, seed):
     assert {x.doc_id: x.shared_chars for x in shared_amounts(df).collect()} == shared
 
 
+def test_a_footer_in_every_document(spark):
+    r = random.Random(8)
+    noise = lambda n: "".join(r.choice("abcdefghij klmno\n") for _ in range(n))
+    footer = noise(260)
+    rows = [(d, noise(r.randrange(50, 300)) + footer) for d in range(60)] + [(100 + d, footer) for d in range(5)] + [(200, footer[:179]), (201, noise(400))]
+    df = spark.createDataFrame([(*x, "", "", "") for x in rows], DOCS).repartition(5)
+    pairs, _ = brute(rows)
+    assert {tuple(p) for p in shared_pairs(df).collect()} == pairs
+    found = {x.doc_id: (x.class_id, x.copies, x.links) for x in shared_classes(df).collect()}
+    assert found == {d: (d, 0, 60) for d in range(60)} | {d: (100, 4, 60) for d in range(100, 105)} | {201: (201, 0, 0)}
+
+
+def test_pairs_come_from_runs_and_hold_code_point_for_code_point(spark):
+    r = random.Random(9)
+    noise = lambda n: "".join(r.choice("abcdefgh 漢😀") for _ in range(n))
+    passages = [noise(n) for n in (180, 240, 700)]
+    texts = {d: noise(150) + r.choice(passages) + noise(90) for d in range(20)}
+    members = SharedSpans(spark.createDataFrame([(d, t, "", "", "") for d, t in texts.items()], DOCS)).members().collect()
+    assert members and all(len(m.span) == 4 * SPAN and sum(bytes(m.span).decode("utf-32-le") in t for t in texts.values()) > 1 for m in members)
+
+
 def brute_spans(rows):
     """Per document, the spans that another holds whole and that no longer such span holds."""
     where = defaultdict(list)
