@@ -150,3 +150,27 @@ def authored_text(parts: DataFrame, messages: DataFrame, requests: DataFrame) ->
 
     p = parts.select("part_no", is_html(F.col("content_type")).alias("is_html"), "text").join(gone, "part_no", "left").join(whole, "part_no", "left")
     return p.select("part_no", reduce("text", "is_html", "gone", F.coalesce("whole", F.lit(False))).alias("text"))
+
+
+def whole_texts(parts: DataFrame, messages: DataFrame, requests: DataFrame) -> DataFrame:
+    """``part_no``, ``text`` of the parts that stay whole, as ``authored_text`` gives them."""
+    raw = requests.filter("raw and thread_id is not null").select(F.col("thread_id").alias("thread")).distinct()
+    whole = _origin(parts, messages).join(raw, "thread", "left_semi").select("part_no")
+    return authored_text(parts, messages, requests).join(whole, "part_no", "left_semi")
+
+
+def line_faults(parts: DataFrame, messages: DataFrame, requests: DataFrame) -> DataFrame:
+    """What the lines found keep: one row per part with text, all counts of faults 0.
+
+    ``outside``, lines that the text does not have; ``blank``, lines that show
+    nothing; ``raw``, lines of parts that stay whole.
+    """
+    lines = F.split("text", "\n")
+    n = not_written_lines(parts, messages, requests).groupBy("part_no").agg(F.collect_list("line_no").alias("found"))
+    raw = requests.filter("raw and thread_id is not null").select(F.col("thread_id").alias("thread")).distinct()
+    whole = _origin(parts, messages).join(raw, "thread", "left_semi").select("part_no", F.lit(True).alias("whole"))
+    p = parts.filter("text is not null and text <> ''").select("part_no", lines.alias("lines")).join(n, "part_no", "left").join(whole, "part_no", "left")
+    count = lambda of: F.coalesce(F.size(F.filter("found", of)), F.lit(0)).cast("bigint")
+    size = F.size("lines")
+    empty = lambda k: F.get("lines", (k - 1).cast("int")).rlike(r"^\s*$")
+    return p.select("part_no", size.cast("bigint").alias("n_lines"), count(lambda k: (k < 1) | (k > size)).alias("outside"), count(empty).alias("blank"), F.when(F.col("whole"), F.coalesce(F.size("found"), F.lit(0))).otherwise(0).cast("bigint").alias("raw"))

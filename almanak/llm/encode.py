@@ -1,10 +1,12 @@
 """Encoding of a corpus with a public byte-level tokenizer, and decoding (problem 7).
 
-Texts up to CHUNK code points are encoded as they are. Longer ones are cut into
-overlapping chunks that are pre-tokenised in parallel; two neighbours are
-stitched at the first place in their overlap where both have a pre-token
-boundary, for from there on they agree; then the stitched pieces are encoded in
-parallel and joined in order. Decoding concatenates the raw bytes of the ids.
+Every text goes through the same operator: it is cut into overlapping chunks
+(one, if it is that short); chunks are pre-tokenised by themselves near their
+ends, two neighbours are stitched at the first place in their overlap where both
+have a pre-token boundary, for from there on they agree; the pieces between the
+stitches are encoded and their ids joined in order. The chunks of a text stay in
+its task, except of very long texts, whose chunks and pieces go to many tasks.
+Decoding concatenates the raw bytes of the ids.
 """
 
 from __future__ import annotations
@@ -22,8 +24,10 @@ from pyspark.sql import functions as F
 
 TOKENIZERS = "/opt/tokenizers"
 TOKENIZER = "byte_bpe_50k"
-#: Code points of a chunk of a long text, and of its overlap with each neighbour.
-CHUNK, OVERLAP = 16_384, 512
+#: Code points of a chunk, and of its overlap with each neighbour.
+CHUNK, OVERLAP = 2_048, 256
+#: Texts of more code points are spread: their chunks, of so many code points, go to different tasks.
+SPREAD, SPREAD_CHUNK = 1_000_000, 262_144
 #: Code points encoded before a batch goes out.
 STEP = 1_000_000
 # Fixed value: the pre-token pattern of the tokenizer.
@@ -53,6 +57,47 @@ def pre_token_starts(text: str) -> np.ndarray:
     return np.fromiter((m.start() for m in _loaded["pattern"].finditer(text)), np.int64)
 
 
+def chunk_boundaries(text: str, at: int) -> np.ndarray:
+    """Pre-token boundaries of a chunk whose text begins at ``at``, as places in the whole text.
+
+    The first ones of a chunk that begins anywhere are left out: a pre-token
+    that it cuts may end elsewhere than the whole one. So are those after white
+    space, for how that is parted depends on what follows it.
+    """
+    starts = pre_token_starts(text)[2 if at else 0 :]
+    return starts[[not (k and text[k - 1].isspace()) for k in starts.tolist()]] + at if len(starts) else starts
+
+
+def stitches(text: str, chunk: int | None = None) -> list[int]:
+    """Where the pieces of a text begin: at 0 and, for each two neighbouring chunks, at the first boundary in their overlap that both have.
+
+    From there on both read the same. Where they have none in common, as
+    within a long run without any, the right chunk goes on the piece before.
+    """
+    chunk = chunk or CHUNK
+    out, left = [0], None
+    for at in range(0, len(text), chunk):
+        begin = max(0, at - OVERLAP)
+        right = chunk_boundaries(text[begin : at + chunk + OVERLAP], begin)
+        if left is not None:
+            both = np.intersect1d(left[left >= begin], right[right < at + OVERLAP], assume_unique=True)
+            if len(both):
+                out.append(int(both[0]))
+        left = right
+    return out
+
+
+def encode_chunked(text: str, encode: Callable[[str], list[int]]) -> list[int]:
+    """The ids of a text by its pieces."""
+    if len(text) <= CHUNK:
+        return encode(text)  # one chunk, nothing to stitch
+    cuts = stitches(text)
+    out: list[int] = []
+    for a, b in zip(cuts, [*cuts[1:], len(text)]):
+        out += encode(text[a:b])
+    return out
+
+
 def _encoder(key: str, name: str, folder: str, counts_only: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """mapInArrow function: columns but ``text`` stay, ``ids`` (or their number) comes. Null gives no ids."""
 
@@ -63,7 +108,7 @@ def _encoder(key: str, name: str, folder: str, counts_only: bool = False) -> Cal
             texts, begin, size, ids = batch.column("text"), 0, 0, []
             for i, text in enumerate(texts):
                 t = text.as_py() or ""
-                ids.append(np.array(encode(t), np.int32))
+                ids.append(np.array(encode_chunked(t, encode), np.int32))
                 size += len(t)
                 if size >= STEP or i == len(texts) - 1:
                     lengths = np.array([len(x) for x in ids], np.int32)
@@ -79,28 +124,27 @@ def _encoder(key: str, name: str, folder: str, counts_only: bool = False) -> Cal
 
 
 def _boundaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds the pre-token starts of a chunk near its two ends, as places in the whole text."""
+    """Adds the boundaries of a chunk in its overlaps with the one before and the one after, as places in the whole text."""
     for batch in batches:
         left, right = [], []
         for text, at, c in zip(batch.column("text"), batch.column("at").to_pylist(), batch.column("chunk").to_pylist()):
-            starts = pre_token_starts(text.as_py()) + at
-            ends = ((c * CHUNK, left), ((c + 1) * CHUNK, right))
-            for middle, out in ends:
-                out.append(starts[(starts >= middle - OVERLAP) & (starts <= middle + OVERLAP) & (starts > at)].tolist())
+            starts = chunk_boundaries(text.as_py(), at)
+            for middle, out in ((c * SPREAD_CHUNK, left), ((c + 1) * SPREAD_CHUNK, right)):
+                out.append(starts[(starts >= middle - OVERLAP) & (starts < middle + OVERLAP)].tolist())
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(left, pa.list_(pa.int64())), pa.array(right, pa.list_(pa.int64()))], [*batch.schema.names, "left", "right"])
 
 
 def pieces_of_long_texts(long: DataFrame) -> DataFrame:
     """``row``, ``doc_id``, ``piece``, ``text``: pieces that begin at pre-token boundaries, in order, of texts (``row``, ``doc_id``, ``text``)."""
-    chunks = F.sequence(F.lit(0), F.floor((F.length("text") - 1) / CHUNK).cast("int"))
+    chunks = F.sequence(F.lit(0), F.floor((F.length("text") - 1) / SPREAD_CHUNK).cast("int"))
     c = long.select("row", "doc_id", "text", F.explode(chunks).alias("chunk"))
-    at = F.greatest(F.lit(0), F.col("chunk") * CHUNK - OVERLAP)
-    c = c.select("row", "doc_id", "chunk", at.cast("bigint").alias("at"), F.substring("text", at + 1, F.lit(CHUNK + OVERLAP) + F.col("chunk") * CHUNK - at).alias("text"))
+    at = F.greatest(F.lit(0), F.col("chunk") * SPREAD_CHUNK - OVERLAP)
+    c = c.select("row", "doc_id", "chunk", at.cast("bigint").alias("at"), F.substring("text", at + 1, F.lit(SPREAD_CHUNK + OVERLAP) + F.col("chunk") * SPREAD_CHUNK - at).alias("text"))
     c = c.repartition("row", "chunk").mapInArrow(_boundaries, "row bigint, doc_id bigint, chunk int, at bigint, text string, left array<bigint>, right array<bigint>")
     in_order = W.partitionBy("row").orderBy("chunk")
     # the first place where both neighbours have a boundary; none: the chunk goes on the piece before
     cut = F.when(F.col("chunk") == 0, 0).otherwise(F.array_min(F.array_intersect("left", F.lag("right").over(in_order))))
-    c = c.withColumn("cut", cut).withColumn("begin", F.coalesce("cut", F.col("chunk") * CHUNK))
+    c = c.withColumn("cut", cut).withColumn("begin", F.coalesce("cut", F.col("chunk") * SPREAD_CHUNK))
     c = c.withColumn("until", F.lead("begin").over(in_order)).withColumn("piece", F.count("cut").over(in_order))
     size = F.coalesce(F.col("until") - F.col("begin"), F.length("text").cast("bigint"))
     c = c.select("row", "doc_id", "piece", "chunk", F.substring("text", (F.col("begin") - F.col("at") + 1).cast("int"), size.cast("int")).alias("text"))
@@ -115,7 +159,7 @@ def encode_corpus(documents: DataFrame, name: str = TOKENIZER, folder: str = TOK
     texts give an empty list. Rows of one ``doc_id`` each give their row.
     """
     d = documents.select("doc_id", "text")
-    is_long = F.coalesce(F.length("text") > CHUNK, F.lit(False))
+    is_long = F.coalesce(F.length("text") > SPREAD, F.lit(False))
     short = d.filter(~is_long).mapInArrow(_encoder("ids", name, folder), "doc_id bigint, ids array<int>")
     pieces = pieces_of_long_texts(d.filter(is_long).withColumn("row", F.monotonically_increasing_id()))
     encoded = pieces.mapInArrow(_encoder("ids", name, folder), "row bigint, doc_id bigint, piece bigint, ids array<int>")

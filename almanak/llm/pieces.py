@@ -16,8 +16,12 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from almanak.llm.screen import Screen, only
+from almanak.session import checkpoint
+
 DEFAULT_CHARS, MOST_CHARS = 20_000, 40_000
 NOWHERE, WORD, SENTENCE, PARAGRAPH, PAGE = range(5)
 
@@ -158,8 +162,52 @@ def request_pieces(documents: DataFrame, requests: DataFrame) -> DataFrame:
     return r.join(p, ["doc_id", "max_chars", "overlap_chars"]).select("req_no", "piece_no", "begin_at", "end_at")
 
 
+def _cut_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``doc_id``, ``max_chars``, ``page_no``: pages that the merging cannot put into one piece."""
+    for batch in batches:
+        rows: list[tuple[int, int, int]] = []
+        for doc, text, starts, limits in zip(*(batch.column(c) for c in ("doc_id", "text", "page_starts", "limits"))):
+            text = text.as_py()
+            pages = page_spans(text, starts.as_py())
+            for limit in limits.as_py():
+                rows += [(doc.as_py(), limit, no) for no, (a, b) in enumerate(pages, 1) if len(split_text(text[a:b], [(0, b - a)], limit, 0)) > 1]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["doc_id", "max_chars", "page_no"])
+
+
 def oversized_pages(documents: DataFrame, requests: DataFrame) -> DataFrame:
-    """``req_no``, ``page_no``: pages of the requested document with more code points than the request allows."""
+    """``req_no``, ``page_no``: pages of the requested document with more code points than the request allows.
+
+    Such a page is one that stays in several pieces when its atoms have been
+    merged under the limit. Only texts longer than a limit asked of them move:
+    lengths and limits are compared first, and a document asked for with
+    several limits moves once. Null and empty texts have none.
+    """
+    r = limits(requests).select("req_no", "doc_id", "max_chars")
+    lengths = documents.select("doc_id", F.length("text").alias("n")).filter("n > 1")
+    wanted = r.select("doc_id", "max_chars").distinct().join(lengths, "doc_id").filter("n > max_chars").groupBy("doc_id").agg(F.collect_set("max_chars").alias("limits"))
+    wanted = checkpoint(wanted)
+    d = documents.select("doc_id", "text", F.col("page_starts").cast("array<bigint>").alias("page_starts")).filter("text is not null and doc_id is not null")
+    d = d.mapInArrow(only(Screen(wanted.select("doc_id"))), "doc_id bigint, text string, page_starts array<bigint>")
+    p = d.join(wanted, "doc_id").select("doc_id", "text", "page_starts", "limits").mapInArrow(_cut_pages, "doc_id bigint, max_chars bigint, page_no bigint").distinct()
+    return r.join(p, ["doc_id", "max_chars"]).select("req_no", "page_no")
+
+
+def piece_faults(documents: DataFrame, requests: DataFrame) -> DataFrame:
+    """What the pieces of all requests keep: one row per ``req_no`` that has pieces, each column as it must be for every text.
+
+    ``chars`` of the whole text; ``begin_at``, ``end_at`` of all
+    together; ``over``, pieces above the limit; ``apart``, places where a piece
+    does not go on from the one before; ``odd``, pieces that repeat another
+    number of code points than asked for, where the one before has as many.
+    """
     r = limits(requests)
-    p = piece_pages(documents, r).filter("page_chars > max_chars").select("doc_id", "max_chars", "overlap_chars", "page_no").distinct()
-    return r.join(p, ["doc_id", "max_chars", "overlap_chars"]).select("req_no", "page_no")
+    along = W.partitionBy("req_no").orderBy("piece_no")
+    p = request_pieces(documents, requests).join(r, "req_no")
+    p = p.withColumn("last_begin", F.lag("begin_at").over(along)).withColumn("last_end", F.lag("end_at").over(along))
+    repeats = F.col("last_end") - F.col("begin_at")
+    asked = F.least(F.col("overlap_chars"), F.col("last_end") - F.col("last_begin"))
+    out = p.groupBy("req_no", "doc_id").agg(
+        F.min("begin_at").alias("begin_at"), F.max("end_at").alias("end_at"), F.count_if(F.col("end_at") - F.col("begin_at") > F.col("max_chars")).alias("over"),
+        F.count_if((F.col("begin_at") > F.col("last_end")) | (F.col("end_at") <= F.col("last_end"))).alias("apart"), F.count_if(repeats != asked).alias("odd"))
+    return out.join(documents.select("doc_id", F.length("text").cast("bigint").alias("chars")), "doc_id").drop("doc_id")

@@ -22,6 +22,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from almanak.llm.pii_labelers import GIVEN, INITIAL, KINDS, LABELERS, OTHER, TITLES, Candidate, Labelers, last_word, levelled
@@ -301,3 +302,24 @@ def masked_texts(events: DataFrame, parts: DataFrame) -> DataFrame:
     e = events.select(F.lit("vevents").alias("tbl"), F.col("event_no").alias("row_no"), F.col("description").alias("text"))
     p = parts.select(F.lit("parts").alias("tbl"), F.col("part_no").alias("row_no"), "text")
     return e.unionByName(p).select("tbl", "row_no", masked(F.col("text"), detector).alias("text"))
+
+
+def span_faults(events: DataFrame, parts: DataFrame) -> DataFrame:
+    """What spans and masked texts keep: one row per text that is not empty, all counts of faults 0.
+
+    ``outside``, spans that don't lie within the text; ``overlapping``, spans
+    that begin before the one before ends; ``altered``, whether the masked text
+    differs from the text with each span replaced, built here by Catalyst.
+    """
+    detector = train(events, parts)
+    texts = free_texts(events, parts)
+    along = W.partitionBy("tbl", "row_no").orderBy("begin_at")
+    found = found_spans(events, parts, detector).withColumn("last", F.coalesce(F.lag("end_at").over(along), F.lit(0)))
+    piece = F.struct("begin_at", "last", "end_at", "kind")
+    rows = found.groupBy("tbl", "row_no").agg(F.array_sort(F.collect_list(piece)).alias("spans"), F.max("end_at").alias("reach"), F.count_if((F.col("begin_at") < 0) | (F.col("end_at") <= F.col("begin_at"))).alias("bad"), F.count_if(F.col("begin_at") < F.col("last")).alias("overlapping"))
+    rows = texts.join(rows, ["tbl", "row_no"], "left")
+    cut = lambda a, n: F.substring(F.col("text"), a.cast("int"), n.cast("int"))
+    head = F.array_join(F.transform("spans", lambda x: F.concat(cut(x["last"] + 1, x["begin_at"] - x["last"]), F.lit("["), F.upper(x["kind"]), F.lit("]"))), "")
+    built = F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.concat(head, cut(F.col("reach") + 1, F.length("text") - F.col("reach"))))
+    outside = F.coalesce("bad", F.lit(0)) + F.when(F.col("reach") > F.length("text"), 1).otherwise(0)
+    return rows.select("tbl", "row_no", F.length("text").cast("bigint").alias("n_chars"), outside.cast("bigint").alias("outside"), F.coalesce("overlapping", F.lit(0)).cast("bigint").alias("overlapping"), F.when(built == masked(F.col("text"), detector), 0).otherwise(1).cast("bigint").alias("altered"))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,8 +29,6 @@ class Screen:
         self.words = words = min(most_words, 1 << max(10, (n * bits // 64).bit_length()))
 
         def place(batches):
-            import pyarrow as pa
-
             for b in batches:
                 where, bits = _place(np.asarray(b.column(0)).astype(np.int64), words)
                 yield pa.RecordBatch.from_arrays([pa.array(where), pa.array(bits.view(np.int64))], ["word", "bits"])
@@ -44,3 +45,14 @@ class Screen:
 
     def __getstate__(self):
         return {"words": self.words, "shared": self.shared}
+
+
+def only(screen: Screen) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """mapInArrow function: the rows whose ``doc_id`` the screen lets pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.filter(pa.array(screen(np.asarray(batch.column("doc_id")))))
+
+    return run

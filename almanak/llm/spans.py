@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from almanak.llm.screen import Screen
+from almanak.llm.screen import Screen, only
 from almanak.session import checkpoint
 
 #: Least length of a shared span, code points of a k-mer, and k-mers of which one is an anchor: K + WINDOW - 1 = SPAN.
@@ -143,17 +143,6 @@ def _scan(screen: Screen | None = None):
     return run
 
 
-def _only(screen: Screen):
-    """mapInArrow function: the rows whose ``doc_id`` the screen lets pass."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield batch.filter(pa.array(screen(np.asarray(batch.column("doc_id")))))
-
-    return run
-
-
 def _edges_of_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``w``, ``t``, ``pos``: hashes of the windows of SPAN code points that hold an end of a path and stick out of it."""
     for batch in batches:
@@ -227,7 +216,7 @@ class SharedSpans:
     def _windows(self) -> DataFrame:
         """``w``, ``t``, ``pos``: the windows at the ends of paths that several texts have."""
         ends = checkpoint(self.paths.groupBy("doc_id").agg(F.collect_list(F.struct("s", "e")).alias("paths")))
-        texts = self.texts.select("doc_id", "t", "text").mapInArrow(_only(Screen(ends.select("doc_id"))), "doc_id bigint, t bigint, text string")
+        texts = self.texts.select("doc_id", "t", "text").mapInArrow(only(Screen(ends.select("doc_id"))), "doc_id bigint, t bigint, text string")
         rows = texts.join(ends, "doc_id").select("t", "text", "paths").mapInArrow(_edges_of_paths, "w bigint, t bigint, pos int")
         rows = checkpoint(rows)
         several = rows.groupBy("w").agg(F.min("t").alias("a"), F.max("t").alias("b")).filter("a <> b").select("w")
@@ -243,7 +232,7 @@ class SharedSpans:
         chosen = sets.groupBy("n", "x", "y").agg(F.min("u").alias("u")).select("u")
         wanted = runs.join(chosen, "u").groupBy("t").agg(F.collect_list(F.struct("u", "s")).alias("runs"))
         wanted = checkpoint(wanted.join(self.paths.groupBy("t").agg(F.min("doc_id").alias("doc_id")), "t"))
-        texts = self.texts.select("doc_id", "text").mapInArrow(_only(Screen(wanted.select("doc_id"))), "doc_id bigint, text string")
+        texts = self.texts.select("doc_id", "text").mapInArrow(only(Screen(wanted.select("doc_id"))), "doc_id bigint, text string")
         return checkpoint(texts.join(wanted, "doc_id").select("t", "text", "runs").mapInArrow(_slices, "u bigint, t bigint, span binary"))
 
     def text_pairs(self) -> DataFrame:

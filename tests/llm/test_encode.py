@@ -19,7 +19,10 @@ def texts():
     return ["", None, " ", "a", *mixed, *runs]
 
 
-def test_equals_the_whole_text_encoded_at_once(spark):
+@pytest.mark.parametrize("spread,spread_chunk", [(1_000_000, 262_144), (10_000, 4_096)])
+def test_equals_the_whole_text_encoded_at_once(spark, monkeypatch, spread, spread_chunk):
+    monkeypatch.setattr(encode, "SPREAD", spread)
+    monkeypatch.setattr(encode, "SPREAD_CHUNK", spread_chunk)
     rows = [(n, t, "ids", 3) for n, t in enumerate(texts())]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, ids string, row int")
     got = {r.doc_id: list(r.ids) for r in encode.encode_corpus(df).collect()}
@@ -29,6 +32,21 @@ def test_equals_the_whole_text_encoded_at_once(spark):
     assert counts == {n: len(x) for n, x in got.items()}
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_stitches_are_boundaries_of_the_whole(monkeypatch, seed):
+    monkeypatch.setattr(encode, "CHUNK", 64)
+    monkeypatch.setattr(encode, "OVERLAP", 24)
+    r = random.Random(seed)
+    whole, n = encode.encoding().encode_ordinary, 0
+    for _ in range(400):
+        t = "".join(r.choice(["''", "'s", "'", "same", " ", "  ", "re", "12", "--", "\n", "a" * 30, " " * 40, "'" * 35, "漢"]) for _ in range(r.randrange(10, 150)))
+        cuts = encode.stitches(t)
+        assert set(cuts) <= set(encode.pre_token_starts(t).tolist()) and cuts == sorted(set(cuts))
+        assert encode.encode_chunked(t, whole) == whole(t)
+        n += len(cuts) - 1
+    assert n > 1000
+
+
 def test_round_trip_and_repeated_rows(spark):
     df = spark.createDataFrame([(1, "Zoë 😀 漢字\r\n"), (1, "Zoë 😀 漢字\r\n"), (2, None), (None, "x y " * 6000)], "doc_id bigint, text string")
     back = encode.encode_corpus(df).select("doc_id", encode.decode(F.col("ids")).alias("text")).collect()
