@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 import html
 import html.parser
 import re
@@ -38,8 +39,15 @@ def hidden_count(text: Column) -> Column:
 
 
 def snippet(text: Column, size: int = 200) -> Column:
-    """The start of a text on one line."""
-    return F.substring(F.trim(F.regexp_replace(clean(text), r"\s+", " ")), 1, size)
+    """The start of a text on one line.
+
+    Looked for in its first characters; only where these collapse to too few
+    the whole text is read.
+    """
+    line = lambda t: F.trim(F.regexp_replace(clean(t), r"\s+", " "))
+    # what the last characters of a head are may hang on what follows it
+    enough = (F.length(text) <= 4 * size) | (F.length(line(F.substring(text, 1, 4 * size - 8))) > size)
+    return F.substring(F.when(enough, line(F.substring(text, 1, 4 * size))).otherwise(line(text)), 1, size)
 
 
 def truncated(text: Column, size: int) -> tuple[Column, Column]:
@@ -71,9 +79,9 @@ def bare_address(address: Column) -> Column:
 
 def thread_key(message_id: Column, references: Column, in_reply_to: Column, internal: str = "@internal.invalid") -> Column:
     """The root of a thread: first usable id of References (an array), then In-Reply-To, else the message's own; null if that root is unfit."""
-    ids = F.concat(F.coalesce(references, F.array().cast("array<string>")), F.array(in_reply_to))
-    ids = F.transform(ids, lambda x: F.trim(F.translate(x, "<>", "  ")))
-    ids = F.filter(ids, lambda x: x.isNotNull() & (x != "") & ~x.endswith(internal))
+    # several ids may stand in one header, with blanks or brackets between
+    ids = F.split(F.concat_ws(" ", references, in_reply_to), r"[\s<>]+")
+    ids = F.filter(ids, lambda x: (x != "") & ~x.endswith(internal))
     root = F.coalesce(F.get(ids, 0), F.trim(F.translate(message_id, "<>", "  ")))
     return F.when(root.rlike(r"^[\x21\x23-\x5B\x5D-\x7E]{1,300}$") & ~root.rlike(r"[()<>\[\]]"), root)
 
@@ -86,14 +94,31 @@ def one_of(value: Column, known: list[str]) -> Column:
 
 def mime_type(name: Column) -> Column:
     """The media type by a file name's ending."""
-    # Media types by ending.
-    known = {
-        "txt": "text/plain", "md": "text/markdown", "csv": "text/csv", "html": "text/html", "htm": "text/html", "json": "application/json", "xml": "application/xml", "pdf": "application/pdf",
-        "doc": "application/msword", "docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document", "rtf": "application/rtf", "odt": "application/vnd.oasis.opendocument.text",
-        "png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "webp": "image/webp", "zip": "application/zip",
-    }
-    pairs = F.create_map(*[F.lit(x) for kv in known.items() for x in kv])
-    return F.coalesce(F.element_at(pairs, F.lower(F.substring_index(name, ".", -1))), F.lit("application/octet-stream"))
+    pairs = F.create_map(*[F.lit(x) for kv in MEDIA_TYPES.items() for x in kv])
+    return F.coalesce(F.element_at(pairs, F.lower(F.regexp_extract(name, r"\.([^.]*)$", 1))), F.lit("application/octet-stream"))
+
+
+# Media types by ending; of documents also those that only a look at their bytes leaves undecided.
+MEDIA_TYPES = {
+    "pdf": "application/pdf", "txt": "text/plain", "md": "text/markdown", "csv": "text/csv", "json": "application/json", "html": "text/html", "htm": "text/html", "png": "image/png", "jpg": "image/jpeg",
+    "jpeg": "image/jpeg", "gif": "image/gif", "webp": "image/webp", "heic": "image/heic", "docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document",
+    "xlsx": "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet", "pptx": "application/vnd.openxmlformats-officedocument.presentationml.presentation", "zip": "application/zip",
+}
+DOCUMENT_TYPES = {"docx": MEDIA_TYPES["docx"], "doc": "application/msword", "rtf": "application/rtf", "odt": "application/vnd.oasis.opendocument.text"}
+
+
+def placeholder_class(name: Column, endings: dict[str, str]) -> Column:
+    """What an online document's placeholder stands for, by the ending of its file name, case aside; null for other files."""
+    out = F.lit(None).cast("string")
+    for ending, kind in endings.items():
+        out = F.when(F.lower(name).endswith(ending.lower()), kind).otherwise(out)
+    return out
+
+
+def marker(value: Column, known: list[str]) -> Column:
+    """A header that marks a message with one of the ``known`` values, blanks aside; another value is 'other', none is null."""
+    v = F.trim(value)
+    return F.when(v.isNull(), None).when(v.isin(known), v).otherwise("other")
 
 
 def sniffed(content: Column, name: Column) -> Column:
@@ -102,7 +127,7 @@ def sniffed(content: Column, name: Column) -> Column:
     return (
         F.when(head(8) == "89504E470D0A1A0A", "image/png").when(head(3) == "FFD8FF", "image/jpeg").when(head(6).isin("474946383761", "474946383961"), "image/gif")
         .when((head(4) == "52494646") & (F.hex(F.substring(content, 9, 4)) == "57454250"), "image/webp").when(head(5) == "255044462D", "application/pdf")
-        .when(F.lower(F.substring_index(name, ".", -1)).isin("docx", "doc", "rtf", "odt"), mime_type(name)).otherwise("text/plain")
+        .otherwise(F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in DOCUMENT_TYPES.items() for x in kv]), F.lower(F.substring_index(name, ".", -1))), F.lit("text/plain")))
     )
 
 
@@ -119,17 +144,15 @@ def decoded(content: pd.Series) -> pd.Series:
         try:
             return b.decode("utf-8")
         except UnicodeDecodeError:
-            controls = sum(x < 32 and x not in (9, 10, 12, 13) for x in b)
-            return None if 0 in b or controls * 100 > len(b) else "".join(_one_byte(x) for x in b)
+            controls = len(b) - len(b.translate(None, _BYTE_CONTROLS))
+            return None if 0 in b or controls * 100 > len(b) else b.decode("cp1252", "same-code")
 
     return content.map(one)
 
 
-def _one_byte(x: int) -> str:
-    try:
-        return bytes([x]).decode("cp1252")
-    except UnicodeDecodeError:
-        return chr(x)
+_BYTE_CONTROLS = bytes(x for x in range(32) if x not in (9, 10, 12, 13))
+# bytes that the code page leaves out stand for the control characters of the same number
+codecs.register_error("same-code", lambda e: ("".join(map(chr, e.object[e.start : e.end])), e.end))
 
 
 @F.pandas_udf(StringType())
@@ -144,7 +167,7 @@ _INVISIBLE = re.compile("[\x00-\x1f\x7f-\x9f\xa0\xad͏؜ᅟᅠ ឴឵᠋-᠏
 @F.pandas_udf(StringType())
 def escaped(name: pd.Series) -> pd.Series:
     """A name with what can't be seen or typed as \\u{...}; a backslash that would begin such an escape as \\u{5C}."""
-    return name.map(lambda s: None if s is None else _INVISIBLE.sub(lambda m: f"\\u{{{ord(m[0]):X}}}", re.sub(r"\\(?=u\{[0-9A-Fa-f]{1,6}\})", r"\\u{5C}", s)))
+    return name.map(lambda s: None if s is None else _INVISIBLE.sub(lambda m: f"\\u{{{ord(m[0]):X}}}", re.sub(r"\\(?=u\{)", r"\\u{5C}", s)))
 
 
 @F.pandas_udf(StringType())
@@ -252,6 +275,27 @@ def shown_without_quotes(source: pd.Series) -> pd.Series:
     return source.map(lambda s: None if s is None else html_text(s, True) or html_text(s))
 
 
+# How the subject of a forwarded message begins.
+FORWARDS = ("fw:", "fwd:", "tr:", "wg:")
+
+
+def readable(body: str, is_html: bool, subject: str | None, quotes_removed: bool = True) -> tuple[str, int]:
+    """A body as text, and how many lines that showed something went with its quotations; those of a forward's original stay."""
+    text = (html_text(body) if is_html else body).rstrip()
+    if not quotes_removed:
+        return text, 0
+    lines = lambda t: sum(bool(x.strip()) for x in t.splitlines())
+    kept, _ = unquoted(html_text(body, True) if is_html else text, (subject or "").lower().startswith(FORWARDS))
+    return kept, max(0, lines(text) - lines(kept))
+
+
+@F.pandas_udf(StructType().add("text", StringType()).add("removed", LongType()))
+def readable_body(body: pd.Series, is_html: pd.Series, subject: pd.Series) -> pd.DataFrame:
+    """``text`` without quotations, ``removed`` lines; null for null."""
+    rows = [(None, None) if b is None else readable(b, bool(h), s) for b, h, s in zip(body, is_html, subject)]
+    return pd.DataFrame(rows, columns=["text", "removed"])
+
+
 def uri_path(path: Column) -> Column:
     """A path for a URI: everything but ASCII letters, digits, ``-._~`` and ``/`` percent-encoded."""
     out = F.url_encode(path)
@@ -283,5 +327,6 @@ def one_name(name: Column) -> Column:
 
 def uid_shaped(text: Column) -> Column:
     """Whether a text has the form of a node's uid: two ids of 22 or 88 to 108 characters with a tilde between."""
+    # Fixed value: the form of such an id
     part = "([a-zA-Z0-9=_-]{88,108}|[a-zA-Z0-9_-]{22})"
     return text.rlike(f"^{part}~{part}$")

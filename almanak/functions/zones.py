@@ -113,3 +113,24 @@ def wall_us(utc_wall: Column) -> Column:
     seconds = F.hour(utc_wall).cast("bigint") * 3600 + F.minute(utc_wall) * 60
     fraction = (F.extract(F.lit("SECOND"), utc_wall) * 1000000).cast("bigint")
     return (days * 86400 + seconds) * 1000000 + fraction
+
+
+def utc_to_local_us(us: Column, zone: Column) -> Column:
+    """The wall clock of an instant in a zone, as microseconds as if it were UTC; in any session zone."""
+    return F.unix_micros(F.from_utc_timestamp(F.timestamp_micros(us), zone))
+
+
+def wall_of(local_us: Column) -> Column:
+    """A wall clock given as microseconds as a timestamp without a zone."""
+    days = F.floor(local_us / 86_400_000_000)
+    rest = (local_us - days * 86_400_000_000).cast("decimal(20,0)") / F.lit(1_000_000).cast("decimal(20,0)")
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(days.cast("int"), F.lit(0), F.lit(0), rest.cast("decimal(18,6)"))
+
+
+def rfc3339(us: Column, zone: Column) -> Column:
+    """An instant as RFC 3339 writes it in a zone, to the second, with its offset there."""
+    local = utc_to_local_us(us, zone)
+    off = F.floor((local - us) / 60_000_000).cast("int")
+    size = F.abs(off)
+    offset = F.concat(F.when(off < 0, "-").otherwise("+"), F.lpad(F.floor(size / 60).cast("string"), 2, "0"), F.lit(":"), F.lpad((size % 60).cast("string"), 2, "0"))
+    return F.concat(F.date_format(wall_of(local), "yyyy-MM-dd'T'HH:mm:ss"), offset)

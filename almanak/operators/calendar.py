@@ -3,17 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 from functools import lru_cache
 from zoneinfo import ZoneInfo
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from almanak.functions import recurrence
 from almanak.functions import zones as Z
+from almanak.operators import intervals
+from almanak.plans.paging import next_offset, page_size, read_window_token, window_token
 
+#: Occurrences that a caller may expect of one query; beyond it ``expansion_summary`` says that it is not complete. None is dropped.
+MOST_OCCURRENCES = 50_000
 #: How far back a series may begin before the window, beside its length.
 LOOK_BACK = timedelta(hours=3)
 
@@ -55,16 +60,6 @@ def terms(text: str) -> tuple[list[str], list[str]]:
     return out
 
 
-def simple_starts(start: Column, freq: Column, count: Column) -> Column:
-    """Wall-clock starts of a daily, weekly or monthly series without further parts; months without the day are left out and don't count."""
-    daily = F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.timestamp_add("DAY", k, start))
-    weekly = F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.timestamp_add("WEEK", k, start))
-    # months clamp to their last day and go then: at most 11 of 12 a year do so (29 February apart), candidates for that many are made
-    months = F.transform(F.sequence(F.lit(0), count * 3 + 12), lambda k: F.timestamp_add("MONTH", k, start))
-    monthly = F.slice(F.filter(months, lambda t: F.dayofmonth(t) == F.dayofmonth(start)), 1, count)
-    return F.when(freq == "DAILY", daily).when(freq == "WEEKLY", weekly).when(freq == "MONTHLY", monthly)
-
-
 def expand(series: DataFrame, before: datetime, look_from: datetime | None = None) -> DataFrame:
     """``key``, ``start``: occurrences of series (``key``, ``start`` wall time, ``rrule``, ``rdates``, ``exdates``, ``length_s``, perhaps ``zone``).
 
@@ -147,6 +142,129 @@ def occurrence_id(uid: Column, start: Column, fixed: Column, recurring: Column)
     return F.when(recurring, F.concat(uid, F.lit("|"), at)).otherwise(uid)
 
 
+_SENT = "array<struct<kind: string, wall: timestamp_ntz, tz: string>>"
+
+
+def expand_window(events: DataFrame, begin: datetime, until: datetime, zone: str = "UTC") -> DataFrame:
+    """Every occurrence that meets the window [``begin``, ``until``) of UTC times, in no order.
+
+    ``events`` holds ``feed``, ``event_no``, ``uid``, ``starts``, ``ends``,
+    ``duration``, ``status`` and, for series, ``rrule``, ``rdates``, ``exdates``
+    (as sent) and ``recurrence_id``; missing ones are null. Times without a zone
+    are in ``zone``, the reader's. Gives ``feed``, ``event_no``, ``uid``, ``id``,
+    ``start_us``, ``end_us``, ``whole_day``, ``recurring``.
+
+    An event lasts until ``ends`` where that is later, else for its duration,
+    else a date's one day, else not at all; whole days are counted on the wall
+    clock. What overrides an occurrence replaces it, wherever it moved it to;
+    cancelled events and occurrences are left out. Events without a start are
+    left out.
+    """
+    kinds = {"rrule": "string", "rdates": _SENT, "exdates": _SENT, "recurrence_id": "struct<kind: string, wall: timestamp_ntz, tz: string>"}
+    given = lambda c: (F.col(c) if c in events.columns else F.lit(None).cast(kinds[c])).alias(c)
+    e = events.filter("starts.wall is not null").select("feed", "event_no", "uid", "starts", "ends", "duration", F.coalesce(F.lower(F.trim("status")) == "cancelled", F.lit(False)).alias("cancelled"), *map(given, kinds))
+    e = e.withColumn("key", F.xxhash64("feed", "event_no"))
+    own = lambda c: F.when(F.lower(F.col(f"{c}.kind")) == "utc", "UTC").otherwise(F.col(f"{c}.tz"))
+    for c, into in (("starts", "_z"), ("ends", "_ez"), ("recurrence_id", "_rz")):
+        e = Z.with_zone(e, own(c), into).withColumn(into, F.coalesce(into, F.lit(zone)))
+    instant = lambda c, z: Z.local_to_utc_us(Z.wall_us(F.col(f"{c}.wall")), F.col(z))
+    days, seconds = intervals.duration_parts(F.col("duration"))
+    day = F.lit(86_400_000_000)
+    lasting = days * day + seconds * 1_000_000
+    e = e.withColumn("whole_day", F.lower("starts.kind").eqNullSafe("date")).withColumn("_b", instant("starts", "_z")).withColumn("_u", instant("ends", "_ez"))
+    longer = F.col("_u") > F.col("_b")
+    nominal = F.when(longer, Z.wall_us(F.col("ends.wall")) - Z.wall_us(F.col("starts.wall"))).otherwise(F.coalesce(lasting, day))
+    e = e.withColumn("_size", F.when(F.col("whole_day"), nominal).when(longer, F.col("_u") - F.col("_b")).otherwise(F.coalesce(lasting, F.lit(0).cast("bigint"))))
+    e = e.withColumn("recurring", F.col("rrule").isNotNull() | (F.coalesce(F.size("rdates"), F.lit(0)) > 0) | F.col("recurrence_id.wall").isNotNull())
+
+    masters = e.filter("recurrence_id.wall is null and not cancelled")
+    length = F.ceil(F.col("_size") / 1_000_000).cast("bigint")
+    series = masters.select("key", F.col("starts.wall").alias("start"), "rrule", "rdates", "exdates", length.alias("length_s"), F.col("_z").alias("zone"))
+    plain = series.filter("rrule is null and coalesce(size(rdates), 0) = 0 and coalesce(size(exdates), 0) = 0").select("key", "start")
+    starts = plain.unionByName(expand(series.filter("rrule is not null or coalesce(size(rdates), 0) > 0 or coalesce(size(exdates), 0) > 0"), until, begin))
+    kept = ["feed", "event_no", "uid", "whole_day", "recurring", "_z", "_size", F.lower("starts.kind").isin("utc", "zoned").alias("fixed")]
+    found = starts.join(masters.select("key", *kept), "key").withColumn("start_us", Z.local_to_utc_us(Z.wall_us(F.col("start")), F.col("_z")))
+    found = found.withColumn("_at", F.when(F.col("fixed"), Z.wall_of(F.col("start_us"))).otherwise(F.col("start")))
+    overrides = e.filter("recurrence_id.wall is not null").withColumn("_rid", instant("recurrence_id", "_rz"))
+    found = found.join(overrides.select("feed", "uid", F.col("_rid").alias("start_us")).distinct(), ["feed", "uid", "start_us"], "left_anti")
+    moved = overrides.filter("not cancelled").select(
+        *kept[:-1], F.lower("recurrence_id.kind").isin("utc", "zoned").alias("fixed"), F.col("starts.wall").alias("start"), F.col("_b").alias("start_us"),
+        F.when(F.lower("recurrence_id.kind").isin("utc", "zoned"), Z.wall_of(F.col("_rid"))).otherwise(F.col("recurrence_id.wall")).alias("_at"))
+    rows = found.select(*moved.columns).unionByName(moved)
+    end = F.when(F.col("whole_day"), Z.local_to_utc_us(Z.wall_us(F.col("start")) + F.col("_size"), F.col("_z"))).otherwise(F.col("start_us") + F.col("_size"))
+    rows = rows.withColumn("end_us", end).filter(overlaps(F.col("start_us"), F.col("end_us"), F.lit(_micros(begin)), F.lit(_micros(until))))
+    return rows.select("feed", "event_no", "uid", occurrence_id(F.col("uid"), F.col("_at"), F.col("fixed"), F.col("recurring")).alias("id"), "start_us", "end_us", "whole_day", "recurring")
+
+
+def _micros(utc: datetime) -> int:
+    at = utc.replace(tzinfo=timezone.utc) if utc.tzinfo is None else utc
+    return (at - datetime(1970, 1, 1, tzinfo=timezone.utc)) // timedelta(microseconds=1)
+
+
+def expansion_summary(occurrences: DataFrame, most: int = MOST_OCCURRENCES) -> DataFrame:
+    """``occurrences``, ``complete``, one row: how many there are, and whether a query of at most ``most`` would have held them all."""
+    return occurrences.agg(F.count("*").alias("occurrences")).withColumn("complete", F.col("occurrences") <= most)
+
+
+def occurrences_page(occurrences: DataFrame, offset: int = 0, size: int | None = None) -> DataFrame:
+    """A page of occurrences by start, then feed, event and id, with ``row_no`` from 1 on."""
+    order = [F.asc(c) for c in ("start_us", "feed", "event_no", "id")]
+    rows = occurrences.orderBy(*order).offset(offset).limit(page_size("events", size))
+    return rows.withColumn("row_no", F.row_number().over(W.orderBy(*order)).cast("bigint") + offset).orderBy("row_no")  # over a page
+
+
+def list_events(events: DataFrame, begin: datetime, until: datetime, zone: str = "UTC", token: str | None = None, size: int | None = None) -> tuple[DataFrame, str | None]:
+    """A page of a window's occurrences and the token of the next page; a token keeps the window of the page it came with."""
+    offset = 0
+    if token is not None:
+        offset, a, b = read_window_token(token)
+        begin, until = (datetime.fromtimestamp(x, timezone.utc).replace(tzinfo=None) for x in (a, b))
+    rows = expand_window(events, begin, until, zone)
+    end = next_offset(offset, page_size("events", size), rows.count())
+    return occurrences_page(rows, offset, size), None if end is None else window_token(end, _micros(begin) // 1_000_000, _micros(until) // 1_000_000)
+
+
+def find_event(events: DataFrame, wanted: str, zone: str = "UTC") -> DataFrame:
+    """The occurrence that an id names, looked for within 366 days of the time in it, else the event whose UID it is; the first feed has it.
+
+    An override is found by its series' original time, wherever it moved to.
+    """
+    uid, bar, at = wanted.rpartition("|")
+    try:
+        when = datetime.strptime(at.removesuffix("Z"), "%Y%m%dT%H%M%S") if bar else None
+    except ValueError:
+        when = None
+    columns = ["feed", "event_no", "uid", "id", "start_us", "end_us", "whole_day", "recurring"]
+    whole = events.filter(F.col("uid") == wanted).filter("recurrence_id.wall is null") if "recurrence_id" in events.columns else events.filter(F.col("uid") == wanted)
+    far = (datetime(1900, 1, 1), datetime(2201, 1, 1))
+    single = whole.drop("rrule", "rdates", "exdates")
+    rows = expand_window(single, *far, zone).withColumn("_way", F.lit(1))
+    if when is not None:
+        year = timedelta(days=366)
+        rows = rows.unionByName(expand_window(events.filter(F.col("uid") == uid), when - year, when + year, zone).filter(F.col("id") == wanted).withColumn("_way", F.lit(0)))
+    return rows.orderBy("_way", "feed", "event_no").limit(1).select(*columns)
+
+
+def selected(calendars: DataFrame, feed_no: int | None = None) -> DataFrame:
+    """All calendars, or the one asked for; ValueError if it is not there."""
+    if feed_no is None:
+        return calendars
+    one = calendars.filter(F.col("feed_no") == feed_no)
+    if one.limit(1).count() == 0:
+        raise ValueError(f"there is no calendar {feed_no}")
+    return one
+
+
+#: Seconds that a fetched feed is good for.
+FRESH_S = 15 * 60
+
+
+def fetched(events: DataFrame, now: datetime, fresh_s: int = FRESH_S) -> DataFrame:
+    """``feed_no``, ``fetched_at`` (the latest), ``fresh``: whether a feed need not be fetched again at ``now`` (UTC)."""
+    age = F.lit(_micros(now)) - F.unix_micros("fetched_at")
+    return events.groupBy("feed_no").agg(F.max("fetched_at").alias("fetched_at")).withColumn("fresh", F.coalesce(age < fresh_s * 1_000_000, F.lit(False)))
+
+
 def to_utc_us(wall: Column, zone: Column) -> Column:
     """Microseconds of the instant of a wall time: the earlier of two, moved by the gap where skipped."""
     return Z.local_to_utc_us(Z.wall_us(wall), zone)
@@ -183,9 +301,3 @@ def event_view(events: DataFrame, zone: str = "UTC", most: int = 300) -> DataFra
     cut, more = T.truncated(body, most)
     status = T.one_of(F.col("status"), ["confirmed", "tentative", "cancelled"])
     return events.select("event_no", "uid", T.clean(F.col("summary")).alias("title"), shown("starts").alias("start"), shown("ends").alias("end"), cut.alias("description"), more.alias("cut"), status.alias("status"), F.when(F.col("transparent"), "free").otherwise("busy").alias("shown_as"), T.hidden_count(F.col("description")).alias("hidden"))
-
-
-def event_by_id(occurrences: DataFrame, masters: DataFrame, wanted: str) -> DataFrame:
-    """The occurrence of an id, else the event whose UID it is; the first calendar by ``feed_no`` wins. Both frames hold ``id``, ``feed_no``, ``event_no``."""
-    both = occurrences.withColumn("_way", F.lit(0)).unionByName(masters.withColumn("_way", F.lit(1)), allowMissingColumns=True)
-    return both.filter(F.col("id") == wanted).orderBy("_way", "feed_no", "event_no").limit(1).drop("_way")

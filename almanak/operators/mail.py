@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from almanak.functions import text as T
+from almanak.operators.mailboxes import Mailboxes
 from almanak.plans import querylang
 from almanak.plans.paging import Cursor, page_size
 
@@ -27,7 +28,8 @@ def message_view(messages: DataFrame, parts: DataFrame | None = None) -> DataFra
         F.col("from_addr"), F.col("to_addrs"), F.col("subject"), has("Seen").alias("seen"), has("Flagged").alias("flagged"),
         T.bare_address(F.col("from_addr")).alias("sender"), F.coalesce("thread_id", "internal_id").alias("thread"),
         F.when(mid.isNotNull(), F.struct(mid.alias("mid"), F.coalesce("from_addr", F.lit("")).alias("frm"), F.coalesce("subject", F.lit("")).alias("subject"))).alias("copy_key"),
-        F.when(F.col("content_type").startswith("multipart/mixed"), 1).otherwise(0).alias("attachments"),
+        (F.col("attachments") if "attachments" in messages.columns else F.when(F.col("content_type").startswith("multipart/mixed"), 1).otherwise(0)).cast("int").alias("attachments"),
+        *[(F.col(c) if c in messages.columns else F.lit(None).cast("array<string>")).alias(c) for c in ("cc_addrs", "bcc_addrs")],
     )
     if parts is None:
         return m
@@ -35,33 +37,95 @@ def message_view(messages: DataFrame, parts: DataFrame | None = None) -> DataFra
     return m.join(body, "uid", "left")
 
 
-def columns() -> querylang.MailColumns:
+def with_body_hits(view: DataFrame, parts: DataFrame, query: querylang.Query) -> tuple[DataFrame, dict[str, Column]]:
+    """A view with one flag for each word or phrase of a query: whether a part of the message holds it.
+
+    The parts are tested beside their scan; what moves is a row of flags for
+    each message with any, never a text. Phrases don't reach from one part
+    into the next.
+    """
+    words = sorted({t.value for t in querylang.terms(query) if t.what == "text"})
+    if not words:
+        return view, {}
+    holds = {w: F.coalesce(F.contains(F.lower("text"), F.lit(w.lower())), F.lit(False)) for w in words}
+    flags = parts.select(F.col("msg_no").alias("uid"), *[c.alias(f"_w{k}") for k, c in enumerate(holds.values())])
+    flags = flags.filter(" or ".join(f"_w{k}" for k in range(len(words)))).groupBy("uid").agg(*[F.max(f"_w{k}").alias(f"_w{k}") for k in range(len(words))])
+    return view.join(flags, "uid", "left"), {w: F.coalesce(f"_w{k}", F.lit(False)) for k, w in enumerate(words)}
+
+
+def columns(view: DataFrame, in_body: dict[str, Column] | None = None) -> querylang.MailColumns:
     """Where a message view keeps what the search language asks about."""
     c = F.col
-    recipients = F.array_join("to_addrs", ", ")
+    listed = lambda name: F.array_join(name, ", ")
+    headers = F.concat_ws("\n", c("from_addr"), listed("to_addrs"), listed("cc_addrs"), c("subject"))
     return querylang.MailColumns(
         date=c("sent"), seen=c("seen"), flagged=c("flagged"), attachments=c("attachments"),
-        fields={"from": c("from_addr"), "to": recipients, "subject": c("subject")},
-        text=F.concat_ws("\n", c("from_addr"), recipients, c("subject"), c("body")),
+        fields={"from": c("from_addr"), "to": listed("to_addrs"), "cc": listed("cc_addrs"), "bcc": listed("bcc_addrs"), "subject": c("subject")},
+        text=F.concat_ws("\n", headers, c("body")) if "body" in view.columns else headers, in_body=in_body or {},
     )
 
 
-def search(view: DataFrame, query: querylang.Query, mailboxes: DataFrame | None = None, trash: DataFrame | None = None) -> DataFrame:
+def search(view: DataFrame, query: querylang.Query, boxes: Mailboxes | None = None, parts: DataFrame | None = None, include_trash: bool = False) -> DataFrame:
     """The messages of a query's scope that meet it.
 
-    ``mailboxes`` holds (``mailbox``, ``internal_id``); ``trash`` the ids in
-    Trash and Spam, which the scopes all, starred and label leave out.
+    Without ``boxes`` the view is the mailbox searched, and only ``starred``
+    narrows it. With them ``in:`` and ``label:`` name a mailbox (an error if
+    none or several have the name), and the scopes all, starred and label leave
+    out what is in Trash or Spam too, unless asked not to. ``parts`` are the
+    texts that words and phrases are looked for in.
+    """
+    df, in_body = with_body_hits(view, parts, query) if parts is not None else (view, {})
+    if boxes is None:
+        if query.scope == "label":
+            raise ValueError("a label needs the mailboxes")
+        df = df.filter("flagged") if query.scope == "starred" else df
+    else:
+        df = df.join(boxes.members(boxes.of(query)), "internal_id", "left_semi")
+        if leaves_trash_out(query, include_trash):
+            df = without(df, boxes.trash_and_spam())
+    return df.filter(querylang.plan(query, columns(df, in_body))).select(*view.columns)
+
+
+def leaves_trash_out(query: querylang.Query, include_trash: bool = False) -> bool:
+    """All, starred and label hold copies of what is in Trash or Spam; other mailboxes don't."""
+    return not include_trash and query.scope in ("all", "starred", "label")
+
+
+def estimated_total(view: DataFrame, query: querylang.Query, boxes: Mailboxes, parts: DataFrame | None = None, include_trash: bool = False) -> DataFrame:
+    """``estimated_total``, one row: the hits, less those in Trash and Spam where all is searched; null with an attachment test.
+
+    A guide to a result's size, as a mail server gives it before any message is
+    read: of a label's or the starred hits those in Trash and Spam stay in.
     """
-    df = view
-    if query.scope == "label":
-        df = df.join(mailboxes.filter(F.lower("mailbox") == query.label.lower()).select("internal_id").distinct(), "internal_id", "left_semi")
-    elif query.scope == "starred":
-        df = df.filter("flagged")
-    elif query.scope not in ("all", "anywhere"):
-        df = df.join(mailboxes.filter(F.lower("mailbox") == query.scope).select("internal_id").distinct(), "internal_id", "left_semi")
-    if trash is not None and query.scope in ("all", "starred", "label"):
-        df = without(df, trash)
-    return df.filter(querylang.plan(query, columns()))
+    if query.attachment is not None:
+        return view.sparkSession.range(1).select(F.lit(None).cast("bigint").alias("estimated_total"))
+    left = include_trash or query.scope != "all"
+    return search(view, query, boxes, parts, include_trash=left).agg(F.count("*").alias("estimated_total"))
+
+
+#: Addresses that a result row lists before it only counts the rest.
+ROW_ADDRESSES = 3
+
+
+def result_rows(view: DataFrame) -> DataFrame:
+    """Hits as a result shows them: short id, first addresses and how many more, clean subject; unset and empty lists are null.
+
+    ``hidden`` counts the characters that cleaning took from the row.
+    """
+    first = lambda c: F.nullif(F.slice(c, 1, ROW_ADDRESSES), F.array().cast("array<string>"))
+    more = lambda c: F.nullif(F.greatest(F.size(F.coalesce(c, F.array().cast("array<string>"))) - ROW_ADDRESSES, F.lit(0)), F.lit(0)).cast("bigint")
+    clean = lambda c: F.transform(c, T.clean)
+    length = lambda c: F.coalesce(F.length(F.array_join(c, "")), F.lit(0))
+    to, cc = F.col("to_addrs"), F.col("cc_addrs")
+    hidden = F.coalesce(T.hidden_count(F.col("subject")), F.lit(0)) + F.coalesce(T.hidden_count(F.col("from_addr")), F.lit(0)) + length(to) - length(clean(to)) + length(cc) - length(clean(cc))
+    return view.select(
+        "uid", "date_s", T.short_id(F.col("internal_id")).alias("message_id"), "thread", T.clean(F.col("from_addr")).alias("from"), first(clean(to)).alias("to"), more(to).alias("to_more"),
+        first(clean(cc)).alias("cc"), more(cc).alias("cc_more"), T.clean(F.col("subject")).alias("subject"), (~F.col("seen")).alias("unread"), F.col("flagged").alias("starred"), "attachments", hidden.cast("bigint").alias("hidden"))
+
+
+def hidden_sum(page: DataFrame) -> DataFrame:
+    """``hidden``, one row: what cleaning took from the rows that are shown."""
+    return page.agg(F.coalesce(F.sum("hidden"), F.lit(0)).alias("hidden"))
 
 
 def without(view: DataFrame, ids: DataFrame) -> DataFrame:
@@ -74,12 +138,22 @@ def in_order(newest_first: bool = True) -> list[Column]:
 
 
 def search_page(view: DataFrame, size: int | None = None, newest_first: bool = True, cursor: Cursor | None = None, validity: int = 1) -> DataFrame:
-    """One page in the total order (date, uid), after a cursor: narrow columns are sorted, wide ones joined to the page."""
+    """One page in the total order (date, uid), after a cursor, with ``row_no``: narrow columns are sorted, wide ones joined to the page.
+
+    The page comes in its order; its last row is where the next one begins.
+    """
     hits = view.select("date_s", "uid")
     if cursor is not None:
         hits = hits.filter(cursor.after(F.col("date_s"), F.col("uid"), newest_first, validity))
     page = hits.orderBy(*in_order(newest_first)).limit(page_size("mail", size))
-    return view.join(F.broadcast(page.select("uid")), "uid", "left_semi")
+    page = page.select("uid", F.row_number().over(W.orderBy(*in_order(newest_first))).cast("bigint").alias("row_no"))  # over a page
+    return view.join(F.broadcast(page), "uid").orderBy("row_no")
+
+
+def next_cursor(page: DataFrame, newest_first: bool = True, validity: int = 1) -> Cursor | None:
+    """The cursor after a page's last row; none for an empty page."""
+    last = page.orderBy(F.desc("row_no")).select("date_s", "uid").limit(1).collect()
+    return Cursor(newest_first, validity, last[0].date_s, last[0].uid) if last else None
 
 
 def collapse(view: DataFrame, size: int, newest_first: bool = True) -> DataFrame:
@@ -133,6 +207,16 @@ def grouped_count(counted: DataFrame, by: str, order: str = "count", limit: int
     A message counts once for each of its distinct keys, or for '(none)'.
     Orders: count (most first), newest, oldest; ties by newest, then key.
     """
+    orders = {"count": [F.desc("messages"), F.desc("newest_s"), F.asc("key")], "newest": [F.desc("newest_s"), F.asc("key")], "oldest": [F.asc("oldest_s"), F.asc("key")]}
+    return _groups(counted, by).orderBy(*orders[order]).limit(page_size("groups", limit))
+
+
+def groups_total(counted: DataFrame, by: str) -> DataFrame:
+    """``groups_total``, one row: how many groups there are, whatever a page shows."""
+    return _groups(counted, by).agg(F.count("*").alias("groups_total"))
+
+
+def _groups(counted: DataFrame, by: str) -> DataFrame:
     if by not in GROUPS:
         raise ValueError(f"by is one of {', '.join(GROUPS)}")
     lists = F.array("from_addr") if by.startswith("from") else F.coalesce("to_addrs", F.array().cast("array<string>"))
@@ -143,9 +227,7 @@ def grouped_count(counted: DataFrame, by: str, order: str = "count", limit: int
     rows = distinct_messages(counted).select(F.coalesce("sent_s", F.lit(0)).alias("date_s"), "delivery_no", F.explode(F.when(F.size(keys) > 0, keys).otherwise(F.array(F.lit("(none)")))).alias("key"))
     at = F.struct("date_s", "delivery_no")
     groups = rows.groupBy("key").agg(F.count("*").alias("messages"), F.max(at).alias("newest"), F.min(at).alias("oldest"))
-    flat = groups.select("key", "messages", F.col("newest.date_s").alias("newest_s"), F.col("newest.delivery_no").alias("newest_no"), F.col("oldest.date_s").alias("oldest_s"), F.col("oldest.delivery_no").alias("oldest_no"))
-    orders = {"count": [F.desc("messages"), F.desc("newest_s"), F.asc("key")], "newest": [F.desc("newest_s"), F.asc("key")], "oldest": [F.asc("oldest_s"), F.asc("key")]}
-    return flat.orderBy(*orders[order]).limit(page_size("groups", limit))
+    return groups.select("key", "messages", F.col("newest.date_s").alias("newest_s"), F.col("newest.delivery_no").alias("newest_no"), F.col("oldest.date_s").alias("oldest_s"), F.col("oldest.delivery_no").alias("oldest_no"))
 
 
 def label_counts(mailboxes: DataFrame, membership: DataFrame, view: DataFrame) -> DataFrame:
@@ -154,10 +236,6 @@ def label_counts(mailboxes: DataFrame, membership: DataFrame, view: DataFrame) -
     return mailboxes.select("mailbox").join(m, "mailbox", "left").fillna(0, ["messages", "unread"])
 
 
-def label_kind(mailbox: Column) -> Column:
-    return F.when(mailbox.startswith("Labels/"), "label").when(mailbox.startswith("Folders/"), "folder").otherwise("system")
-
-
 def thread_messages(view: DataFrame, most: int = THREAD_MOST) -> DataFrame:
     """The latest ``most`` messages of each thread, copies merged into the first by date, with ``copies`` and ``pos``."""
     latest = W.partitionBy("thread").orderBy(F.desc("uid"))
@@ -168,16 +246,43 @@ def thread_messages(view: DataFrame, most: int = THREAD_MOST) -> DataFrame:
     return v.withColumn("pos", F.row_number().over(W.partitionBy("thread").orderBy("date_s", "uid")).cast("bigint")).drop("_n", "_c")
 
 
+def thread_members(messages: DataFrame) -> DataFrame:
+    """``root``, ``msg_no``: the messages of each thread root by their own id, their references or their reply; once each.
+
+    Roots are those that messages name (``thread_key``); a message may belong to several.
+    """
+    bare = lambda c: F.split(F.concat_ws(" ", c), r"[\s<>]+")
+    named = F.filter(F.array_distinct(F.concat(bare(F.array("message_id")), bare(F.col("ref_ids")), bare(F.array("in_reply_to")))), lambda x: x != "")
+    ids = messages.select("msg_no", F.explode(named).alias("root"))
+    roots = messages.select(T.thread_key(F.col("message_id"), F.col("ref_ids"), F.col("in_reply_to")).alias("root")).filter("root is not null").distinct()
+    return ids.join(roots, "root").select("root", "msg_no").distinct()
+
+
 def related(view: DataFrame, root: str) -> Column:
     """Whether a message belongs to a thread by its own id, its references or its reply."""
     wanted = F.lit(f"<{root}>")
     return (F.col("message_id") == wanted) | F.array_contains("ref_ids", wanted) | (F.col("in_reply_to") == wanted)
 
 
-def character_pages(rows: DataFrame, key: str, pos: str, size: Column, budget: int = THREAD_CHARS) -> DataFrame:
-    """The first page of each ``key``: rows in order until the budget has been taken before them; always the first."""
+def character_pages(rows: DataFrame, key: str, pos: str, size: Column, budget: int = THREAD_CHARS, start: Column | int = 0) -> DataFrame:
+    """One page of each ``key``: rows in order from the ``start``-th on (0 is the first) until the budget has been taken before them; always one.
+
+    A key with no row there has no page.
+    """
+    skipped = F.row_number().over(W.partitionBy(key).orderBy(pos)) - 1
+    rows = rows.withColumn("_at", skipped).filter(F.col("_at") >= start)
     before = F.coalesce(F.sum(size).over(W.partitionBy(key).orderBy(pos).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return rows.withColumn("chars_before", before).filter(F.col("chars_before") < budget)
+    return rows.withColumn("chars_before", before).filter(F.col("chars_before") < budget).drop("_at")
+
+
+def thread_page(rows: DataFrame, pos: str, size: Column, start: int = 0, budget: int = THREAD_CHARS) -> tuple[DataFrame, int | None]:
+    """A page of one thread's rows (at most THREAD_MOST) from ``start`` on, and where the next begins; ValueError past the end."""
+    n = rows.count()
+    if start > n:
+        raise ValueError(f"the thread has {n} messages; {start} is past its end")
+    page = character_pages(rows.withColumn("_one", F.lit(1)), "_one", pos, size, budget, start).drop("_one")
+    end = start + page.count()
+    return page, end if end < n else None
 
 
 def size_batches(sizes: list[tuple[int, int]], most: int) -> list[list[int]]:

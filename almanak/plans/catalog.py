@@ -32,4 +32,6 @@ ORACLE = {
     "p3_found": f"""WITH {_SPANS}, o AS (SELECT *, max(u) OVER (PARTITION BY feed_no ORDER BY b, u ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM i WHERE u > b),
  g AS (SELECT *, count(*) FILTER (WHERE r IS NULL OR b > r) OVER (PARTITION BY feed_no ORDER BY b, u ROWS UNBOUNDED PRECEDING) AS n FROM o), p AS (SELECT feed_no, n, min(b) AS begin_s, max(u) AS until_s FROM g GROUP BY feed_no, n)
  SELECT feed_no, 'period' AS what, begin_s, until_s FROM p UNION ALL SELECT a.feed_no, 'gap', a.until_s, b.begin_s FROM p a JOIN p b ON a.feed_no = b.feed_no AND b.n = a.n + 1""",
+    "daily_domain_counts": f"""WITH c AS (SELECT {_CLEAN.format("id")} AS id, received_at, CASE WHEN from_addr IS NULL THEN '(none)' ELSE regexp_extract(lower(from_addr), '[^@]*$') END AS domain FROM counted),
+ f AS (SELECT id, min(row(received_at, domain)) AS first FROM c GROUP BY id) SELECT date_trunc('day', first[1]) AS day, first[2] AS domain, count(*) AS messages FROM f GROUP BY 1, 2""",
 } | {name: sql for name, (_, sql) in QUERIES_AND_SQL.items() if sql}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -55,6 +56,11 @@ def offset_page(df: DataFrame, order: list[Column], offset: int, size: int) -> D
     return df.orderBy(*order).offset(offset).limit(size)
 
 
+def next_offset(offset: int, size: int, total: int) -> int | None:
+    """Where the next page begins; none once a page reaches the end."""
+    return offset + size if offset + size < total else None
+
+
 def window_token(offset: int, from_s: int, to_s: int) -> str:
     """A page of events with its window, so that later pages keep it."""
     return f"{offset}.{from_s}.{to_s}"
@@ -68,8 +74,40 @@ def read_window_token(token: str) -> tuple[int, int, int]:
     return offset, a, b
 
 
-def character_page(text: Column, offset: int, most: int | None = None) -> tuple[Column, Column, Column]:
-    """Text of a page by characters, the offset of the next page or null, and the length of the whole."""
+def character_page(text: Column, offset: int, most: int | None = None, strict: bool = True) -> tuple[Column, Column, Column]:
+    """Text of a page by characters, the offset of the next page or null, and the length of the whole.
+
+    An offset past the end of the text is an error; with ``strict`` false the
+    page is null instead, as for many texts at once.
+    """
     size = page_size("text", most)
     total = F.length(text)
-    return F.substring(text, offset + 1, size), F.when(total > offset + size, F.lit(offset + size)), total
+    past = F.raise_error(F.concat(F.lit(f"{offset} is past the end of a text of "), total.cast("string"), F.lit(" characters"))).cast("string") if strict else F.lit(None).cast("string")
+    return F.when(total < offset, past).otherwise(F.substring(text, offset + 1, size)), F.when(total > offset + size, F.lit(offset + size)), total
+
+
+@dataclass(frozen=True)
+class TreePlace:
+    """A place in a tree in depth-first order: the folder whose entries come next, and how many of them have come."""
+
+    folder: str
+    skip: int
+
+    def token(self, top: str) -> str:
+        """As text, with a print of the folder that the listing covers and the place's folder in hexadecimal."""
+        return f"{_print(top)}:{self.folder.encode().hex()}:{self.skip}"
+
+    @classmethod
+    def read(cls, token: str, top: str) -> TreePlace:
+        try:
+            of, folder, skip = token.split(":")
+            place = cls(bytes.fromhex(folder).decode(), int(skip))
+        except ValueError:
+            raise ValueError(f"{token!r} is no page token") from None
+        if of != _print(top) or place.skip < 0:
+            raise ValueError("a page token holds for the folder that its listing began with")
+        return place
+
+
+def _print(folder: str) -> str:
+    return hashlib.sha256(folder.encode()).hexdigest()[:16]

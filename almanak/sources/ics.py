@@ -1,15 +1,16 @@
-"""iCalendar files as rows: a Python data source, and the parser behind it."""
+"""iCalendar files as rows: feeds from any file system Spark reads, parsed in Arrow batches, and the parser behind it."""
 
 from __future__ import annotations
 
-import glob
-import os
 import re
 from collections.abc import Iterator
 from datetime import datetime
 
-from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, StructField, StructType
 
 from almanak.functions import recurrence
 
@@ -112,38 +113,57 @@ def _row(feed: str, number: int, e: dict) -> tuple:
     )
 
 
-class _File(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+def _as(kind, v):
+    """A parsed value in the form Arrow takes: structs by name."""
+    if v is None:
+        return None
+    if isinstance(kind, StructType):
+        return dict(zip(kind.names, v))
+    return [_as(kind.elementType, x) for x in v] if isinstance(kind, ArrayType) else v
+
+
+def _parser(fields: list[StructField]):
+    """mapInArrow function: the rows of each file."""
+    schema = to_arrow_schema(StructType(fields))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, content in zip(b.column("path").to_pylist(), b.column("content")):
+                feed = path.rsplit("/", 1)[-1].removesuffix(".ics")
+                rows = list(parse((content.as_py() or b"").decode("utf-8", "replace"), feed))
+                for at in range(0, len(rows), 10_000):
+                    part = rows[at : at + 10_000]
+                    yield pa.RecordBatch.from_arrays([pa.array([_as(f.dataType, r[i]) for r in part], schema.field(i).type) for i, f in enumerate(fields)], schema.names)
 
-class IcsReader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path = path
+    return run
 
-    def partitions(self) -> list[InputPartition]:
-        files = sorted(glob.glob(os.path.join(self.path, "**", "*.ics"), recursive=True)) if os.path.isdir(self.path) else [self.path]
-        return [_File(f) for f in files] or [_File("")]
 
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        if partition.path:
-            with open(partition.path, encoding="utf-8", errors="replace", newline="") as f:
-                yield from parse(f.read(), os.path.splitext(os.path.basename(partition.path))[0])
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.ics").option("recursiveFileLookup", "true").load(path)
 
 
-class IcsSource(DataSource):
-    """``spark.read.format("ics").load(folder)``: one partition a file."""
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """The events of ``*.ics`` files in and below a folder; many small files share a task."""
+    return _files(spark, path).select("path", "content").mapInArrow(_parser(StructType.fromDDL(SCHEMA).fields), SCHEMA)
 
-    @classmethod
-    def name(cls) -> str:
-        return "ics"
 
-    def schema(self) -> str:
-        return SCHEMA
+def sources(spark: SparkSession, path: str) -> DataFrame:
+    """``feed``, ``fetched_at``, ``error``: each feed once; one that is no calendar has an error, and the others answer all the same."""
+    fine = F.col("content").cast("string").rlike(r"(?i)^\ufeff?\s*BEGIN:VCALENDAR")
+    feed = F.regexp_replace(F.substring_index("path", "/", -1), r"\.ics$", "")
+    return _files(spark, path).select(feed.alias("feed"), F.col("modificationTime").alias("fetched_at"), F.when(~fine, "no calendar").alias("error"))
 
-    def reader(self, schema) -> DataSourceReader:
-        return IcsReader(self.options["path"])
 
+def skipped_events(events: DataFrame) -> DataFrame:
+    """``feed``, ``skipped``: how many events of each feed could not be read."""
+    return events.groupBy("feed").agg(F.count_if("skipped").alias("skipped"))
 
-def register(spark: SparkSession) -> None:
-    spark.dataSource.register(IcsSource)
+
+def duration_s(value: str | None) -> int | None:
+    """Seconds of a duration as feeds write it, a day being 24 hours; null where it is unreadable or longer than a century."""
+    m = re.fullmatch(r"([+-]?)P(?:(\d+)W|(?:(\d+)D)?(?:T(?=\d)(?:(\d+)H)?(?:(\d+)M)?(?:(\d+)S)?)?)", (value or "").strip().upper())
+    if not m or not any(m.groups()[1:]):
+        return None
+    w, d, h, mi, s = (int(x or 0) for x in m.groups()[1:])
+    total = (w * 7 + d) * 86400 + h * 3600 + mi * 60 + s
+    return None if total > 36_600 * 86400 else -total if m[1] == "-" else total
