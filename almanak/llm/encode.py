@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 TOKENIZERS = "/opt/tokenizers"
 TOKENIZER = "byte_bpe_50k"
 #: Code points of a chunk, and of its overlap with each neighbour.
-CHUNK, OVERLAP = 2_048, 256
+CHUNK, OVERLAP = 2_048, 128
 #: Texts of more code points are spread: their chunks, of so many code points, go to different tasks.
 SPREAD, SPREAD_CHUNK = 1_000_000, 262_144
 #: Code points encoded before a batch goes out.
@@ -57,34 +57,35 @@ def pre_token_starts(text: str) -> np.ndarray:
     return np.fromiter((m.start() for m in _loaded["pattern"].finditer(text)), np.int64)
 
 
-def chunk_boundaries(text: str, at: int) -> np.ndarray:
-    """Pre-token boundaries of a chunk whose text begins at ``at``, as places in the whole text.
+def boundaries(text: str, begin: int, end: int) -> np.ndarray:
+    """Pre-token boundaries that a reader finds who begins at ``begin``, as places in the whole text.
 
-    The first ones of a chunk that begins anywhere are left out: a pre-token
-    that it cuts may end elsewhere than the whole one. So are those after white
-    space, for how that is parted depends on what follows it.
+    One who begins within a pre-token may read it and the next one wrongly
+    (the end of a run of quotation marks and a letter look like an elision),
+    so the boundaries before the third one are left out. So are those after
+    white space, for how that is parted depends on what follows it.
     """
-    starts = pre_token_starts(text)[2 if at else 0 :]
-    return starts[[not (k and text[k - 1].isspace()) for k in starts.tolist()]] + at if len(starts) else starts
+    part = text[begin:end]
+    starts = pre_token_starts(part)[2 if begin else 0 :]
+    return starts[[not (k and part[k - 1].isspace()) for k in starts.tolist()]] + begin if len(starts) else starts
 
 
-def stitches(text: str, chunk: int | None = None) -> list[int]:
-    """Where the pieces of a text begin: at 0 and, for each two neighbouring chunks, at the first boundary in their overlap that both have.
+def stitch(text: str, middle: int) -> int | None:
+    """The first boundary about ``middle`` that two neighbouring chunks both have; none, as within a long run, if they have none.
 
-    From there on both read the same. Where they have none in common, as
-    within a long run without any, the right chunk goes on the piece before.
+    Each chunk reaches OVERLAP beyond the middle. Of the left one only the end
+    is read, from somewhat before the overlap on, of the right one the begin.
     """
+    begin, end = max(0, middle - OVERLAP), middle + OVERLAP
+    left, right = boundaries(text, max(0, begin - OVERLAP), end), boundaries(text, begin, end)
+    both = np.intersect1d(left[left >= begin], right, assume_unique=True)
+    return int(both[0]) if len(both) else None
+
+
+def stitches(text: str, chunk: int | None = None) -> list[int]:
+    """Where the pieces of a text begin: at 0 and where neighbouring chunks are stitched. Without a stitch the right chunk goes on the piece before."""
     chunk = chunk or CHUNK
-    out, left = [0], None
-    for at in range(0, len(text), chunk):
-        begin = max(0, at - OVERLAP)
-        right = chunk_boundaries(text[begin : at + chunk + OVERLAP], begin)
-        if left is not None:
-            both = np.intersect1d(left[left >= begin], right[right < at + OVERLAP], assume_unique=True)
-            if len(both):
-                out.append(int(both[0]))
-        left = right
-    return out
+    return [0, *(x for middle in range(chunk, len(text), chunk) if (x := stitch(text, middle)) is not None)]
 
 
 def encode_chunked(text: str, encode: Callable[[str], list[int]]) -> list[int]:
@@ -128,9 +129,12 @@ def _boundaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         left, right = [], []
         for text, at, c in zip(batch.column("text"), batch.column("at").to_pylist(), batch.column("chunk").to_pylist()):
-            starts = chunk_boundaries(text.as_py(), at)
-            for middle, out in ((c * SPREAD_CHUNK, left), ((c + 1) * SPREAD_CHUNK, right)):
-                out.append(starts[(starts >= middle - OVERLAP) & (starts < middle + OVERLAP)].tolist())
+            t, middle = text.as_py(), (c + 1) * SPREAD_CHUNK
+            begin = max(0, middle - 2 * OVERLAP - at)
+            # a chunk that begins within the text is read from its own begin, whose first boundaries are left out too
+            found = boundaries(t, 0, 2 * OVERLAP)[0 if c == 0 else 2 :] + at
+            left.append(found[found >= c * SPREAD_CHUNK - OVERLAP].tolist() if c else [])
+            right.append([x for x in (boundaries(t, begin, len(t)) + at).tolist() if x >= middle - OVERLAP])
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(left, pa.list_(pa.int64())), pa.array(right, pa.list_(pa.int64()))], [*batch.schema.names, "left", "right"])
 
 
