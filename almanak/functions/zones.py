@@ -74,11 +74,12 @@ def zone_key(c: Column) -> Column:
 def offset_minutes(c: Column) -> Column:
     """Minutes east of UTC of ``+01:00``, ``-0530``, ``+2``, ``UTC-08:00``, ``GMT+1`` or a known abbreviation; else null."""
     t = F.upper(squeezed(F.translate(c, "−", "-")))
-    shape = r"^(?:UTC|GMT)? ?([+-])(\d{1,2})(?::?(\d{2}))?$"
-    h, m = F.regexp_extract(t, shape, 2).try_cast("int"), F.regexp_extract(t, shape, 3).try_cast("int")
-    minutes = (h * 60 + F.coalesce(m, F.lit(0))) * F.when(F.regexp_extract(t, shape, 1) == "-", -1).otherwise(1)
+    # sign, hours and minutes by one look: "-|05|30"
+    parts = F.split(F.regexp_replace(t, r"^(?:UTC|GMT)? ?([+-])(\d{1,2})(?::?(\d{2}))?$", "$1|$2|$3"), r"\|")
+    h, m = F.get(parts, F.lit(1)).try_cast("int"), F.coalesce(F.nullif(F.get(parts, F.lit(2)), F.lit("")), F.lit("0")).try_cast("int")
+    minutes = (h * 60 + m) * F.when(F.get(parts, F.lit(0)) == "-", -1).otherwise(1)
     named = F.element_at(F.create_map(*[F.lit(x) for kv in ABBREVIATIONS.items() for x in kv]), t)
-    return F.when(t.rlike(shape) & (h <= 18) & (F.coalesce(m, F.lit(0)) < 60), minutes).otherwise(named).cast("int")
+    return F.when(F.contains(t, F.lit("+")) | F.contains(t, F.lit("-")), F.when((h <= 18) & (m < 60), minutes)).otherwise(named).cast("int")
 
 
 def zone_table(spark: SparkSession) -> DataFrame:

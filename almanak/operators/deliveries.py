@@ -1,11 +1,12 @@
 """Messages delivered more than once: one delivery of each, and the links between deliveries (problem 2).
 
 A message has up to two identifiers, its full id and its copy key. Fingerprints
-of 128 bits of the cleaned identifiers are shuffled, no strings. Each shard of
-the fingerprints is read in order of time buckets: a Bloom filter per bucket
-screens the identifiers that are definitely new, and the possible repeats are
-looked up exactly in the sorted storage of just those buckets whose filter let
-them pass.
+of 128 bits of the cleaned identifiers are shuffled, no strings, into as many
+shards as keep each within a task's memory. A shard is read in order of time
+buckets: a Bloom filter per bucket screens the identifiers that are definitely
+new, and the possible repeats are looked up exactly in the sorted storage of
+just those buckets whose filter let them pass. Eight successive buckets merge
+into a longer one, so an identifier meets few filters however long the time.
 """
 
 from __future__ import annotations
@@ -25,6 +26,10 @@ OUTER = r"^[\s\u0085   -     　]+|[\s\u0085   -    
 BUCKET_S = 7 * 86400
 #: Bits a key has in a filter, about one false pass in 400.
 BITS = 16
+#: Keys that one shard holds at most on average (24 bytes each, and 2 in filters): what a task keeps in memory, whatever the table's size.
+SHARD_KEYS = 2_000_000
+#: Buckets that stand beside each other before they are merged into one of the next level, so that a key meets few filters.
+FANOUT = 8
 LINK = -(2**62)  # the bucket of rows that are links already
 
 
@@ -89,9 +94,16 @@ class Segment:
         return np.concatenate(found), np.concatenate(owner)
 
 
+def merged(segments: list[Segment]) -> Segment:
+    """The storage of several buckets as that of one longer bucket."""
+    h, g, n = (np.concatenate([getattr(s, c) for s in segments]) for c in "hgn")
+    order = np.lexsort((g, h))
+    return Segment(h[order], g[order], n[order])
+
+
 def _seen_before(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links of a shard sorted by bucket: every delivery with an identifier seen before, to the delivery stored for it."""
-    done: list[Segment] = []
+    levels: list[list[Segment]] = [[]]
     current: list[np.ndarray] = []
     bucket = None
 
@@ -109,14 +121,20 @@ def _seen_before(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = [n[~first]], [n[np.flatnonzero(first)[np.cumsum(first) - 1]][~first]]
         h, g, n = h[first], g[first], n[first]
         new = np.ones(len(h), bool)
-        for s in done:
+        for s in (s for level in levels for s in level):
             at = np.flatnonzero(new)
             hit, owner = s.find(h[at], g[at])
             a.append(n[at[hit]])
             b.append(owner)
             new[at[hit]] = False
         if new.any():
-            done.append(Segment(h[new], g[new], n[new]))
+            levels[0].append(Segment(h[new], g[new], n[new]))
+            for k in range(len(levels)):
+                if len(levels[k]) == FANOUT:
+                    if k + 1 == len(levels):
+                        levels.append([])
+                    levels[k + 1].append(merged(levels[k]))
+                    levels[k] = []
         return rows(np.concatenate(a), np.concatenate(b))
 
     for x in batches:
@@ -146,7 +164,11 @@ def delivery_links(counted: DataFrame, bucket_s: int = BUCKET_S) -> DataFrame:
     keys = F.array_compact(F.array(F.when(F.col("id").isNotNull(), key(1, F.col("id"))), F.when(F.col("mid").isNotNull(), key(2, F.col("mid"), F.col("frm"), F.col("subject")))))
     rows = c.select("no", "bucket", F.explode(keys).alias("k")).select("k.h", "k.g", "bucket", "no")
     rows = rows.mapInArrow(_within_batch, "h bigint, g bigint, bucket bigint, no bigint")
-    return rows.repartition("h", "g").sortWithinPartitions("bucket").mapInArrow(_seen_before, "u bigint, v bigint")
+    # a shard must fit into a task: as many shards as the table needs, more than the session's own number only if that is too low
+    shards = -(-2 * counted.count() // SHARD_KEYS)
+    usual = int(counted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(shards, "h", "g") if shards > usual else rows.repartition("h", "g")
+    return rows.sortWithinPartitions("bucket").mapInArrow(_seen_before, "u bigint, v bigint")
 
 
 def repeated_deliveries(counted: DataFrame, bucket_s: int = BUCKET_S) -> DataFrame:

@@ -51,21 +51,68 @@ def tidy(c: Column) -> Column:
     return Z.squeezed(F.translate(c, "−", "-"))
 
 
+_BY_NAME = {name: (pattern, parts) for name, pattern, parts in CASCADE}
+
+
+def _tried(text: Column, *names: str) -> Column:
+    """The parts by the first of these patterns that takes the text, or the text as it is: parts fit no pattern themselves."""
+    for name in names:
+        text = F.regexp_replace(text, *_BY_NAME[name])
+    return text
+
+
 def _canonical(text: Column) -> Column:
-    out = F.lit(None).cast("string")
-    for _, pattern, parts in reversed(CASCADE):
-        out = F.when(text.rlike(pattern), F.regexp_replace(text, pattern, parts)).otherwise(out)
-    return out
+    """The cascade, entered where the first characters lead: each text meets the patterns that can take it, once, in order."""
+    at = lambda i: F.substring(text, i, 1)
+    second = lambda *marks: at(2).isin(*marks) | at(3).isin(*marks)
+    by_digits = (
+        F.when(second("/"), _tried(text, "slashed")).when(second("."), _tried(text, "dotted", "day month")).when(second(" "), _tried(text, "day month"))
+        .when((at(5) == "W") | (at(6) == "W"), _tried(text, "iso week")).when(at(5) == "-", _tried(text, "iso", "iso zone")).when(at(5) == "/", _tried(text, "slashed year")).otherwise(_tried(text, "compact"))
+    )
+    tagged = (at(1) == ";") | text.startswith("TZID") | text.startswith("VALUE")
+    return F.when(at(1).between("0", "9"), by_digits).when(tagged, _tried(text, "compact")).otherwise(_tried(text, "day month", "month day", "year last"))
 
 
 def _month(word: Column) -> Column:
     names = F.create_map(*[F.lit(x) for n, row in enumerate(MONTHS, 1) for name in row for x in (name, n)])
-    return F.coalesce(word.try_cast("int"), F.element_at(names, word))
+    return F.element_at(names, word)
 
 
 def with_parts(df: DataFrame, text: str) -> DataFrame:
-    """Adds ``_t``, the tidied text, and ``_p``, its parts by the first pattern of the cascade that takes it as a whole."""
-    return df.withColumn("_t", tidy(F.col(text))).withColumn("_p", F.split(_canonical(F.col("_t")), r"\|"))
+    """Adds ``_t``, the tidied text, ``_p``, its parts by the first pattern of the cascade that takes it as a whole, and ``_n``, those that are numbers."""
+    df = df.withColumn("_t", tidy(F.col(text))).withColumn("_c", _canonical(F.col("_t")))
+    df = df.withColumn("_p", F.split(F.when(F.col("_c") != F.col("_t"), F.col("_c")), r"\|")).drop("_c")
+    # what begins with a digit is a number here; a cast that fails costs far more than a look at the first character
+    return df.withColumn("_n", F.transform("_p", lambda x: F.when(x.between("0", ":"), x.try_cast("int"))))
+
+
+def _days(y: Column, m: Column, d: Column) -> Column:
+    """Days since 1970-01-01 of a date of the proleptic Gregorian calendar, in whole numbers: years begin in March, so the odd day is the last."""
+    year = y - F.when(m <= 2, 1).otherwise(0)
+    era = F.floor(year / 400).cast("int")
+    of_era = year - era * 400
+    of_year = F.floor((153 * (m + F.when(m > 2, -3).otherwise(9)) + 2) / 5).cast("int") + d - 1
+    return era * 146097 + of_era * 365 + F.floor(of_era / 4).cast("int") - F.floor(of_era / 100).cast("int") + of_year - 719468
+
+
+def _leap(y: Column) -> Column:
+    return ((y % 4 == 0) & (y % 100 != 0)) | (y % 400 == 0)
+
+
+def _date(y: Column, m: Column, d: Column) -> Column:
+    """Days since 1970-01-01 of a date that exists, else null."""
+    last = F.when(m == 2, F.when(_leap(y), 29).otherwise(28)).when(m.isin(4, 6, 9, 11), 30).otherwise(31)
+    return F.when(m.between(1, 12) & (d >= 1) & (d <= last) & y.between(1, 9999), _days(y, m, d))
+
+
+def _date_of_week(y: Column, week: Column, weekday: Column) -> Column:
+    """Days since 1970-01-01 of a day of an ISO week that the year has, else null."""
+    fourth = _days(y, F.lit(1), F.lit(4))  # always in week 1; 1970-01-01 was a Thursday
+    monday = fourth - (fourth + 3) % 7
+    next_monday = _days(y + 1, F.lit(1), F.lit(4))
+    next_monday = next_monday - (next_monday + 3) % 7
+    at = monday + (week - 1) * 7 + weekday - 1
+    return F.when((week >= 1) & weekday.between(1, 7) & (at < next_monday), at)
 
 
 def parse_times(df: DataFrame, text: str, day_first: str, zone: str, offset: str) -> DataFrame:
@@ -77,38 +124,37 @@ def parse_times(df: DataFrame, text: str, day_first: str, zone: str, offset: str
     """
     if "_p" not in df.columns:
         df = with_parts(df, text)
-    part = lambda i: F.nullif(F.element_at("_p", i + 1), F.lit(""))
-    number = lambda i: part(i).try_cast("int")
-    second_word = F.lower(part(1))
-    first = F.regexp_extract(second_word, r"^s(\d+)$", 1).try_cast("int")
-    swapped = first.isNotNull() & F.coalesce(F.col(day_first), F.lit(True))
-    month = F.when(swapped, number(2)).when(first.isNotNull(), first).otherwise(_month(second_word))
-    day = F.when(swapped, first).otherwise(number(2))
-    hour, half = F.coalesce(number(3), F.lit(0)), F.upper(part(7))
-    hour24 = F.when(half.isNull(), hour).when(hour.between(1, 12), hour % 12 + F.when(half == "P", 12).otherwise(0))
-    minute, second = F.coalesce(number(4), F.lit(0)), F.coalesce(number(5), F.lit(0))
-    fraction = F.coalesce(F.rpad(part(6), 6, "0").try_cast("bigint"), F.lit(0))
-    week = F.regexp_extract(second_word, r"^w(\d{2})$", 1).try_cast("int")
-    zero = F.lit(0).cast("decimal(8,6)")
-    day_of_year = lambda m, d: F.try_make_timestamp_ntz(number(0), F.lit(m), F.lit(d), F.lit(0), F.lit(0), zero).cast("date")
-    jan4, weeks = day_of_year(1, 4), F.weekofyear(day_of_year(12, 28))
-    of_week = F.when(week.between(1, weeks) & number(2).between(1, 7), F.date_add(F.date_sub(jan4, F.weekday(jan4)), (week - 1) * 7 + number(2) - 1))
-    plain = F.try_make_timestamp_ntz(number(0), month, day, F.lit(0), F.lit(0), zero).cast("date")
-    in_day = (hour24.between(0, 23) & minute.between(0, 59) & second.between(0, 59)) | ((hour24 == 24) & (minute == 0) & (second == 0) & (fraction == 0) & half.isNull())
+    kept = [c for c in df.columns if c not in ("_p", "_n", "_t")]
+    # in steps, each of a size that the compiler takes: one expression over all parts would run interpreted
+    number = lambda i: F.get("_n", F.lit(i))
+    word = F.lower(F.get("_p", F.lit(1)))
+    mark = F.substring(word, 1, 1)
+    marked = F.when(F.substring(word, 2, 1).between("0", "9"), F.substring(word, 2, 2).try_cast("int"))
+    half = F.upper(F.nullif(F.get("_p", F.lit(7)), F.lit("")))
+    fraction = F.nullif(F.get("_p", F.lit(6)), F.lit(""))
+    df = df.select(
+        *kept, number(0).alias("_y"), number(2).alias("_d"), F.when(mark == "s", marked).alias("_first"), F.when((mark == "w") & marked.isNotNull(), marked).alias("_week"), F.coalesce(number(1), _month(word)).alias("_m"),
+        F.coalesce(number(3), F.lit(0)).alias("_hour"), F.coalesce(number(4), F.lit(0)).alias("_minute"), F.coalesce(number(5), F.lit(0)).alias("_second"), half.alias("_half"),
+        F.when(fraction.isNull(), F.lit(0).cast("bigint")).otherwise(F.rpad(fraction, 6, "0").try_cast("bigint")).alias("_fraction"), F.nullif(F.get("_p", F.lit(8)), F.lit("")).alias("_ztext"),
+        F.when(F.col("_t").rlike(EPOCH), F.rpad("_t", 16, "0").try_cast("bigint")).alias("_epoch"))
+    c = F.col
+    swapped = c("_first").isNotNull() & F.coalesce(F.col(day_first), F.lit(True))
+    hour = F.when(c("_half").isNull(), c("_hour")).when(c("_hour").between(1, 12), c("_hour") % 12 + F.when(c("_half") == "P", 12).otherwise(0))
+    df = df.select(
+        *kept, "_y", F.when(swapped, c("_d")).when(c("_first").isNotNull(), c("_first")).otherwise(c("_m")).alias("_m"), F.when(swapped, c("_first")).otherwise(c("_d")).alias("_d"),
+        "_week", hour.alias("_hour"), "_minute", "_second", "_fraction", "_half", "_ztext", "_epoch")
+    in_day = (c("_hour").between(0, 23) & c("_minute").between(0, 59) & c("_second").between(0, 59)) | ((c("_hour") == 24) & (c("_minute") == 0) & (c("_second") == 0) & (c("_fraction") == 0) & c("_half").isNull())
     df = df.select(
-        *[c for c in df.columns if c not in ("_p",)],
-        F.when(number(0) >= 1, F.when(week.isNotNull(), of_week).otherwise(plain)).alias("_date"),
-        F.when(in_day, (hour24 * 3600 + minute * 60 + second).cast("bigint") * 1000000 + fraction).alias("_us"),
-        part(8).alias("_ztext"),
-        F.when(F.col("_t").rlike(EPOCH), F.rpad("_t", 16, "0").try_cast("bigint")).alias("_epoch"),
-    )
-    df = Z.with_zone(df.withColumn("_zoffset", Z.offset_minutes(F.col("_ztext"))), F.when(F.col("_zoffset").isNull(), F.col("_ztext")), "_zname")
+        *kept, F.when(c("_y") >= 1, F.when(c("_week").isNotNull(), _date_of_week(c("_y"), c("_week"), c("_d"))).otherwise(_date(c("_y"), c("_m"), c("_d")))).alias("_date"),
+        F.when(in_day, (c("_hour") * 3600 + c("_minute") * 60 + c("_second")).cast("bigint") * 1000000 + c("_fraction")).alias("_us"), "_ztext", "_epoch")
+    df = df.withColumn("_zoffset", F.when(F.col("_ztext").isNotNull(), F.when(F.upper("_ztext").isin("Z", "UTC"), 0).otherwise(Z.offset_minutes(F.col("_ztext")))))
+    df = Z.with_zone(df, F.when(F.col("_zoffset").isNull(), F.col("_ztext")), "_zname")
     use_offset = F.when(F.col("_ztext").isNull(), F.col(offset)).otherwise(F.col("_zoffset"))
     use_zone = F.when(F.col("_ztext").isNull(), F.col(zone)).otherwise(F.col("_zname"))
-    local_us = F.date_diff("_date", F.lit("1970-01-01").cast("date")).cast("bigint") * 86400000000 + F.col("_us")
+    local_us = F.col("_date").cast("bigint") * 86400000000 + F.col("_us")
     instant = F.when(use_offset.isNotNull(), local_us - use_offset.cast("bigint") * 60000000).otherwise(Z.local_to_utc_us(local_us, use_zone))
     utc = F.coalesce("_epoch", instant)
-    return df.withColumn("utc_us", utc).drop("_t", "_date", "_us", "_ztext", "_zoffset", "_zname", "_epoch")
+    return df.withColumn("utc_us", utc).drop("_date", "_us", "_ztext", "_zoffset", "_zname", "_epoch")
 
 
 def day_first_of(values: DataFrame, key: str, text: str) -> DataFrame:
