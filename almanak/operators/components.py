@@ -22,7 +22,7 @@ def _star(edges: DataFrame) -> DataFrame:
     return small.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """``node``, ``root`` for every node of ``edges`` (``u`` > ``v``, bigints) that is not its component's least.
 
     Nodes with one link, to a node without a smaller neighbour, are leaves:
@@ -39,13 +39,8 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     degree = checkpoint(joined.select("u", "p", (F.col("a").isNotNull() | F.col("b").isNotNull() | (F.col("n") > 1)).alias("core")))
     core = edges.join(degree.filter("core").select("u"), "u", "left_semi").select("u", "v")
     core, mark = checkpoint(core), None
-    for _ in range(rounds):
-        now = _mark(core)
-        if now == mark or not now[0]:
-            break
+    while (now := _mark(core)) != mark and now[0]:  # every round that changes anything brings a node nearer to its root
         core, mark = checkpoint(_star(core)), now
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
     root = core.select(F.col("u").alias("p"), F.col("v").alias("q"))
     leaves = degree.filter("not core").join(root, "p", "left").select(F.col("u").alias("node"), F.coalesce("q", "p").alias("root"))
     return leaves.unionByName(core.select(F.col("u").alias("node"), F.col("v").alias("root")))

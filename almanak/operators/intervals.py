@@ -138,8 +138,9 @@ def periods_and_gaps(spans: DataFrame, bucket_s: int = BUCKET_S) -> DataFrame:
     before = F.when(F.col("_skip") == 0, F.col("_carry")).otherwise(F.greatest("_carry", F.get("untils", F.col("_skip") - 1)))
     lists = lists.withColumn("_before", F.when(F.col("_skip") < F.size("begins"), before)).withColumn("_opens", F.col("_skip") < F.size("begins"))
     brief = lists.select("feed_no", "bucket", "_opens", "_before", F.greatest(F.element_at("untils", -1), "_carry").alias("_reach"))
-    later = in_order.rowsBetween(1, W.unboundedFollowing)
-    close = F.coalesce(F.first(F.when(F.col("_opens"), F.col("_before")), ignorenulls=True).over(later), F.max("_reach").over(W.partitionBy("feed_no")))
+    # the next bucket that opens a period: from the last bucket back, so that every row adds to what is known
+    later = W.partitionBy("feed_no").orderBy(F.desc("bucket")).rowsBetween(W.unboundedPreceding, -1)
+    close = F.coalesce(F.last(F.when(F.col("_opens"), F.col("_before")), ignorenulls=True).over(later), F.max("_reach").over(W.partitionBy("feed_no")))
     brief = brief.withColumn("_close", close).select("feed_no", "bucket", "_close")
     out = lists.filter("_opens").join(brief, ["feed_no", "bucket"]).select("feed_no", "_skip", "_before", "_close", "untils", F.posexplode("begins").alias("i", "begin_s")).filter("i >= _skip")
     until = F.coalesce(F.get("untils", F.when(F.col("i") < F.size("untils") - 1, F.col("i"))), F.col("_close"))

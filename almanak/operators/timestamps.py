@@ -79,11 +79,26 @@ def _month(word: Column) -> Column:
 
 
 def with_parts(df: DataFrame, text: str) -> DataFrame:
-    """Adds ``_t``, the tidied text, ``_p``, its parts by the first pattern of the cascade that takes it as a whole, and ``_n``, those that are numbers."""
+    """Adds the parts of a text by the first pattern of the cascade that takes it as a whole: numbers, ``_half`` of the day, ``_ztext``, and ``_epoch`` for seconds and finer since 1970.
+
+    In steps, each of a size that the compiler takes: one expression over all
+    parts would run interpreted.
+    """
+    kept = df.columns
     df = df.withColumn("_t", tidy(F.col(text))).withColumn("_c", _canonical(F.col("_t")))
-    df = df.withColumn("_p", F.split(F.when(F.col("_c") != F.col("_t"), F.col("_c")), r"\|")).drop("_c")
+    df = df.withColumn("_p", F.split(F.when(F.col("_c") != F.col("_t"), F.col("_c")), r"\|"))
     # what begins with a digit is a number here; a cast that fails costs far more than a look at the first character
-    return df.withColumn("_n", F.transform("_p", lambda x: F.when(x.between("0", ":"), x.try_cast("int"))))
+    df = df.withColumn("_n", F.transform("_p", lambda x: F.when(x.between("0", ":"), x.try_cast("int"))))
+    number = lambda i: F.get("_n", F.lit(i))
+    word = F.lower(F.get("_p", F.lit(1)))
+    mark = F.substring(word, 1, 1)
+    marked = F.when(F.substring(word, 2, 1).between("0", "9"), F.substring(word, 2, 2).try_cast("int"))
+    fraction = F.nullif(F.get("_p", F.lit(6)), F.lit(""))
+    return df.select(
+        *kept, number(0).alias("_y"), number(2).alias("_d"), F.when(mark == "s", marked).alias("_first"), F.when((mark == "w") & marked.isNotNull(), marked).alias("_week"), F.coalesce(number(1), _month(word)).alias("_m"),
+        F.coalesce(number(3), F.lit(0)).alias("_hour"), F.coalesce(number(4), F.lit(0)).alias("_minute"), F.coalesce(number(5), F.lit(0)).alias("_second"), F.upper(F.nullif(F.get("_p", F.lit(7)), F.lit(""))).alias("_half"),
+        F.when(fraction.isNull(), F.lit(0)).otherwise(F.rpad(fraction, 6, "0").try_cast("int")).alias("_fraction"), F.nullif(F.get("_p", F.lit(8)), F.lit("")).alias("_ztext"),
+        F.when(F.col("_t").rlike(EPOCH), F.rpad("_t", 16, "0").try_cast("bigint")).alias("_epoch"))
 
 
 def _days(y: Column, m: Column, d: Column) -> Column:
@@ -122,21 +137,10 @@ def parse_times(df: DataFrame, text: str, day_first: str, zone: str, offset: str
     not exist, an hour above 23 (but 24:00 ends a day), and an unknown zone
     give null. An offset in the text wins over a zone in brackets after it.
     """
-    if "_p" not in df.columns:
+    if "_y" not in df.columns:
         df = with_parts(df, text)
-    kept = [c for c in df.columns if c not in ("_p", "_n", "_t")]
-    # in steps, each of a size that the compiler takes: one expression over all parts would run interpreted
-    number = lambda i: F.get("_n", F.lit(i))
-    word = F.lower(F.get("_p", F.lit(1)))
-    mark = F.substring(word, 1, 1)
-    marked = F.when(F.substring(word, 2, 1).between("0", "9"), F.substring(word, 2, 2).try_cast("int"))
-    half = F.upper(F.nullif(F.get("_p", F.lit(7)), F.lit("")))
-    fraction = F.nullif(F.get("_p", F.lit(6)), F.lit(""))
-    df = df.select(
-        *kept, number(0).alias("_y"), number(2).alias("_d"), F.when(mark == "s", marked).alias("_first"), F.when((mark == "w") & marked.isNotNull(), marked).alias("_week"), F.coalesce(number(1), _month(word)).alias("_m"),
-        F.coalesce(number(3), F.lit(0)).alias("_hour"), F.coalesce(number(4), F.lit(0)).alias("_minute"), F.coalesce(number(5), F.lit(0)).alias("_second"), half.alias("_half"),
-        F.when(fraction.isNull(), F.lit(0).cast("bigint")).otherwise(F.rpad(fraction, 6, "0").try_cast("bigint")).alias("_fraction"), F.nullif(F.get("_p", F.lit(8)), F.lit("")).alias("_ztext"),
-        F.when(F.col("_t").rlike(EPOCH), F.rpad("_t", 16, "0").try_cast("bigint")).alias("_epoch"))
+    own = ("_y", "_d", "_first", "_week", "_m", "_hour", "_minute", "_second", "_half", "_fraction", "_ztext", "_epoch")
+    kept = [c for c in df.columns if c not in own]
     c = F.col
     swapped = c("_first").isNotNull() & F.coalesce(F.col(day_first), F.lit(True))
     hour = F.when(c("_half").isNull(), c("_hour")).when(c("_hour").between(1, 12), c("_hour") % 12 + F.when(c("_half") == "P", 12).otherwise(0))
@@ -181,10 +185,12 @@ def normalise_times(raw: DataFrame, calendars: DataFrame) -> DataFrame:
     """
     pairs = [F.struct(F.lit(name).alias("field"), F.col(c).alias("text")) for c, name in FIELDS.items()]
     values = raw.select("raw_no", "feed_no", F.explode(F.array(*pairs)).alias("v")).select("raw_no", "feed_no", "v.field", "v.text")
-    values = with_parts(values.filter(F.col("text").rlike(r"\d")), "text")  # the patterns run beside the scan, before any shuffle
+    values = values.filter(F.col("text").rlike(r"\d"))
     zones = Z.with_zone(calendars.select("feed_no", "time_zone"), F.col("time_zone"), "zone")
     zones = zones.groupBy("feed_no").agg(F.min(F.struct("time_zone", "zone")).alias("z")).select("feed_no", F.coalesce("z.zone", F.lit("UTC")).alias("zone"), F.when(F.col("z.zone").isNull(), Z.offset_minutes(F.col("z.time_zone"))).alias("offset"))
     feeds = zones.join(day_first_of(values, "feed_no", "text"), "feed_no", "full_outer")
-    values = salted_lookup(values, feeds, ["feed_no"], "raw_no").withColumn("zone", F.coalesce("zone", F.lit("UTC")))
+    # the patterns run beside the scan; what they can't read does not move
+    parts = with_parts(values, "text").drop("text").filter("_y is not null or _epoch is not null")
+    values = salted_lookup(parts, feeds, ["feed_no"], "raw_no").withColumn("zone", F.coalesce("zone", F.lit("UTC")))
     out = parse_times(values, "text", "day_first", "zone", "offset")
     return out.filter("utc_us is not null").select("raw_no", "field", "utc_us")

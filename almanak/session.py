@@ -35,12 +35,15 @@ def build_session(master: str | None = None, app: str = "almanak", shuffle_parti
 def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
     """Cut the lineage in the shared folder the cluster names.
 
-    ``spark.checkpoint.dir`` decides where; a temporary folder is used only
-    if it is unset, which is meant for tests on one machine.
+    ``spark.checkpoint.dir`` decides where. Where it is unset a session on one
+    machine takes a temporary folder; one on a cluster is refused, for its
+    executors could not read each other's files there.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="almanak-checkpoint-"))
     return df.checkpoint(eager=eager)
 
