@@ -169,9 +169,11 @@ def day_first_of(values: DataFrame, key: str, text: str) -> DataFrame:
     """
     shape = r"^(\d{1,2})/(\d{1,2})/\d{4}(?:\D|$)"
     t = tidy(F.col(text))
-    a, b = F.regexp_extract(t, shape, 1).try_cast("int"), F.regexp_extract(t, shape, 2).try_cast("int")
-    vote = F.when(a.between(13, 31) & (b <= 12), 1).when(b.between(13, 31) & (a <= 12), -1).otherwise(0)
-    return values.filter(F.col(text).contains("/")).groupBy(key).agg(F.sum(vote).alias("_votes")).select(key, (F.col("_votes") >= 0).alias("day_first"))
+    rows = values.filter(F.col(text).contains("/")).select(key, F.when(t.rlike(shape), t).alias("_t"))
+    a, b = F.substring_index("_t", "/", 1).try_cast("int"), F.substring_index(F.substring_index("_t", "/", 2), "/", -1).try_cast("int")
+    rows = rows.select(key, a.alias("_a"), b.alias("_b"))
+    vote = F.when(F.col("_a").between(13, 31) & (F.col("_b") <= 12), 1).when(F.col("_b").between(13, 31) & (F.col("_a") <= 12), -1).otherwise(0)
+    return rows.groupBy(key).agg(F.sum(vote).alias("_votes")).select(key, (F.col("_votes") >= 0).alias("day_first"))
 
 
 def normalise_times(raw: DataFrame, calendars: DataFrame) -> DataFrame:
@@ -189,8 +191,8 @@ def normalise_times(raw: DataFrame, calendars: DataFrame) -> DataFrame:
     zones = Z.with_zone(calendars.select("feed_no", "time_zone"), F.col("time_zone"), "zone")
     zones = zones.groupBy("feed_no").agg(F.min(F.struct("time_zone", "zone")).alias("z")).select("feed_no", F.coalesce("z.zone", F.lit("UTC")).alias("zone"), F.when(F.col("z.zone").isNull(), Z.offset_minutes(F.col("z.time_zone"))).alias("offset"))
     feeds = zones.join(day_first_of(values, "feed_no", "text"), "feed_no", "full_outer")
-    # the patterns run beside the scan; what they can't read does not move
-    parts = with_parts(values, "text").drop("text").filter("_y is not null or _epoch is not null")
+    parts = with_parts(values, "text").drop("text")  # the patterns run beside the scan
     values = salted_lookup(parts, feeds, ["feed_no"], "raw_no").withColumn("zone", F.coalesce("zone", F.lit("UTC")))
     out = parse_times(values, "text", "day_first", "zone", "offset")
-    return out.filter("utc_us is not null").select("raw_no", "field", "utc_us")
+    # not a filter: the optimiser would move that down, and everything under it would be worked out twice
+    return out.select("raw_no", "field", F.explode(F.array_compact(F.array("utc_us"))).alias("utc_us"))
