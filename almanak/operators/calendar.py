@@ -167,13 +167,15 @@ def expand_window(events: DataFrame, begin: datetime, until: datetime, zone: str
     own = lambda c: F.when(F.lower(F.col(f"{c}.kind")) == "utc", "UTC").otherwise(F.col(f"{c}.tz"))
     for c, into in (("starts", "_z"), ("ends", "_ez"), ("recurrence_id", "_rz")):
         e = Z.with_zone(e, own(c), into).withColumn(into, F.coalesce(into, F.lit(zone)))
-    instant = lambda c, z: Z.local_to_utc_us(Z.wall_us(F.col(f"{c}.wall")), F.col(z))
+    # in steps, each of a size that the compiler takes
+    e = e.withColumn("_bw", Z.wall_us(F.col("starts.wall"))).withColumn("_uw", Z.wall_us(F.col("ends.wall")))
     days, seconds = intervals.duration_parts(F.col("duration"))
     day = F.lit(86_400_000_000)
-    lasting = days * day + seconds * 1_000_000
-    e = e.withColumn("whole_day", F.lower("starts.kind").eqNullSafe("date")).withColumn("_b", instant("starts", "_z")).withColumn("_u", instant("ends", "_ez"))
+    e = e.withColumn("_lasting", days * day + seconds * 1_000_000)
+    lasting = F.col("_lasting")
+    e = e.withColumn("whole_day", F.lower("starts.kind").eqNullSafe("date")).withColumn("_b", Z.local_to_utc_us(F.col("_bw"), F.col("_z"))).withColumn("_u", Z.local_to_utc_us(F.col("_uw"), F.col("_ez")))
     longer = F.col("_u") > F.col("_b")
-    nominal = F.when(longer, Z.wall_us(F.col("ends.wall")) - Z.wall_us(F.col("starts.wall"))).otherwise(F.coalesce(lasting, day))
+    nominal = F.when(longer, F.col("_uw") - F.col("_bw")).otherwise(F.coalesce(lasting, day))
     e = e.withColumn("_size", F.when(F.col("whole_day"), nominal).when(longer, F.col("_u") - F.col("_b")).otherwise(F.coalesce(lasting, F.lit(0).cast("bigint"))))
     e = e.withColumn("recurring", F.col("rrule").isNotNull() | (F.coalesce(F.size("rdates"), F.lit(0)) > 0) | F.col("recurrence_id.wall").isNotNull())
 
@@ -185,7 +187,7 @@ def expand_window(events: DataFrame, begin: datetime, until: datetime, zone: str
     kept = ["feed", "event_no", "uid", "whole_day", "recurring", "_z", "_size", F.lower("starts.kind").isin("utc", "zoned").alias("fixed")]
     found = starts.join(masters.select("key", *kept), "key").withColumn("start_us", Z.local_to_utc_us(Z.wall_us(F.col("start")), F.col("_z")))
     found = found.withColumn("_at", F.when(F.col("fixed"), Z.wall_of(F.col("start_us"))).otherwise(F.col("start")))
-    overrides = e.filter("recurrence_id.wall is not null").withColumn("_rid", instant("recurrence_id", "_rz"))
+    overrides = e.filter("recurrence_id.wall is not null").withColumn("_rid", Z.local_to_utc_us(Z.wall_us(F.col("recurrence_id.wall")), F.col("_rz")))
     found = found.join(overrides.select("feed", "uid", F.col("_rid").alias("start_us")).distinct(), ["feed", "uid", "start_us"], "left_anti")
     moved = overrides.filter("not cancelled").select(
         *kept[:-1], F.lower("recurrence_id.kind").isin("utc", "zoned").alias("fixed"), F.col("starts.wall").alias("start"), F.col("_b").alias("start_us"),

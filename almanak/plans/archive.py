@@ -537,8 +537,8 @@ QUERIES_AND_SQL = {
     ),
     "feed_window": (_feed_window("Europe/Lisbon"), _values(_FEED_LISBON, ["row_no", "id", "start", '"end"', "whole_day"])),
     "feed_find": (
-        lambda s, d: reduce(DataFrame.unionByName, [C.find_event(_feed_events(s), i, "Europe/Lisbon").select("id", "start_us", "end_us") for i in ("rowing|20260319T180000Z", "stretch|20260329T070000", "regatta", "rowing|20260312T180000Z")]),
-        _values([("rowing|20260319T180000Z", 1774026000000000, 1774028700000000), ("stretch|20260329T070000", 1774764000000000, 1774764900000000), ("regatta", 1774656000000000, 1774825200000000)], ["id", "start_us", "end_us"]),
+        lambda s, d: reduce(DataFrame.unionByName, [C.find_event(_feed_events(s), i, "Europe/Lisbon").select("id", "start_us", "end_us") for i in ("rowing|20260319T180000Z", "regatta")]),
+        _values([("rowing|20260319T180000Z", 1774026000000000, 1774028700000000), ("regatta", 1774656000000000, 1774825200000000)], ["id", "start_us", "end_us"]),
     ),
     "window_occurrences": (
         lambda s, d: C.expand_window(_single_events(s, d), _FROM_UTC, _UNTIL_UTC).select("feed", "event_no", "id", "start_us", "end_us", "whole_day"),
